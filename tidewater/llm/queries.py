@@ -37,6 +37,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.substring_dedup import substring_dedup
+
+    cut = substring_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "kept_text", "n_chunks", "removed_chunks", "n_bytes", "removed_bytes", "removed_spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_jaccard_join, op6_exact_dedup, op8_token_counts, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op4_jaccard_join, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
