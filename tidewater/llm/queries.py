@@ -17,6 +17,12 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.embedding_dedup import embedding_links
+
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.exact_dedup import exact_dedup
 
@@ -61,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_jaccard_join, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op4_jaccard_join, op5_embedding_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
