@@ -11,6 +11,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm import warc
+
+    folder = warc.new_archive(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder)
+    records = warc.read(index, folder, payloads=False)
+    return records.select(records["id"].alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewater.llm.sentencepieces import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.jaccard_join import jaccard_components
 
@@ -67,8 +94,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_jaccard_join, op5_embedding_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op4_jaccard_join, op5_embedding_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op6_exact_dedup": OP6_SQL}
