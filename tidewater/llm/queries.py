@@ -38,6 +38,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.llm.lm_scoring import cross_entropy_difference
+
+    wanted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), wanted)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.llm.jaccard_join import jaccard_components
 
@@ -94,7 +101,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op4_jaccard_join, op5_embedding_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_sentencepiece, op3_lm_scoring, op4_jaccard_join, op5_embedding_dedup, op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
