@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.exact_dedup import drop_exact_copies
 from tidewater.llm.jaccard_join import drop_near_copies
 from tidewater.llm.packing import pack
-from tidewater.llm.quality import THRESHOLD, fit, held_out, score
+from tidewater.llm.quality import THRESHOLD, fit, held_out, measured, score
 from tidewater.llm.substring_dedup import drop_repeated_passages
 from tidewater.storage import new_path
 
@@ -20,7 +20,7 @@ VOCABULARY = "byte_bpe_50k.json"
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality discriminant rejects go; learnt from the labelled rows that are not held out."""
-    model = fit(docs.where(~held_out()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = fit(measured(docs.where(~held_out())), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model, out="__score").where(f"__score >= {THRESHOLD}").drop("__score")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.textarrays import IS_SPACE, raw, slices, span_hashes, words
+from tidewater.storage import written
 
 #: Weight of the diagonal and of the scaled identity in a class covariance.
 TO_DIAGONAL, TO_IDENTITY = 0.10, 0.01
@@ -88,20 +89,38 @@ def _features(texts: pa.Array) -> np.ndarray:
     return np.vstack(rows) if rows else np.zeros((0, len(FEATURES)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
-    """Class means, shrunk covariances and priors from all rows of docs that labels marks 0 or 1.
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): the statistics of each text, 64 bytes a document, so that labels are joined to these and no text
+    is shuffled."""
 
-    Rows with a null text count as empty; a null or other label is no label; an id labelled twice with different
-    values is no label either. Raises ValueError unless both classes have at least two rows."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi"))
-    marks = marks.where("lo = hi").select("__id", F.col("lo").alias("__label"))
-    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(marks, "__id").select("text", F.col("__label").cast("int").alias("label"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _features(b.column("text")).astype(np.float32)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), flat], names=["id", "x"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<float>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(FEATURES)).astype(np.float64)
+
+
+def fit(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> dict:
+    """Class means, shrunk covariances and priors from all rows of measured() that labels marks 0 or 1.
+
+    A null or other label is no label; an id labelled twice with different values is none either. Raises ValueError
+    unless both classes have at least two rows."""
+    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("lo"), F.max(label_col).alias("hi"))
+    marks = marks.where("lo = hi").select("id", F.col("lo").cast("int").alias("label"))
+    known = rows.join(marks, "id").select("x", "label")
     d = len(FEATURES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + d + d * d))
         for b in batches:
-            x, y = _features(b.column("text")), b.column("label").to_numpy(zero_copy_only=False)
+            x, y = _matrix(b.column("x")), b.column("label").to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 own = x[y == k]
                 total[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
@@ -149,7 +168,16 @@ def held_out(id_col: str = "doc_id"):
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted for each row of docs; learnt from the rows that are not held out."""
-    model = fit(docs.where(~held_out(id_col)), labels, id_col, text_col)
-    rows = score(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).drop("text")
-    return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """id, held_out, score, predicted for each row of docs; learnt from the rows that are not held out. An empty
+    table of documents gives an empty result."""
+    rows = written(measured(docs, id_col, text_col), "document-statistics")
+    if rows.isEmpty():
+        return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(rows.where(~held_out("id")), labels, id_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(scores(_matrix(b.column("x")), sent.value))], names=["id", "score"])
+
+    got = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return got.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
