@@ -7,18 +7,22 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.series import OHLC, change, lag, rolling
 
-H, L, O, C = (F.col(c) for c in ("high", "low", "open", "close"))  # noqa: E741
+
+def _ohlc() -> tuple[Column, ...]:
+    return tuple(F.col(c) for c in OHLC)
 
 
 def price_averages(df: DataFrame) -> DataFrame:
-    return df.withColumns({"hl_avg": (H + L) / 2, "ohlc_avg": (O + H + L + C) / 4, "typical_price": (H + L + C) / 3})
+    o, h, l, c = _ohlc()  # noqa: E741
+    return df.withColumns({"hl_avg": (h + l) / 2, "ohlc_avg": (o + h + l + c) / 4, "typical_price": (h + l + c) / 3})
 
 
 def derived_indicators(df: DataFrame) -> DataFrame:
     """Averages, range, changes, gaps and volume against its mean of 20."""
+    o, h, l, c = _ohlc()  # noqa: E741
     df = price_averages(df).withColumns({
-        "true_range": H - L, "price_change": C - lag("close"), "price_change_pct": change("close"),
-        "gap": O - lag("close"), "gap_pct": F.try_divide(O - lag("close"), lag("close")),
+        "true_range": h - l, "price_change": c - lag("close"), "price_change_pct": change("close"),
+        "gap": o - lag("close"), "gap_pct": F.try_divide(o - lag("close"), lag("close")),
         "volume_sma_20": rolling(F.avg("volume"), "volume", 20),
     })
     return df.withColumn("volume_ratio", F.try_divide(F.col("volume"), F.col("volume_sma_20")))
@@ -26,16 +30,18 @@ def derived_indicators(df: DataFrame) -> DataFrame:
 
 def full_true_range() -> Column:
     """Largest of the range and the distances to the close before; NULL on a series' first bar."""
+    _, h, l, _ = _ohlc()  # noqa: E741
     before = lag("close")
-    return F.when(before.isNotNull(), F.greatest(H - L, F.abs(H - before), F.abs(L - before)))
+    return F.when(before.isNotNull(), F.greatest(h - l, F.abs(h - before), F.abs(l - before)))
 
 
 def technical_features(df: DataFrame) -> DataFrame:
     """Candle parts, full true range, position in the bar, rates of change, volume-price trend."""
+    o, h, l, c = _ohlc()  # noqa: E741
     return df.withColumns({
-        "body_size": C - O, "body_size_pct": F.try_divide(C - O, O), "upper_shadow": H - F.greatest(O, C),
-        "lower_shadow": F.least(O, C) - L, "true_range": full_true_range(), "price_change": change("close"),
-        "price_change_abs": F.abs(change("close")), "price_position": F.try_divide(C - L, H - L),
+        "body_size": c - o, "body_size_pct": F.try_divide(c - o, o), "upper_shadow": h - F.greatest(o, c),
+        "lower_shadow": F.least(o, c) - l, "true_range": full_true_range(), "price_change": change("close"),
+        "price_change_abs": F.abs(change("close")), "price_position": F.try_divide(c - l, h - l),
         "roc_5": change("close", 5), "roc_10": change("close", 10), "volume_price_trend": F.col("volume") * change("close"),
     })
 

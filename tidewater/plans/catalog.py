@@ -1,15 +1,760 @@
-"""All registered queries and the SQL that checks them."""
+"""All registered queries and the SQL that checks them.
+
+Bars are hourly per event type. Spark and SQL round to six places; positions stand for time stamps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.operators import bars as B
+from tidewater.operators import cleaning, derived, describe, features, hypothesis, indicators, learning, levels, robustness, sequences, swings, validation, zones
+from tidewater.plans.zone_analysis import analyze_zones
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+OHLC = ("open", "high", "low", "close")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.bars_from_ticks(_table(spark, sf_dir, "events"), "event_type", "ts", "value", tie=["event_id"])
+
+
+def _six(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns keep (or all), floating ones to six places, counts as long."""
+    keep = keep or tuple(df.columns)
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint", "smallint") else F.col(c) for c in keep])
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(*columns: str) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+
+
+BARS = """bars AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS bar_idx, open, high, low, close, volume
+  FROM (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, sum(value) AS volume FROM events GROUP BY 1, 2))"""
+W = "(PARTITION BY symbol ORDER BY bar_idx)"
+
+
+def over(n: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def ewm(name: str, source: str, out: dict[str, tuple[str, float, bool]]) -> str:
+    """CTE: source with weighted means, each the weighted sum over all rows before."""
+    parts = []
+    for c, (x, a, adjust) in out.items():
+        r = f"pow({1 - a!r}, a.bar_idx - b.bar_idx)"
+        weight = r if adjust else f"{r} * CASE WHEN b.bar_idx = 0 THEN 1 ELSE {a!r} END"
+        parts.append(f"sum(b.{x} * {weight}) / {f'sum({r})' if adjust else '1'} AS {c}")
+    return f"{name} AS (SELECT s.*, {', '.join('w.' + c for c in out)} FROM {source} s JOIN (SELECT a.symbol, a.bar_idx, {', '.join(parts)} FROM {source} a JOIN {source} b ON a.symbol = b.symbol AND b.bar_idx <= a.bar_idx GROUP BY 1, 2) w ON s.symbol = w.symbol AND s.bar_idx = w.bar_idx)"
+
+
+def alpha(span: int) -> float:
+    return 2.0 / (span + 1.0)
+
+
+MACD = f"""{BARS}, {ewm('m1', 'bars', {'f': ('close', alpha(12), True), 's': ('close', alpha(26), True)})},
+m2 AS (SELECT symbol, ts, bar_idx, open, high, low, close, volume, f - s AS macd FROM m1), {ewm('m3', 'm2', {'macd_signal': ('macd', alpha(9), True)})},
+m AS (SELECT *, macd - macd_signal AS macd_hist FROM m3)"""
+GAIN = f"g AS (SELECT *, coalesce(greatest(close - lag(close) OVER {W}, 0), 0) AS gain, coalesce(greatest(lag(close) OVER {W} - close, 0), 0) AS loss FROM bars)"
+RSI = f"""{BARS}, {GAIN}, {ewm('g2', 'g', {'up': ('gain', 1 / 14, True), 'down': ('loss', 1 / 14, True)})},
+rsi AS (SELECT symbol, ts, bar_idx, open, high, low, close, volume, CASE WHEN up = 0 AND down = 0 THEN NULL WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi_14 FROM g2)"""
+
+
+def runs_sql(source: str, state: str, label: str, need_change: bool, missing_apart: bool, types: str = "", least: int = 2) -> str:
+    """CTEs z (bars of kept zones) and zones, from source with a state."""
+    apart = "OR st IS NULL" if missing_apart else ""
+    return f"""q0 AS (SELECT *, {state} AS st FROM {source}),
+q1 AS (SELECT *, CASE WHEN bar_idx = 0 OR st IS DISTINCT FROM lag(st) OVER {W} {apart} THEN 1 ELSE 0 END AS nw FROM q0),
+q2 AS (SELECT *, sum(nw) OVER {W} AS run FROM q1),
+q3 AS (SELECT symbol, run, min(bar_idx) AS start_idx, max(bar_idx) AS end_idx, count(*) AS duration, {label} AS type FROM q2 GROUP BY 1, 2),
+q4 AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM q3),
+zones AS (SELECT symbol, run, start_idx, end_idx, duration, type, row_number() OVER (PARTITION BY symbol ORDER BY start_idx) - 1 AS zone_id FROM q4 WHERE duration >= {least} AND type IS NOT NULL {'AND n > 1' if need_change else ''} {types}),
+z AS (SELECT q2.*, zones.zone_id, zones.type, zones.start_idx, zones.end_idx, zones.duration FROM q2 JOIN zones ON q2.symbol = zones.symbol AND q2.run = zones.run)"""
+
+
+SIGN_LABEL = "CASE WHEN avg({0}) > 0 THEN 'bull' ELSE 'bear' END"
+MZ = f"{MACD}, {runs_sql('m', 'macd >= 0', SIGN_LABEL.format('macd'), True, True)}"
+ZONES_OUT = "SELECT symbol, zone_id, type, start_idx, end_idx, duration FROM zones"
+
+
+def _macd_zoned(spark, d):
+    return zones.zero_crossing(indicators.macd(_bars(spark, d)), "macd")
+
+
+def _zone_rows(zoned: DataFrame) -> DataFrame:
+    return _six(zones.zone_table(zoned), "symbol", "zone_id", "type", "start_idx", "end_idx", "duration")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars, MACD, zero-crossing zones, their features and summary by type."""
+    return describe.zone_summary(analyze_zones(_bars(spark, sf_dir)).with_indicator("custom", "macd").detect("zero_crossing", indicator="macd").with_swings(None).build().features)
+
+
+# bars
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, {six(*OHLC, 'volume')} FROM bars")
+def bars_hourly(spark, d):
+    return _six(_bars(spark, d), "symbol", "bar_idx", *OHLC, "volume")
+
+
+@query(f"""WITH {BARS} SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS bar_idx, {six(*OHLC, 'volume')}, n_bars FROM (SELECT symbol, date_trunc('day', ts) AS day,
+arg_min(open, bar_idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_idx) AS close, sum(volume) AS volume, count(*) AS n_bars FROM bars GROUP BY 1, 2)""")
+def resample_ohlcv(spark, d):
+    return _six(B.resample(_bars(spark, d), "1d"), "symbol", "bar_idx", *OHLC, "volume", "n_bars")
+
+
+@query(f"""WITH {BARS} SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY b) - 1 AS bar_idx, {six(*OHLC, 'volume')}, n_bars FROM (SELECT symbol, floor(epoch(ts) / 14400) AS b,
+arg_min(open, bar_idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_idx) AS close, sum(volume) AS volume, count(*) AS n_bars FROM bars GROUP BY 1, 2)""")
+def resample_4h(spark, d):
+    return _six(B.resample(_bars(spark, d), "4h"), "symbol", "bar_idx", *OHLC, "volume", "n_bars")
+
+
+@query(f"""SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS bar_idx, {six(*OHLC)}, volume FROM (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS day,
+arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close, count(*) AS volume FROM orders GROUP BY 1, 2)""")
+def bars_daily_orders(spark, d):
+    return _six(B.bars_from_ticks(_table(spark, d, "orders"), "o_orderpriority", "o_orderdate", "o_totalprice", "day", F.lit(1), ["o_orderkey"]), "symbol", "bar_idx", *OHLC, "volume")
+
+
+@query(f"""SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS bar_idx, {six(*OHLC, 'volume')} FROM (SELECT l_returnflag AS symbol, date_trunc('day', l_shipdate) AS day,
+arg_min(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber)) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, arg_max(l_extendedprice, (l_shipdate, l_orderkey, l_linenumber)) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)""")
+def bars_daily_lineitem(spark, d):
+    return _six(B.bars_from_ticks(_table(spark, d, "lineitem"), "l_returnflag", "l_shipdate", "l_extendedprice", "day", "l_quantity", ["l_orderkey", "l_linenumber"]), "symbol", "bar_idx", *OHLC, "volume")
+
+
+# derived columns
+
+L = f"lag(close) OVER {W}"
+_D = ("hl_avg", "ohlc_avg", "typical_price", "true_range", "price_change", "price_change_pct", "gap", "gap_pct", "volume_sma_20", "volume_ratio")
+
+
+@query(f"""WITH {BARS}, t AS (SELECT symbol, bar_idx, (high + low) / 2 AS hl_avg, (open + high + low + close) / 4 AS ohlc_avg, (high + low + close) / 3 AS typical_price, high - low AS true_range, close - {L} AS price_change, close / {L} - 1 AS price_change_pct,
+open - {L} AS gap, (open - {L}) / {L} AS gap_pct, CASE WHEN bar_idx >= 19 THEN avg(volume) OVER {over(20)} END AS volume_sma_20, CASE WHEN bar_idx >= 19 THEN volume / avg(volume) OVER {over(20)} END AS volume_ratio FROM bars) SELECT symbol, bar_idx, {six(*_D)} FROM t""")
+def derived_indicators(spark, d):
+    return _six(derived.derived_indicators(_bars(spark, d)), "symbol", "bar_idx", *_D)
+
+
+_T = ("body_size", "body_size_pct", "upper_shadow", "lower_shadow", "true_range", "price_change", "price_change_abs", "price_position", "roc_5", "roc_10", "volume_price_trend")
+
+
+@query(f"""WITH {BARS}, t AS (SELECT symbol, bar_idx, close - open AS body_size, (close - open) / open AS body_size_pct, high - greatest(open, close) AS upper_shadow, least(open, close) - low AS lower_shadow,
+CASE WHEN bar_idx > 0 THEN greatest(high - low, abs(high - {L}), abs(low - {L})) END AS true_range, close / {L} - 1 AS price_change, abs(close / {L} - 1) AS price_change_abs, (close - low) / nullif(high - low, 0) AS price_position,
+close / lag(close, 5) OVER {W} - 1 AS roc_5, close / lag(close, 10) OVER {W} - 1 AS roc_10, volume * (close / {L} - 1) AS volume_price_trend FROM bars) SELECT symbol, bar_idx, {six(*_T)} FROM t""")
+def technical_features(spark, d):
+    return _six(derived.technical_features(_bars(spark, d)), "symbol", "bar_idx", *_T)
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, round(lag(close, 1) OVER {W}, 6) AS close_lag_1, round(lag(close, 3) OVER {W}, 6) AS close_lag_3, round(lag(volume, 1) OVER {W}, 6) AS volume_lag_1, round(lag(volume, 3) OVER {W}, 6) AS volume_lag_3 FROM bars")
+def lag_features(spark, d):
+    return _six(derived.lagged(_bars(spark, d), ["close", "volume"], [1, 3]), "symbol", "bar_idx", "close_lag_1", "close_lag_3", "volume_lag_1", "volume_lag_3")
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, round(close / {L} - 1, 6) AS returns FROM bars")
+def returns_simple(spark, d):
+    return _six(derived.returns(_bars(spark, d)), "symbol", "bar_idx", "returns")
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, round(ln(close / lag(close, 5) OVER {W}), 6) AS returns FROM bars")
+def returns_log_5(spark, d):
+    return _six(derived.returns(_bars(spark, d), method="log", periods=5), "symbol", "bar_idx", "returns")
+
+
+def _norm(spark, d, method):
+    return _six(derived.normalise_prices(_bars(spark, d), method), "symbol", "bar_idx", *[f"{c}_norm" for c in OHLC])
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, {', '.join(f'round({c} / first_value(close) OVER {W} * 100, 6) AS {c}_norm' for c in OHLC)} FROM bars")
+def normalize_first_value(spark, d):
+    return _norm(spark, d, "first_value")
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, {', '.join(f'round(({c} / lag({c}) OVER {W} - 1) * 100, 6) AS {c}_norm' for c in OHLC)} FROM bars")
+def normalize_percentage_change(spark, d):
+    return _norm(spark, d, "percentage_change")
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, {', '.join(f'round(({c} - avg({c}) OVER p) / stddev_samp({c}) OVER p, 6) AS {c}_norm' for c in OHLC)} FROM bars WINDOW p AS (PARTITION BY symbol)")
+def normalize_z_score(spark, d):
+    return _norm(spark, d, "z_score")
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, {', '.join(f'round(({c} - avg({c}) OVER p) / stddev_samp({c}) OVER p, 6) AS {c}' for c in ('close', 'volume'))} FROM bars WINDOW p AS (PARTITION BY symbol)")
+def normalize_zscore(spark, d):
+    return _six(derived.normalise(_bars(spark, d), ["close", "volume"], "zscore"), "symbol", "bar_idx", "close", "volume")
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, {', '.join(f'round(({c} - min({c}) OVER p) / (max({c}) OVER p - min({c}) OVER p), 6) AS {c}' for c in ('close', 'volume'))} FROM bars WINDOW p AS (PARTITION BY symbol)")
+def normalize_minmax(spark, d):
+    return _six(derived.normalise(_bars(spark, d), ["close", "volume"], "minmax"), "symbol", "bar_idx", "close", "volume")
+
+
+@query(f"""WITH {BARS}, a AS (SELECT symbol, median(close) AS m FROM bars GROUP BY 1), b AS (SELECT bars.symbol, any_value(m) AS m, median(abs(close - m)) AS s FROM bars JOIN a ON bars.symbol = a.symbol GROUP BY 1)
+SELECT bars.symbol, bar_idx, round((close - m) / s, 6) AS close FROM bars JOIN b ON bars.symbol = b.symbol""")
+def normalize_robust(spark, d):
+    return _six(derived.normalise(_bars(spark, d), ["close"], "robust"), "symbol", "bar_idx", "close")
+
+
+@query(f"""WITH {BARS} SELECT symbol, bar_idx, CASE WHEN h >= 13 AND h < 21 THEN 'new_york' WHEN h >= 8 AND h < 16 THEN 'london' WHEN h < 8 THEN 'asian' ELSE 'none' END AS session, h >= 13 AND h < 16 AS session_overlap FROM (SELECT *, hour(ts) AS h FROM bars)""")
+def session_labels(spark, d):
+    return _six(derived.sessions(_bars(spark, d)), "symbol", "bar_idx", "session", "session_overlap")
+
+
+# cleaning
+
+GRID = f"""{BARS}, grid AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY symbol),
+full_ AS (SELECT grid.symbol, grid.ts, row_number() OVER (PARTITION BY grid.symbol ORDER BY grid.ts) - 1 AS bar_idx, close FROM grid LEFT JOIN bars ON grid.symbol = bars.symbol AND grid.ts = bars.ts)"""
+
+
+def _grid(spark, d):
+    """Bars on every hour between a series' ends; those that are not there have no close."""
+    b = _bars(spark, d)
+    every = b.groupBy("symbol").agg(F.explode(F.sequence(F.min("ts"), F.max("ts"), F.expr("interval 1 hour"))).alias("ts"))
+    return B.numbered(every.join(b.select("symbol", "ts", "close"), ["symbol", "ts"], "left"))
+
+
+@query(f"WITH {GRID} SELECT symbol, bar_idx, round(last_value(close IGNORE NULLS) OVER {W}, 6) AS close FROM full_")
+def fill_forward(spark, d):
+    return _six(cleaning.fill(_grid(spark, d), ["close"], "forward"), "symbol", "bar_idx", "close")
+
+
+@query(f"WITH {GRID} SELECT symbol, bar_idx, round(first_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS close FROM full_")
+def fill_backward(spark, d):
+    return _six(cleaning.fill(_grid(spark, d), ["close"], "backward"), "symbol", "bar_idx", "close")
+
+
+@query(f"""WITH {GRID}, i AS (SELECT *, last_value(close IGNORE NULLS) OVER {W} AS bv, last_value(CASE WHEN close IS NOT NULL THEN bar_idx END IGNORE NULLS) OVER {W} AS bi,
+first_value(close IGNORE NULLS) OVER f AS av, first_value(CASE WHEN close IS NOT NULL THEN bar_idx END IGNORE NULLS) OVER f AS ai FROM full_ WINDOW f AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT symbol, bar_idx, round(CASE WHEN close IS NOT NULL THEN close ELSE bv + (av - bv) * (bar_idx - bi) / (ai - bi) END, 6) AS close FROM i""")
+def fill_interpolate(spark, d):
+    return _six(cleaning.fill(_grid(spark, d), ["close"], "interpolate"), "symbol", "bar_idx", "close")
+
+
+def _steps_sql(keep: str, figures: str) -> str:
+    out, last = [], "bars"
+    for k, c in enumerate(OHLC):
+        out.append(f"o{k} AS (SELECT s.* FROM {last} s JOIN (SELECT symbol, {figures.format(c)} FROM {last} GROUP BY symbol) f ON s.symbol = f.symbol WHERE {keep.format('s.' + c)})")
+        last = f"o{k}"
+    return ", ".join(out) + f" SELECT symbol, bar_idx, {six(*OHLC)} FROM {last}"
+
+
+@query(f"WITH {BARS}, {_steps_sql('abs(({0} - m) / d) <= 2.0', 'avg({0}) AS m, stddev_samp({0}) AS d')}")
+def clean_outliers_zscore(spark, d):
+    return _six(cleaning.remove_outliers(_bars(spark, d), "zscore", 2.0), "symbol", "bar_idx", *OHLC)
+
+
+@query(f"WITH {BARS}, {_steps_sql('{0} BETWEEN a - 1.5 * (b - a) AND b + 1.5 * (b - a)', 'quantile_cont({0}, 0.25) AS a, quantile_cont({0}, 0.75) AS b')}")
+def clean_outliers_iqr(spark, d):
+    return _six(cleaning.remove_outliers(_bars(spark, d), "iqr", 1.5), "symbol", "bar_idx", *OHLC)
+
+
+@query(f"""WITH {BARS}, c AS (SELECT symbol, bar_idx, open, greatest(low + 1, close) AS high0, high - 1 AS low0, close FROM bars), r AS (SELECT symbol, bar_idx, open, close, greatest(high0, low0) AS high, least(high0, low0) AS low FROM c)
+SELECT symbol, bar_idx, round(least(greatest(open, low), high), 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(least(greatest(close, low), high), 6) AS close FROM r""")
+def ohlc_repair(spark, d):
+    b = _bars(spark, d)
+    crossed = b.withColumns({"high": F.greatest(F.col("low") + 1, F.col("close")), "low": F.col("high") - 1})
+    return _six(cleaning.repair(crossed), "symbol", "bar_idx", *OHLC)
+
+
+# validation
+
+
+@query(f"WITH {GRID} SELECT symbol, count(*) AS n_rows, round(count(*) FILTER (close IS NULL) / count(*), 6) AS close_missing, count(*) >= 100 AND count(*) FILTER (close IS NULL) / count(*) <= 0.1 AS complete FROM full_ GROUP BY symbol")
+def completeness(spark, d):
+    return _six(validation.completeness(_grid(spark, d), ["close"]))
+
+
+@query(f"""WITH {BARS}, j AS (SELECT *, abs(close / {L} - 1) AS jump FROM bars) SELECT symbol, count(*) FILTER (least(open, high, low, close) <= 0) AS not_positive, count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (high < greatest(open, close)) AS high_below_body,
+count(*) FILTER (low > least(open, close)) AS low_above_body, count(*) FILTER (jump > 0.5) AS jumps FROM j GROUP BY symbol""")
+def price_consistency(spark, d):
+    return _six(validation.price_consistency(_bars(spark, d)))
+
+
+_STEP = f"s AS (SELECT symbol, bar_idx, CAST(epoch(ts) - epoch(lag(ts) OVER {W}) AS BIGINT) AS g FROM bars)"
+
+
+@query(f"""WITH {BARS}, {_STEP}, c AS (SELECT symbol, g, count(*) AS n FROM s WHERE g IS NOT NULL GROUP BY 1, 2), m AS (SELECT symbol, arg_min(g, (-n, g)) AS step_seconds, max(n) AS regular, CAST(sum(n) AS BIGINT) AS steps, coalesce(CAST(sum(n) FILTER (g = 0) AS BIGINT), 0) AS duplicates FROM c GROUP BY 1)
+SELECT symbol, step_seconds, duplicates, steps - regular AS irregular, (steps - regular) / steps > 0.1 AS is_irregular FROM m""")
+def continuity(spark, d):
+    return _six(validation.spacing(_bars(spark, d)))
+
+
+@query(f"WITH {GRID} SELECT symbol, CAST(epoch(ts) AS BIGINT) AS at FROM grid ANTI JOIN bars USING (symbol, ts)")
+def missing_bars_anti_join(spark, d):
+    return validation.missing_bars(_bars(spark, d)).select("symbol", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+
+
+@query(f"WITH {BARS}, {_STEP}, m AS (SELECT symbol, median(g) AS median_seconds FROM s WHERE g IS NOT NULL GROUP BY 1) SELECT s.symbol, bar_idx, g AS gap_seconds, round(median_seconds, 6) AS median_seconds FROM s JOIN m ON s.symbol = m.symbol WHERE g > 1.5 * median_seconds")
+def time_gaps(spark, d):
+    return _six(validation.gaps(_bars(spark, d)))
+
+
+def _moments(c: str) -> str:
+    return f"""SELECT symbol, '{c}' AS "column", count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, skewness({c}) AS skew, kurtosis({c}) AS kurtosis, quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM bars GROUP BY symbol"""
+
+
+@query(f"""WITH {BARS}, v AS (SELECT symbol, 'close' AS "column", close AS x FROM bars UNION ALL SELECT symbol, 'volume', volume FROM bars), m AS ({_moments('close')} UNION ALL {_moments('volume')}),
+o AS (SELECT v.symbol, v."column", count(*) FILTER (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) AS outliers FROM v JOIN m ON v.symbol = m.symbol AND v."column" = m."column" GROUP BY 1, 2)
+SELECT m.symbol, m."column", n, {six('mean', 'std', 'min', 'max', 'skew', 'kurtosis')}, outliers, abs(skew) > 2 AS is_skewed, abs(kurtosis) > 7 AS is_heavy, outliers / n > 0.05 AS has_outliers FROM m JOIN o ON m.symbol = o.symbol AND m."column" = o."column" """)
+def statistical_properties(spark, d):
+    return _six(validation.statistical_properties(_bars(spark, d), ["close", "volume"]))
+
+
+@query()
+def validate_ohlcv(spark, d):
+    return validation.validate(_bars(spark, d))
+
+
+@query(f"WITH {BARS} SELECT symbol, count(*) AS n_rows, CAST(min(epoch(ts)) AS BIGINT) AS first_ts, CAST(max(epoch(ts)) AS BIGINT) AS last_ts, count(*) FILTER (close IS NULL) AS close_nulls FROM bars GROUP BY symbol")
+def table_info(spark, d):
+    t = describe.table_info(_bars(spark, d))
+    return t.select("symbol", F.col("n_rows"), *[F.unix_timestamp(F.col(c).cast("timestamp")).alias(c) for c in ("first_ts", "last_ts")], "close_nulls")
+
+
+# indicators
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, round(CASE WHEN bar_idx >= 19 THEN avg(close) OVER {over(20)} END, 6) AS sma_20 FROM bars")
+def sma(spark, d):
+    return _six(indicators.sma(_bars(spark, d)), "symbol", "bar_idx", "sma_20")
+
+
+@query(f"WITH {BARS}, {ewm('e', 'bars', {'ema_20': ('close', alpha(20), False)})} SELECT symbol, bar_idx, round(ema_20, 6) AS ema_20 FROM e")
+def ema(spark, d):
+    return _six(indicators.ema(_bars(spark, d)), "symbol", "bar_idx", "ema_20")
+
+
+@query(f"WITH {MACD} SELECT symbol, bar_idx, {six('macd', 'macd_signal', 'macd_hist')} FROM m")
+def macd(spark, d):
+    return _six(indicators.macd(_bars(spark, d)), "symbol", "bar_idx", "macd", "macd_signal", "macd_hist")
+
+
+@query(f"WITH {RSI} SELECT symbol, bar_idx, round(rsi_14, 6) AS rsi_14 FROM rsi")
+def rsi(spark, d):
+    return _six(indicators.rsi(_bars(spark, d)), "symbol", "bar_idx", "rsi_14")
+
+
+_BB = ("bb_middle", "bb_upper", "bb_lower", "bb_width", "bb_percent")
+
+
+@query(f"""WITH {BARS}, b AS (SELECT *, CASE WHEN bar_idx >= 19 THEN avg(close) OVER {over(20)} END AS bb_middle, CASE WHEN bar_idx >= 19 THEN stddev_samp(close) OVER {over(20)} END AS s FROM bars),
+t AS (SELECT symbol, bar_idx, bb_middle, bb_middle + 2 * s AS bb_upper, bb_middle - 2 * s AS bb_lower, 4 * s / bb_middle * 100 AS bb_width, (close - (bb_middle - 2 * s)) / nullif(4 * s, 0) * 100 AS bb_percent FROM b) SELECT symbol, bar_idx, {six(*_BB)} FROM t""")
+def bollinger(spark, d):
+    return _six(indicators.bollinger(_bars(spark, d)), "symbol", "bar_idx", *_BB)
+
+
+@query(f"WITH {BARS} SELECT symbol, bar_idx, round(CASE WHEN bar_idx >= 33 THEN avg((high + low) / 2) OVER {over(5)} - avg((high + low) / 2) OVER {over(34)} END, 6) AS ao_5_34 FROM bars")
+def awesome_oscillator(spark, d):
+    return _six(indicators.awesome(_bars(spark, d)), "symbol", "bar_idx", "ao_5_34")
+
+
+ATR = f"tr AS (SELECT *, CASE WHEN bar_idx > 0 THEN greatest(high - low, abs(high - {L}), abs(low - {L})) END AS r FROM bars), atr AS (SELECT *, CASE WHEN bar_idx >= 14 THEN avg(r) OVER {over(14)} END AS atr FROM tr)"
+
+
+@query(f"WITH {BARS}, {ATR} SELECT symbol, bar_idx, round(atr, 6) AS atr FROM atr")
+def atr(spark, d):
+    return _six(indicators.atr(_bars(spark, d)), "symbol", "bar_idx", "atr")
+
+
+@query(f"WITH {BARS}, {ewm('e', 'bars', {'ema_10': ('close', alpha(10), True), 'ema_50': ('close', alpha(50), True)})} SELECT symbol, bar_idx, {', '.join(f'round(CASE WHEN bar_idx >= {p - 1} THEN avg(close) OVER {over(p)} END, 6) AS sma_{p}' for p in (10, 50))}, {six('ema_10', 'ema_50')} FROM e")
+def moving_average_set(spark, d):
+    return _six(indicators.moving_averages(_bars(spark, d), (10, 50)), "symbol", "bar_idx", "sma_10", "sma_50", "ema_10", "ema_50")
+
+
+@query()
+def indicator_suite(spark, d):
+    return _six(indicators.suite(_bars(spark, d)))
+
+
+@query(f"""WITH {MACD}, c AS (SELECT symbol, bar_idx, CASE WHEN macd > macd_signal AND lag(macd) OVER {W} <= lag(macd_signal) OVER {W} THEN 'bullish' WHEN macd < macd_signal AND lag(macd) OVER {W} >= lag(macd_signal) OVER {W} THEN 'bearish' END AS signal FROM m) SELECT * FROM c WHERE signal IS NOT NULL""")
+def crossovers(spark, d):
+    return _six(B.crossings(indicators.macd(_bars(spark, d)), "macd", "macd_signal"), "symbol", "bar_idx", "signal")
+
+
+@query(f"""WITH {MACD}, k AS (SELECT symbol, macd, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) AS k FROM m), t AS (SELECT symbol, max(macd) FILTER (k = 1) AS last_value, max(macd) FILTER (k = 2) AS previous_value FROM k WHERE k <= 2 GROUP BY 1)
+SELECT symbol, {six('last_value', 'previous_value')}, last_value > previous_value AND last_value > 0 AS trending_up, last_value < previous_value AND last_value < 0 AS trending_down FROM t""")
+def trend_flags(spark, d):
+    return _six(B.trend(indicators.macd(_bars(spark, d)), "macd", 0.0))
+
+
+@query(f"""WITH {RSI} SELECT symbol, 'rsi_14' AS "column", count(rsi_14) AS n, count(*) - count(rsi_14) AS missing, {', '.join(f'round({f}(rsi_14), 6) AS {n}' for f, n in (('min', 'min'), ('max', 'max'), ('avg', 'mean'), ('stddev_samp', 'std'), ('median', 'median')))} FROM rsi GROUP BY symbol""")
+def indicator_statistics(spark, d):
+    return _six(indicators.statistics(indicators.rsi(_bars(spark, d)), ["rsi_14"]))
+
+
+# zones
+
+
+@query(f"WITH {MZ} {ZONES_OUT}")
+def zones_zero_crossing(spark, d):
+    return _zone_rows(_macd_zoned(spark, d))
+
+
+@query(f"WITH {MACD}, {runs_sql('m', 'macd_hist >= 0', SIGN_LABEL.format('macd_hist'), True, True)} {ZONES_OUT}")
+def zones_macd_histogram(spark, d):
+    return _zone_rows(zones.zero_crossing(indicators.macd(_bars(spark, d)), "macd_hist"))
+
+
+@query(f"WITH {MACD}, sm AS (SELECT *, CASE WHEN bar_idx >= 4 THEN avg(macd_hist) OVER {over(5)} END AS v FROM m), {runs_sql('sm', 'v >= 0', SIGN_LABEL.format('v'), True, True)} {ZONES_OUT}")
+def zones_smoothed(spark, d):
+    return _zone_rows(zones.zero_crossing(indicators.macd(_bars(spark, d)), "macd_hist", smooth=5))
+
+
+@query(f"WITH {BARS}, s2 AS (SELECT *, CASE WHEN bar_idx >= 29 THEN avg(close) OVER {over(10)} - avg(close) OVER {over(30)} END AS v FROM bars), {runs_sql('s2', 'v >= 0', SIGN_LABEL.format('v'), True, True)} {ZONES_OUT}")
+def zones_line_crossing(spark, d):
+    return _zone_rows(zones.line_crossing(indicators.sma(indicators.sma(_bars(spark, d), 10), 30), "sma_10", "sma_30"))
+
+
+_KIND = "CASE WHEN rsi_14 > 55 THEN 'overbought' WHEN rsi_14 < 45 THEN 'oversold' WHEN rsi_14 IS NOT NULL THEN 'neutral' END"
+
+
+@query(f"WITH {RSI}, {runs_sql('rsi', _KIND, 'any_value(st)', False, False)} {ZONES_OUT}")
+def zones_threshold(spark, d):
+    return _zone_rows(zones.threshold(indicators.rsi(_bars(spark, d)), "rsi_14", 55, 45))
+
+
+CLOSE_OVER = "coalesce(close > sma, false) AND coalesce(volume > 500, false)"
+
+
+@query(f"WITH {BARS}, s2 AS (SELECT *, CASE WHEN bar_idx >= 19 THEN avg(close) OVER {over(20)} END AS sma FROM bars), {runs_sql('s2', CLOSE_OVER, '''CASE WHEN any_value(st) THEN 'active' ELSE 'inactive' END''', False, False)} {ZONES_OUT}")
+def zones_combined(spark, d):
+    return _zone_rows(zones.combined(indicators.sma(_bars(spark, d)), ["close > sma_20", F.col("volume") > 500]))
+
+
+EXTERNAL = "ext AS (SELECT symbol, k AS zone_id, CASE WHEN k % 2 = 0 THEN 'bull' ELSE 'bear' END AS type, lo + INTERVAL 1 HOUR * (k * 50) AS start_time, lo + INTERVAL 1 HOUR * (k * 50 + 40) AS end_time FROM (SELECT symbol, min(ts) AS lo FROM bars GROUP BY 1), (SELECT unnest(range(0, 12)) AS k))"
+
+
+@query(f"""WITH {BARS}, {EXTERNAL} SELECT e.symbol, e.zone_id, e.type, min(bar_idx) AS start_idx, max(bar_idx) AS end_idx, count(*) AS duration FROM ext e JOIN bars b ON b.symbol = e.symbol AND b.ts BETWEEN e.start_time - INTERVAL 1 MINUTE AND e.end_time + INTERVAL 1 MINUTE GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def zones_preloaded_range_join(spark, d):
+    b = _bars(spark, d)
+    ext = b.groupBy("symbol").agg(F.min("ts").alias("lo")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    hours = lambda h: F.col("lo") + F.make_dt_interval(hours=h)
+    ext = ext.select("symbol", F.col("k").alias("zone_id"), F.when(F.col("k") % 2 == 0, "bull").otherwise("bear").alias("type"), hours(F.col("k") * 50).alias("start_time"), hours(F.col("k") * 50 + 40).alias("end_time"))
+    return _zone_rows(zones.preloaded_zones(b, ext))
+
+
+# zone features
+
+_BASE = ("start_price", "end_price", "price_return", "macd_amplitude", "hist_amplitude", "hist_slope", "price_range_pct", "correlation_price_hist", "drawdown_from_peak", "peak_time_ratio", "rally_from_trough", "trough_time_ratio")
+FEATURES = f"""zs AS (SELECT *, abs(macd - lag(macd) OVER (PARTITION BY symbol, zone_id ORDER BY bar_idx)) AS step FROM z),
+feat0 AS (SELECT symbol, zone_id, type, duration, start_idx, end_idx, arg_min(close, bar_idx) AS start_price, arg_max(close, bar_idx) AS end_price, max(high) AS hi, min(low) AS lo, max(macd) - min(macd) AS macd_amplitude, max(macd) - min(macd) AS hist_amplitude, max(step) AS hist_slope,
+CASE WHEN count(*) >= 3 THEN corr(close, macd) END AS correlation_price_hist, arg_min(bar_idx - start_idx, (-high, bar_idx)) AS top, arg_min(bar_idx - start_idx, (low, bar_idx)) AS bottom FROM zs GROUP BY ALL),
+feat AS (SELECT symbol, zone_id, type, duration, start_idx, end_idx, start_price, end_price, end_price / start_price - 1 AS price_return, macd_amplitude, hist_amplitude, hist_slope, hi / lo - 1 AS price_range_pct, correlation_price_hist,
+CASE WHEN type = 'bull' THEN end_price / hi - 1 END AS drawdown_from_peak, CASE WHEN type = 'bull' THEN top / duration END AS peak_time_ratio, CASE WHEN type = 'bear' THEN end_price / lo - 1 END AS rally_from_trough, CASE WHEN type = 'bear' THEN bottom / duration END AS trough_time_ratio FROM feat0)"""
+
+
+def _features(spark, d):
+    return features.base_features(_macd_zoned(spark, d), "macd")
+
+
+@query(f"WITH {MZ}, {FEATURES} SELECT symbol, zone_id, type, duration, {six(*_BASE)} FROM feat")
+def zone_features(spark, d):
+    return _six(_features(spark, d), "symbol", "zone_id", "type", "duration", *_BASE)
+
+
+def _tops(x: str, name: str) -> str:
+    return f"""{name}0 AS (SELECT symbol, zone_id, bar_idx, {x} AS x, CASE WHEN lag({x}) OVER zw IS DISTINCT FROM {x} THEN 1 ELSE 0 END AS nw, avg({x}) OVER (PARTITION BY symbol, zone_id) AS m FROM z WINDOW zw AS (PARTITION BY symbol, zone_id ORDER BY bar_idx)),
+{name}1 AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, zone_id ORDER BY bar_idx) AS r FROM {name}0), {name}2 AS (SELECT symbol, zone_id, r, any_value(x) AS x, any_value(m) AS m FROM {name}1 GROUP BY 1, 2, 3),
+{name}3 AS (SELECT *, lag(x) OVER w3 < x AND lead(x) OVER w3 < x AND x >= m AS hit FROM {name}2 WINDOW w3 AS (PARTITION BY symbol, zone_id ORDER BY r)), {name} AS (SELECT symbol, zone_id, count(*) FILTER (hit) AS n FROM {name}3 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {MZ}, {_tops('high', 'pk')}, {_tops('-low', 'tg')} SELECT pk.symbol, pk.zone_id, pk.n AS num_peaks, tg.n AS num_troughs FROM pk JOIN tg ON pk.symbol = tg.symbol AND pk.zone_id = tg.zone_id")
+def zone_extrema(spark, d):
+    return _six(features.extrema_counts(_macd_zoned(spark, d)))
+
+
+@query(f"""WITH {MZ}, zs AS (SELECT *, macd - lag(macd) OVER (PARTITION BY symbol, zone_id ORDER BY bar_idx) AS step, avg(macd) OVER (PARTITION BY symbol, zone_id) AS mu FROM z)
+SELECT symbol, zone_id, round(CASE WHEN count(*) < 3 THEN 0 ELSE avg(pow(macd - mu, 3)) / pow(var_pop(macd), 1.5) END, 6) AS hist_skewness, round(CASE WHEN count(*) < 3 THEN 3 ELSE avg(pow(macd - mu, 4)) / pow(var_pop(macd), 2) END, 6) AS hist_kurtosis, round(CASE WHEN count(*) < 3 THEN 0 ELSE stddev_samp(step) END, 6) AS hist_smoothness FROM zs GROUP BY 1, 2""")
+def shape_metrics(spark, d):
+    return _six(features.shape_metrics(_macd_zoned(spark, d), "macd"))
+
+
+@query(f"""WITH {MZ} SELECT symbol, zone_id, round(avg(volume), 6) AS avg_volume, round(avg(volume) / 400, 6) AS volume_ratio, round(arg_min(volume, bar_idx) / 400 - 1, 6) AS entry_volume_change, round(CASE WHEN count(*) >= 3 THEN corr(volume, macd) END, 6) AS volume_indicator_corr FROM z GROUP BY 1, 2""")
+def volume_metrics(spark, d):
+    return _six(features.volume_metrics(_macd_zoned(spark, d), "macd", 400.0))
+
+
+@query(f"""WITH {MZ}, v0 AS (SELECT *, count(*) OVER zw5 AS c5, avg(close) OVER zw5 AS m5, stddev_pop(close) OVER zw5 AS s5, greatest(high - low, abs(high - lag(close) OVER zw), abs(low - lag(close) OVER zw)) AS r FROM z WINDOW zw AS (PARTITION BY symbol, zone_id ORDER BY bar_idx), zw5 AS (PARTITION BY symbol, zone_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+v1 AS (SELECT *, CASE WHEN c5 = 20 THEN m5 + 2 * s5 END AS u, CASE WHEN c5 = 20 THEN m5 - 2 * s5 END AS l, CASE WHEN c5 = 20 THEN 4 * s5 / m5 * 100 END AS bw FROM v0),
+v2 AS (SELECT symbol, zone_id, coalesce(avg(bw), 0) AS w, coalesce(stddev_samp(bw), 0) AS ws, arg_max(bw, bar_idx) FILTER (bw IS NOT NULL) AS now_, count(*) FILTER (close >= u * 0.99) AS ut, count(*) FILTER (close <= l * 1.01) AS lt, avg(r) AS a, max(high) - min(low) AS pr,
+CASE WHEN count(*) >= 5 THEN avg(r) FILTER (bar_idx - start_idx < 5) ELSE arg_min(r, bar_idx) END AS ra, CASE WHEN count(*) >= 5 THEN avg(r) FILTER (end_idx - bar_idx < 5) ELSE arg_max(r, bar_idx) END AS rz FROM v1 GROUP BY 1, 2 HAVING count(*) >= 3),
+v3 AS (SELECT *, CASE WHEN w > 0 THEN coalesce(now_, w) / w ELSE 1 END AS sq, CASE WHEN a > 0 THEN pr / a ELSE 0 END AS nr, CASE WHEN ra > 0 THEN rz / ra - 1 ELSE 0 END AS turn FROM v2), v4 AS (SELECT *, greatest(0, least(10, least(w / 2, 5) + least(nr / 2, 3) + least((ut + lt) / 5, 2))) AS sc FROM v3)
+SELECT symbol, zone_id, round(w, 6) AS bollinger_width_pct, round(ws, 6) AS bollinger_width_std, ut AS bollinger_upper_touches, lt AS bollinger_lower_touches, round(a, 6) AS avg_atr, round(sq, 6) AS bollinger_squeeze_ratio, round(nr, 6) AS atr_normalized_range, CASE WHEN turn > 0.2 THEN 'increasing' WHEN turn < -0.2 THEN 'decreasing' ELSE 'stable' END AS atr_trend,
+round(sc, 6) AS volatility_score, CASE WHEN sc < 2.5 THEN 'low' WHEN sc < 5 THEN 'medium' WHEN sc < 7.5 THEN 'high' ELSE 'extreme' END AS volatility_regime FROM v4""")
+def volatility_metrics(spark, d):
+    return _six(features.volatility_metrics(_macd_zoned(spark, d)))
+
+
+@query()
+def divergence_metrics(spark, d):
+    return features.divergence_metrics(_macd_zoned(spark, d), "macd")
+
+
+PV = f"p1 AS (SELECT *, lag(high, 1) OVER w a1, lag(high, 2) OVER w a2, lead(high, 1) OVER w b1, lead(high, 2) OVER w b2, lag(low, 1) OVER w c1, lag(low, 2) OVER w c2, lead(low, 1) OVER w d1, lead(low, 2) OVER w d2 FROM bars WINDOW w AS {W}), pv AS (SELECT symbol, bar_idx, high AS price, 'peak' AS swing_type FROM p1 WHERE high > greatest(a1, a2, b1, b2) AND a2 IS NOT NULL AND b2 IS NOT NULL UNION ALL SELECT symbol, bar_idx, low, 'trough' FROM p1 WHERE low < least(c1, c2, d1, d2) AND c2 IS NOT NULL AND d2 IS NOT NULL)"
+
+
+@query(f"WITH {BARS}, {PV} SELECT symbol, bar_idx, round(price, 6) AS price, swing_type, bar_idx + 2 AS confirmation_index, row_number() OVER o - 1 AS point_id, round((lead(price) OVER o / price - 1) * 100, 6) AS amplitude_to_next, lead(bar_idx) OVER o - bar_idx AS duration_to_next FROM pv WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx, swing_type)")
+def pivot_points(spark, d):
+    return _six(swings.linked(swings.pivot_points(_bars(spark, d))))
+
+
+_SW = ("rally_count", "avg_rally_pct", "max_rally_pct", "min_rally_pct", "rally_amplitude_std", "rally_amplitude_median", "avg_rally_duration_bars", "max_rally_duration_bars", "avg_rally_speed_pct_per_bar", "max_rally_speed_pct_per_bar")
+
+
+def _moves(name: str, up: str) -> str:
+    f = f"FILTER ({up})"
+    return f"""count(a) {f} AS {name}_count, coalesce(avg(a) {f}, 0) AS avg_{name}_pct, coalesce(max(a) {f}, 0) AS max_{name}_pct, coalesce(min(a) {f}, 0) AS min_{name}_pct, coalesce(stddev_pop(a) {f}, 0) AS {name}_amplitude_std, coalesce(median(a) {f}, 0) AS {name}_amplitude_median,
+coalesce(avg(n) {f}, 0) AS avg_{name}_duration_bars, coalesce(max(n) {f}, 0) AS max_{name}_duration_bars, coalesce(avg(a / n) {f}, 0) AS avg_{name}_speed_pct_per_bar, coalesce(max(a / n) {f}, 0) AS max_{name}_speed_pct_per_bar"""
+
+
+_BOTH = [c.replace("rally", k) for k in ("rally", "drop") for c in _SW]
+
+
+@query(f"""WITH {MZ}, {PV}, nb AS (SELECT *, coalesce(lead(bar_idx) OVER o, bar_idx + 1) AS nx, coalesce(lag(bar_idx) OVER o, bar_idx - 1) AS px FROM pv WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx, swing_type)),
+hit AS (SELECT zones.symbol, zone_id, bar_idx, price, swing_type FROM nb JOIN zones ON nb.symbol = zones.symbol AND nx >= start_idx AND px <= end_idx),
+mv0 AS (SELECT symbol, zone_id, (lead(price) OVER o / price - 1) * 100 AS c, lead(bar_idx) OVER o - bar_idx AS n FROM hit WINDOW o AS (PARTITION BY symbol, zone_id ORDER BY bar_idx, swing_type)),
+mv AS (SELECT *, abs(c) AS a FROM mv0 WHERE n > 0 AND abs(c) >= 1.5), s AS (SELECT symbol, zone_id, {_moves('rally', 'c > 0')}, {_moves('drop', 'c < 0')} FROM mv GROUP BY 1, 2)
+SELECT symbol, zone_id, {', '.join(f'round({c}, 6) AS {c}' if 'count' not in c and not c.startswith('max_') or 'pct' in c else c for c in _BOTH)}, round(CASE WHEN avg_drop_pct > 0 THEN avg_rally_pct / avg_drop_pct ELSE 0 END, 6) AS rally_to_drop_ratio, round(CASE WHEN avg_drop_duration_bars > 0 THEN avg_rally_duration_bars / avg_drop_duration_bars ELSE 0 END, 6) AS duration_symmetry, least(rally_count, drop_count) AS num_swings FROM s""")
+def swing_metrics(spark, d):
+    zoned = _macd_zoned(spark, d)
+    spots = swings.in_zones(swings.pivot_points(_bars(spark, d)), zones.zone_table(zoned))
+    return _six(swings.swing_metrics(spots.select("symbol", "zone_id", "bar_idx", "price", "swing_type"), 0.015))
+
+
+@query()
+def find_peaks_swings(spark, d):
+    return _six(swings.linked(swings.peak_points(_bars(spark, d))))
+
+
+@query()
+def zigzag_swings(spark, d):
+    return _six(swings.linked(swings.zigzag_points(_bars(spark, d), 0.05)))
+
+
+@query(f"""WITH {BARS}, a AS (SELECT symbol, (max(high) - min(low)) / median(close) AS r FROM bars GROUP BY 1) SELECT symbol, round(greatest(0.01, r * 0.5), 6) AS zigzag_deviation, round(greatest(0.01, r * 0.3), 6) AS peak_prominence, round(greatest(0.01, r * 0.25), 6) AS pivot_deviation FROM a""")
+def auto_thresholds(spark, d):
+    return _six(swings.auto_thresholds(_bars(spark, d)))
+
+
+# statistics over zones
+
+
+def _dist(c: str) -> str:
+    return f"""SELECT '{c}' AS "column", CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, median({c}) AS median FROM feat GROUP BY GROUPING SETS ((), (type))"""
+
+
+@query(f"""WITH {MZ}, {FEATURES}, u AS ({' UNION ALL '.join(_dist(c) for c in ('duration', 'price_return', 'macd_amplitude', 'hist_amplitude'))}) SELECT "column", type, n, {six('mean', 'std', 'min', 'max', 'median')} FROM u""")
+def zone_distribution(spark, d):
+    return _six(describe.zone_distribution(_features(spark, d)))
+
+
+@query(f"""WITH {MZ}, {FEATURES} SELECT type, count(*) AS zones, round(avg(duration), 6) AS mean_duration, round(avg(price_return), 6) AS mean_return, count(*) FILTER (price_return > 0) AS gains, count(*) FILTER (price_return < 0) AS losses,
+count(*) FILTER (correlation_price_hist > 0) AS positive_corr, count(*) FILTER (correlation_price_hist < 0) AS negative_corr, count(*) FILTER (abs(correlation_price_hist) > 0.7) AS strong_corr FROM feat GROUP BY 1""")
+def zone_summary(spark, d):
+    return _six(describe.zone_summary(_features(spark, d)))
+
+
+ZW = "WINDOW zo AS (PARTITION BY symbol ORDER BY start_idx)"
+
+
+@query(f"""WITH {MZ}, t AS (SELECT symbol, type || '_to_' || lead(type) OVER zo AS transition FROM zones {ZW}), c AS (SELECT symbol, transition, count(*) AS n FROM t WHERE transition IS NOT NULL GROUP BY 1, 2) SELECT symbol, transition, n, round(n / sum(n) OVER (PARTITION BY symbol), 6) AS probability FROM c""")
+def transitions(spark, d):
+    return _six(sequences.transitions(zones.zone_table(_macd_zoned(spark, d))))
+
+
+@query(f"""WITH {MZ}, {FEATURES}, t AS (SELECT symbol, type || '_to_' || lead(type) OVER zo AS transition, duration, lead(duration) OVER zo AS d2, price_return, lead(price_return) OVER zo AS r2 FROM feat {ZW}) SELECT symbol, transition, count(*) AS n, round(avg(duration), 6) AS duration_before, round(avg(d2), 6) AS duration_after, round(avg(price_return), 6) AS return_before, round(avg(r2), 6) AS return_after FROM t WHERE transition IS NOT NULL GROUP BY 1, 2""")
+def transition_details(spark, d):
+    return _six(sequences.transition_details(_features(spark, d)))
+
+
+@query(f"""WITH {MZ}, t AS (SELECT symbol, type || '-' || lead(type, 1) OVER zo || '-' || lead(type, 2) OVER zo AS pattern FROM zones {ZW}) SELECT symbol, pattern, count(*) AS n FROM t WHERE pattern IS NOT NULL GROUP BY 1, 2""")
+def triplets(spark, d):
+    return _six(sequences.triplets(zones.zone_table(_macd_zoned(spark, d))))
+
+
+@query(f"""WITH {MZ}, a AS (SELECT *, CASE WHEN lag(type) OVER zo IS DISTINCT FROM type THEN 1 ELSE 0 END AS f FROM zones {ZW}), b AS (SELECT *, sum(f) OVER zo AS g FROM a {ZW}), c AS (SELECT symbol, type, g, count(*) AS k FROM b GROUP BY 1, 2, 3) SELECT symbol, type, count(*) AS runs, round(avg(k), 6) AS mean, max(k) AS max, min(k) AS min, round(stddev_pop(k), 6) AS std FROM c GROUP BY 1, 2""")
+def run_lengths(spark, d):
+    return _six(sequences.run_lengths(zones.zone_table(_macd_zoned(spark, d))))
+
+
+@query(f"""WITH {MZ}, t AS (SELECT symbol, type, lead(type) OVER zo AS nt FROM zones {ZW}), m0 AS (SELECT symbol, {', '.join(f"count(*) FILTER (type = '{a}' AND nt = '{b}') AS {a}_{b}" for a in ('bull', 'bear') for b in ('bull', 'bear'))} FROM t WHERE nt IS NOT NULL GROUP BY 1),
+p AS (SELECT *, coalesce(bull_bear / nullif(bull_bear + bull_bull, 0), 0) AS p_bull_bear, coalesce(bear_bull / nullif(bear_bull + bear_bear, 0), 0) AS p_bear_bull FROM m0) SELECT symbol, bull_bull, bull_bear, bear_bull, bear_bear, {six('p_bull_bear', 'p_bear_bull')}, round(p_bear_bull / nullif(p_bull_bear + p_bear_bull, 0), 6) AS stationary_bull, round(p_bull_bear / nullif(p_bull_bear + p_bear_bull, 0), 6) AS stationary_bear FROM p""")
+def markov(spark, d):
+    return _six(sequences.markov(zones.zone_table(_macd_zoned(spark, d))))
+
+
+@query(f"""WITH {MZ}, a AS (SELECT symbol, type = 'bull' AS up, CASE WHEN lag(type = 'bull') OVER zo IS DISTINCT FROM (type = 'bull') THEN 1 ELSE 0 END AS f FROM zones {ZW}), b AS (SELECT symbol, CAST(sum(f) AS BIGINT) AS runs, CAST(count(*) FILTER (up) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT up) AS DOUBLE) AS n2 FROM a GROUP BY 1),
+c AS (SELECT *, 2 * n1 * n2 / (n1 + n2) + 1 AS expected, 2 * n1 * n2 * (2 * n1 * n2 - n1 - n2) / nullif((n1 + n2) * (n1 + n2) * (n1 + n2 - 1), 0) AS variance FROM b) SELECT symbol, runs, {six('n1', 'n2', 'expected', 'variance')}, round(CASE WHEN variance > 0 THEN (runs - expected) / sqrt(variance) END, 6) AS z FROM c""")
+def runs_test(spark, d):
+    return _six(sequences.runs_test(zones.zone_table(_macd_zoned(spark, d))))
+
+
+@query(f"WITH {MZ}, a AS (SELECT symbol, count(*) AS n, count(*) FILTER (type = 'bull') AS bull, count(*) FILTER (type = 'bear') AS bear FROM zones GROUP BY 1) SELECT symbol, n, bull, bear, round((pow(bull - n / 2, 2) + pow(bear - n / 2, 2)) / (n / 2), 6) AS chi2 FROM a")
+def uniformity(spark, d):
+    return _six(sequences.uniformity(zones.zone_table(_macd_zoned(spark, d))))
+
+
+def _rows(spark: SparkSession, results: list[dict]) -> DataFrame:
+    some = [(r["name"], r["statistic"], r["p_value"], r["significant"], r["effect_size"], r["n"]) for r in results]
+    return _six(spark.createDataFrame(some, "name string, statistic double, p_value double, significant boolean, effect_size double, n long"))
+
+
+@query()
+def hypothesis_tests(spark, d):
+    from tidewater.storage import written
+
+    f = written(features.base_features(_macd_zoned(spark, d), "macd"), "zone-features")
+    return _rows(spark, [*hypothesis.run_all(f).values()])
+
+
+@query("""WITH g AS (SELECT c_mktsegment IN ('BUILDING', 'MACHINERY') AS a, count(c_acctbal) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1), x AS (SELECT max(n) FILTER (a) AS n1, max(n) FILTER (NOT a) AS n2, max(m) FILTER (a) AS m1, max(m) FILTER (NOT a) AS m2, max(v) FILTER (a) AS v1, max(v) FILTER (NOT a) AS v2 FROM g),
+y AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS p FROM x) SELECT 't_test' AS name, round((m1 - m2) / sqrt(p * (1 / n1 + 1 / n2)), 6) AS statistic, round((m1 - m2) / sqrt(p), 6) AS effect_size, n1 + n2 AS n FROM y""")
+def t_test(spark, d):
+    c = _table(spark, d, "customer")
+    g = hypothesis._sums(c, "c_acctbal", F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return _rows(spark, [hypothesis.two_sample_t("t_test", g[True], g[False])]).select("name", "statistic", "effect_size", "n")
+
+
+@query("""SELECT round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem""")
+def regression(spark, d):
+    r = learning.ols(_table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return spark.createDataFrame([(round(r["coefficients"]["l_quantity"], 6), round(r["coefficients"]["const"], 4), round(r["r2"], 6), r["n"])], "slope double, intercept double, r2 double, n long")
+
+
+@query()
+def zone_clusters(spark, d):
+    from tidewater.storage import written
+
+    # k-means reads its input many times
+    f = written(_features(spark, d).join(features.extrema_counts(_macd_zoned(spark, d)), ["symbol", "zone_id"]), "zone-features")
+    return _six(learning.cluster_profiles(learning.cluster_zones(f)))
+
+
+# descriptive statistics
+
+
+def _desc(c: str) -> str:
+    return f"""SELECT o_orderpriority, '{c}' AS "column", count(*) AS count, avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, skewness({c}) AS skewness, kurtosis({c}) AS kurtosis, var_samp({c}) AS variance, quantile_cont({c}, 0.25) AS q25, median({c}) AS median, quantile_cont({c}, 0.75) AS q75, stddev_samp({c}) / abs(avg({c})) AS cv FROM orders GROUP BY 1"""
+
+
+@query(f"""WITH t AS ({_desc('o_totalprice')}) SELECT o_orderpriority, "column", count, {', '.join(f'round({c}, 3) AS {c}' for c in ('mean', 'std', 'min', 'max', 'skewness', 'kurtosis', 'q25', 'median', 'q75', 'cv'))} FROM t""")
+def describe_stats(spark, d):
+    t = describe.describe(_table(spark, d, "orders"), ["o_totalprice"], ["o_orderpriority"])
+    return t.select("o_orderpriority", "column", "count", *[F.round(c, 3).alias(c) for c in ("mean", "std", "min", "max", "skewness", "kurtosis", "q25", "median", "q75", "cv")])
+
+
+@query("""SELECT l_returnflag, a, b, round(r, 6) AS r FROM (SELECT l_returnflag, 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM lineitem GROUP BY 1)""")
+def correlation_matrix(spark, d):
+    return _six(describe.correlation_matrix(_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"]))
+
+
+@query(f"""WITH {BARS}, r AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY close) + (count(*) OVER (PARTITION BY symbol, close) - 1) / 2 AS a, rank() OVER (PARTITION BY symbol ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, volume) - 1) / 2 AS b FROM bars) SELECT symbol, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1""")
+def spearman(spark, d):
+    return _six(describe.spearman(_bars(spark, d), "close", "volume", ["symbol"]))
+
+
+@query(f"""WITH {BARS}, p AS (SELECT x.symbol, sign(y.close - x.close) * sign(y.volume - x.volume) AS s, x.close <> y.close AS na, x.volume <> y.volume AS nb FROM bars x JOIN bars y ON x.symbol = y.symbol AND x.bar_idx < y.bar_idx) SELECT symbol, round(sum(s) / sqrt(count(*) FILTER (na) * CAST(count(*) FILTER (nb) AS DOUBLE)), 6) AS tau FROM p GROUP BY 1""")
+def kendall(spark, d):
+    return _six(describe.kendall(_bars(spark, d), "close", "volume", ["symbol"]))
+
+
+@query(f"WITH {BARS} SELECT symbol, round(regr_slope(close, bar_idx), 6) AS slope, round(regr_intercept(close, bar_idx), 6) AS intercept, round(regr_r2(close, bar_idx), 6) AS r2 FROM bars GROUP BY 1")
+def linear_trend(spark, d):
+    return _six(describe.linear_trend(_bars(spark, d), "close"))
+
+
+@query(f"""WITH {BARS}, e AS (SELECT symbol, min(close) AS lo, max(close) AS hi FROM bars GROUP BY 1) SELECT bars.symbol, CAST(least(floor((close - lo) / ((hi - lo) / 20)) + 1, 20) AS BIGINT) AS bin, count(*) AS n FROM bars JOIN e ON bars.symbol = e.symbol GROUP BY 1, 2""")
+def histogram(spark, d):
+    return _six(describe.histogram(_bars(spark, d), "close", 20))
+
+
+# support and resistance
+
+SR = f"""fg AS (SELECT symbol, stddev_samp(close) * 0.1 AS tol, count(*) AS nb FROM bars GROUP BY 1), ex AS (SELECT *, count(*) OVER c AS k, min(low) OVER c AS ml, max(high) OVER c AS mh FROM bars WINDOW c AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING)),
+ev AS (SELECT symbol, 'support' AS zone_type, bar_idx, ts, low AS price FROM ex WHERE k = 41 AND low = ml UNION ALL SELECT symbol, 'resistance', bar_idx, ts, high FROM ex WHERE k = 41 AND high = mh),
+e1 AS (SELECT ev.*, CASE WHEN lag(price) OVER o IS NULL OR price - lag(price) OVER o > tol THEN 1 ELSE 0 END AS nw FROM ev JOIN fg ON ev.symbol = fg.symbol WHERE nb >= 40 WINDOW o AS (PARTITION BY ev.symbol, zone_type ORDER BY price, bar_idx)), e2 AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, zone_type ORDER BY price, bar_idx) AS g FROM e1),
+sr0 AS (SELECT symbol, zone_type, g, count(*) AS touches, min(bar_idx) AS start_idx, max(bar_idx) AS end_idx, min(ts) AS t0, max(ts) AS t1, min(price) AS start_price, max(price) AS end_price, stddev_pop(price) AS price_std FROM e2 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+sr AS (SELECT *, least(touches / 5, 1.0) AS strength, CASE WHEN t1 > t0 THEN least(touches / (epoch(t1 - t0) / 3600) / 2, 1.0) ELSE 1.0 END AS confidence, zone_type || '_' || strftime(t0, '%Y%m%d_%H%M') || '_' || strftime(t1, '%Y%m%d_%H%M') AS zone_id FROM sr0)"""
+
+
+@query(f"WITH {BARS}, {SR} SELECT symbol, zone_type, zone_id, touches, start_idx, end_idx, {six('start_price', 'end_price', 'price_std', 'strength', 'confidence')} FROM sr")
+def support_resistance(spark, d):
+    return _six(levels.support_resistance(_bars(spark, d)), "symbol", "zone_type", "zone_id", "touches", "start_idx", "end_idx", "start_price", "end_price", "price_std", "strength", "confidence")
+
+
+@query(f"""WITH {BARS}, {SR} SELECT sr.symbol, zone_id, zone_type, {six('strength', 'confidence')}, min(bar_idx) AS break_idx, round(arg_min(close, bar_idx), 6) AS break_price FROM sr JOIN bars ON bars.symbol = sr.symbol AND bar_idx > end_idx AND CASE WHEN zone_type = 'support' THEN low < start_price ELSE high > end_price END GROUP BY 1, 2, 3, sr.strength, sr.confidence""")
+def zone_breaks(spark, d):
+    b = _bars(spark, d)
+    return _six(levels.breaks(b, levels.support_resistance(b)))
+
+
+@query(f"""WITH {BARS}, {SR} SELECT symbol, zone_type, count(*) AS zones, round(avg(strength), 6) AS mean_strength, round(max(strength), 6) AS max_strength, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (strength >= 0.3) AS strong, count(*) FILTER (confidence >= 0.5) AS confident FROM sr GROUP BY 1, 2""")
+def level_summary(spark, d):
+    return _six(levels.level_summary(levels.support_resistance(_bars(spark, d))))
+
+
+@query()
+def price_levels(spark, d):
+    return _six(levels.price_levels(_features(spark, d), "start_price"))
+
+
+# robustness
+
+
+@query(f"""WITH {BARS}, n AS (SELECT symbol, floor(count(*) * 0.7) AS k FROM bars GROUP BY 1) SELECT bars.symbol AS series, CASE WHEN bar_idx < k THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(close), 6) AS mean_close FROM bars JOIN n ON bars.symbol = n.symbol GROUP BY 1, 2""")
+def out_of_sample(spark, d):
+    return _six(robustness.out_of_sample(_bars(spark, d)).groupBy("series", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean_close")))
+
+
+@query(f"""WITH {BARS}, n AS (SELECT symbol, count(*) AS k FROM bars GROUP BY 1), f AS (SELECT symbol, unnest(range(0, CAST(floor((k - 360) / 60) AS BIGINT) + 1)) AS fold_id FROM n WHERE k >= 360)
+SELECT f.symbol AS series, f.fold_id, CASE WHEN bar_idx < fold_id * 60 + 300 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(close), 6) AS mean_close FROM f JOIN bars ON bars.symbol = f.symbol AND bar_idx >= fold_id * 60 AND bar_idx < fold_id * 60 + 360 GROUP BY 1, 2, 3""")
+def walk_forward(spark, d):
+    return _six(robustness.folds(_bars(spark, d), 300, 60, 60).groupBy("series", "fold_id", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean_close")))
+
+
+def _grid_sql(p: int) -> str:
+    return f"SELECT symbol, {p} AS period, avg(CASE WHEN bar_idx >= {p - 1} THEN s{p} END) AS m FROM (SELECT *, avg(close) OVER {over(p)} AS s{p} FROM bars) GROUP BY 1"
+
+
+@query(f"""WITH {BARS}, g AS ({' UNION ALL '.join(_grid_sql(p) for p in (10, 20, 40))}) SELECT symbol, {', '.join(f'round({f}(m), 6) AS {n}' for f, n in (('avg', 'mean'), ('stddev_pop', 'std'), ('min', 'min'), ('max', 'max')))}, round(1 - stddev_pop(m) / avg(m), 6) AS stability, 1 - stddev_pop(m) / avg(m) > 0.8 AS stable FROM g GROUP BY 1""")
+def sensitivity(spark, d):
+    b = _bars(spark, d)
+    run = lambda period: indicators.sma(b, period, out="s").groupBy("symbol").agg(F.avg("s").alias("m"))
+    return _six(robustness.stability(robustness.sensitivity(run, {"period": [10, 20, 40]}, "m"), "m"))
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query()
+def monte_carlo(spark, d):
+    b = _bars(spark, d)
+    metric = lambda x: x.groupBy("symbol").agg(F.stddev_samp("close").alias("m"))
+    sims = robustness.simulate(b, 20)
+    sim = sims.groupBy("symbol", "series").agg(F.stddev_samp("close").alias("m"))
+    return _six(robustness.against_simulations(metric(b), sim, "m"))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
