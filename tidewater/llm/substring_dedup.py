@@ -109,31 +109,27 @@ def _removed(text: bytes, ends: list[int], foreign: set[int], least_words: int)
     return spans, chunks
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[int]]]:
-    for i, data, at, ends in _slices(batch):
-        for k, own in enumerate(ends):
-            yield i + k, data[at[k] : at[k + 1]].tobytes(), (own - at[k]).tolist()
-
-
 def _cut(least_words: int):
-    schema = pa.schema([("row", pa.int64()), ("kept_text", pa.string()), ("n_chunks", pa.int64()), ("removed_chunks", pa.int64()), ("n_bytes", pa.int64()), ("removed_bytes", pa.int64()), ("removed_spans", pa.list_(pa.list_(pa.int64())))])
+    schema = pa.schema([("kept_text", pa.string()), ("n_chunks", pa.int64()), ("removed_chunks", pa.int64()), ("n_bytes", pa.int64()), ("removed_bytes", pa.int64()), ("removed_spans", pa.list_(pa.list_(pa.int64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            foreign = b.column("foreign").to_pylist()
-            null = b.column("text").is_null().to_pylist()
-            rows = []
-            for k, text, ends in _texts(b):
-                spans, chunks = _removed(text, ends, {*foreign[k]}, least_words) if foreign[k] else ([], 0)
-                kept, last = [], 0
-                for a, e in spans:
-                    kept.append(text[last:a])
-                    last = e
-                kept.append(text[last:])
-                rows.append((k, None if null[k] else b"".join(kept).decode("utf-8", "replace"), len(ends), chunks, len(text), sum(e - a for a, e in spans), [[*s] for s in spans]))
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
             rest = [c for c in b.schema.names if c not in ("text", "foreign")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *out.columns[1:]], names=[*rest, *schema.names[1:]])
+            for i, data, at, chunks in _slices(b):
+                part = b.slice(i, len(chunks))
+                foreign, null = part.column("foreign").to_pylist(), part.column("text").is_null().to_pylist()
+                rows = []
+                for k, own in enumerate(chunks):
+                    text, ends = data[at[k] : at[k + 1]].tobytes(), (own - at[k]).tolist()
+                    spans, removed = _removed(text, ends, {*foreign[k]}, least_words) if foreign[k] else ([], 0)
+                    kept, last = [], 0
+                    for x, y in spans:
+                        kept.append(text[last:x])
+                        last = y
+                    kept.append(text[last:])
+                    rows.append((None if null[k] else b"".join(kept).decode("utf-8", "replace"), len(ends), removed, len(text), sum(y - x for x, y in spans), [[*s] for s in spans]))
+                new = [pa.array([r[c] for r in rows], f.type) for c, f in enumerate(schema)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *new], names=[*rest, *schema.names])
 
     return run
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer single text is taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
