@@ -46,3 +46,11 @@ def corrected_kurtosis(x: str | Column, n: Column) -> Column:
     """Bias-corrected excess kurtosis; NULL below four values."""
     g = F.kurtosis(x)
     return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6))
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson over the rows where both are there; NULL where one of them is constant."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.series import corrected_kurtosis, corrected_skew
+from tidewater.functions.series import corrected_kurtosis, corrected_skew, correlation
 
 
 def long_form(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
@@ -33,8 +33,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], key: list[str] | None
     """(key, a, b, r): Pearson over the rows where both are there, for each pair of columns; one aggregation."""
     key = key or []
     pairs = [*combinations(columns, 2)]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    agg = df.groupBy(*key).agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    agg = df.groupBy(*key).agg(*[correlation(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])
     return agg.select(*key, F.explode(cells).alias("s")).select(*key, "s.*")
 
@@ -50,7 +49,7 @@ def ranked(df: DataFrame, column: str, out: str, key: list[str]) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
     some = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*key, a, b)
     some = ranked(ranked(some, a, "__ra", key), b, "__rb", key)
-    return some.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.corr("__ra", "__rb").alias("rho"))
+    return some.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), correlation("__ra", "__rb").alias("rho"))
 
 
 def kendall(df: DataFrame, a: str, b: str, key: list[str], most: int = 5000) -> DataFrame:

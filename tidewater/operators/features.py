@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.series import correlation
 from tidewater.operators.swings import local_peaks
 
 ZONE = ["symbol", "zone_id"]
@@ -27,7 +28,7 @@ def base_features(zoned: DataFrame, indicator: str, macd_column: str | None = "m
         F.first("type").alias("type"), F.first("duration").alias("duration"), F.first("start_idx").alias("start_idx"), F.first("end_idx").alias("end_idx"),
         F.min_by("close", "bar_idx").alias("start_price"), F.max_by("close", "bar_idx").alias("end_price"), F.max("high").alias("__high"), F.min("low").alias("__low"),
         amplitude.alias("macd_amplitude"), (F.max(indicator) - F.min(indicator)).alias("hist_amplitude"), F.max("__step").alias("hist_slope"),
-        F.when(F.count_if(both) >= 3, F.corr("close", indicator)).alias("correlation_price_hist"),
+        F.when(F.count_if(both) >= 3, correlation("close", indicator)).alias("correlation_price_hist"),
         F.min_by("__pos", F.struct(-F.col("high"), F.col("__pos"))).alias("__top"), F.min_by("__pos", F.struct(F.col("low"), F.col("__pos"))).alias("__bottom"),
         *([F.avg("atr").alias("__atr")] if with_atr else []),
     )
@@ -77,7 +78,7 @@ def shape_metrics(zoned: DataFrame, indicator: str, biased: bool = True) -> Data
 def volume_metrics(zoned: DataFrame, indicator: str, baseline: float | None = None) -> DataFrame:
     """Mean volume, its ratio to a baseline, entry change, correlation with the indicator; NULL without any volume."""
     both = F.col("volume").isNotNull() & F.col(indicator).isNotNull()
-    a = zoned.groupBy(*ZONE).agg(F.avg("volume").alias("avg_volume"), F.max(F.abs("volume")).alias("__any"), F.min_by("volume", "bar_idx").alias("__entry"), F.when(F.count_if(both) >= 3, F.corr("volume", indicator)).alias("__corr"))
+    a = zoned.groupBy(*ZONE).agg(F.avg("volume").alias("avg_volume"), F.max(F.abs("volume")).alias("__any"), F.min_by("volume", "bar_idx").alias("__entry"), F.when(F.count_if(both) >= 3, correlation("volume", indicator)).alias("__corr"))
     live = F.col("__any") > 0
     base = F.lit(baseline).cast("double")
     return a.select(*ZONE, F.when(live, F.col("avg_volume")).alias("avg_volume"), F.when(live, F.try_divide(F.col("avg_volume"), base)).alias("volume_ratio"), F.when(live, F.try_divide(F.col("__entry"), base) - 1).alias("entry_volume_change"), F.when(live, F.col("__corr")).alias("volume_indicator_corr"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.distributions import chi2_sf, holm, kolmogorov_sf, normal_sf, t_two_sided
+from tidewater.functions.series import correlation
 from tidewater.operators.describe import ranked
 
 ALPHA = 0.05
@@ -78,7 +79,7 @@ def _corr(f: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[float | None
     aggs = []
     for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))), F.count_if(both)]
+        aggs += [correlation(a, b), F.count_if(both)]
     r = f.agg(*aggs).first()
     return [(r[2 * k], r[2 * k + 1]) for k in range(len(pairs))]
 

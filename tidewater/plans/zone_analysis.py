@@ -88,7 +88,7 @@ class ZoneAnalysis:
     def __init__(self, bars: DataFrame, config: Config | None = None, rules: dict | None = None):
         self.bars, self.config, self.rules = bars, config or Config(), rules or {}
 
-    def _with(self, rules: dict | None = None, **changes) -> ZoneAnalysis:
+    def _with(self, rules: dict | None = None, /, **changes) -> ZoneAnalysis:
         return ZoneAnalysis(self.bars, replace(self.config, **changes), self.rules if rules is None else rules)
 
     def with_indicator(self, source: str, name: str, **parameters) -> ZoneAnalysis:
