@@ -92,4 +92,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose ids exact_dedup keeps, with all their columns."""
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")

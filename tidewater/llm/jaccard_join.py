@@ -2,8 +2,8 @@
 
 Sets that are equal are joined as one. Shingles have one order: rare before frequent, where frequency is known
 for a bounded list of the heaviest and all others count as rare. Two sets that reach the threshold share a
-shingle in their prefixes in this order, so all sets that hold a shingle in their prefix, and are not alone
-there, meet at the least of them, the lead of that list. A lead's members come together once, however many lists
+shingle in their prefixes in this order, so all sets that hold a shingle in their prefix, and are of sizes that can
+link, meet at the least of them, the lead of that list. A lead's members come together once, however many lists
 they share, and with more than a block of them in blocks of which each pair is a task of its own.
 
 Within a block the sets lie in order of size. Index lists are in this order too, and of a list only the run of
@@ -33,6 +33,8 @@ HEAVY_IN_RUN = 4
 RUN = 2_000_000
 #: Sets that come together in one task; a pair of blocks has twice as many.
 BLOCK = 512
+#: Sets of a part of a list of which all pairs are counted.
+PART = 16
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -100,23 +102,49 @@ def _postings(n: int, num: int, den: int, sent):
         heavy, rank = sent.value
         seen: set[bytes] = set()
         for b in batches:
-            tokens, sizes, keys = [], [], []
+            tokens, lengths, keys, sizes = [], [], [], []
             for _, s in _sets(b, n):
                 if len(s) and (d := _digest(s)) not in seen:
                     seen.add(d)
                     tokens.append(t := prefix(s, num, den, heavy, rank))
-                    sizes.append(len(t))
+                    lengths.append(len(t))
+                    sizes.append(len(s))
                     keys.append(_key(d))
             if len(seen) > RUN:
                 seen.clear()
             if tokens:
-                all_tokens, owner = np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, dtype=np.int64), sizes)
-                for k in range(0, len(owner), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(all_tokens[k : k + 200_000]), pa.array(owner[k : k + 200_000])], names=["token", "key"])
+                each = np.array(lengths)
+                columns = [np.concatenate(tokens).view(np.int64), np.repeat(np.array(keys, dtype=np.int64), each), np.repeat(np.array(sizes, dtype=np.int32), each)]
+                for k in range(0, int(each.sum()), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=["token", "key", "size"])
 
     return run
 
 
+def _met(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, lead) of the sets that may link.
+
+    A list in order of size falls apart where the next size is too large for the threshold; no pair across such a
+    place can link, and what stands alone goes. In parts of up to PART sets the pairs themselves are counted: all
+    that two sets share outside both prefixes lies behind the prefix that ends first, so a pair needs as many
+    shared shingles in its prefixes as its overlap must have beyond the longer rest. A pair that meets in
+    a larger part goes on uncounted: all sets of that part meet at its lead."""
+    by_size, part = Window.partitionBy("token").orderBy("size", "key"), Window.partitionBy("token", "part")
+    size, before, after = F.col("size"), F.lag("size").over(by_size), F.lead("size").over(by_size)
+    rows = postings.withColumns({"apart": F.coalesce(den * before < num * size, F.lit(True)), "follows": F.coalesce(den * size >= num * after, F.lit(False))})
+    rows = rows.withColumn("part", F.sum(F.col("apart").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where("not apart or follows").select("token", "part", "key", "size").distinct()
+    rows = written(rows.withColumns({"sets": F.count(F.lit(1)).over(part), "lead": F.min("key").over(part)}).where("sets > 1"), "shared-postings")
+
+    few = rows.where(F.col("sets") <= PART).groupBy("token", "part").agg(F.sort_array(F.collect_list(F.struct("key", "size"))).alias("all"))
+    pairs = few.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, F.lit(PART))).alias("b"))
+    pairs = pairs.groupBy("a.key", "b.key", "a.size", "b.size").agg(F.count(F.lit(1)).alias("n")).toDF("lead", "key", "m", "size", "n")
+    both = F.col("m") + F.col("size")
+    rest = F.greatest(*[F.ceil(F.col(c) * num / F.lit(den)) - 1 for c in ("m", "size")])
+    pairs = pairs.where(F.col("n") >= F.ceil(both * num / F.lit(num + den)) - rest)
+    return rows.where((F.col("sets") > PART) & (F.col("key") != F.col("lead"))).select("key", "lead").union(pairs.select("key", "lead")).distinct()
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All positions of the ranges that start at first."""
     total = int(size.sum())
@@ -217,9 +245,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     classes = signatures.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"))
     classes = written(classes.where("first is not null"), "classes")
 
-    postings = base.mapInArrow(_postings(n, num, den, sent), "token long, key long")
-    met = postings.withColumn("lead", F.min("key").over(Window.partitionBy("token"))).where("key != lead")
-    met = met.select("key", "lead").distinct()
+    postings = base.mapInArrow(_postings(n, num, den, sent), "token long, key long, size int")
+    met = _met(postings, num, den)
     met = written(met, "met")
     members = met.union(met.select("lead", "lead").distinct())
     many = members.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("chunks"))
@@ -227,7 +254,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     members = members.withColumn("chunk", F.pmod(F.xxhash64("key", "lead"), F.col("chunks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members = members.select("id", "key", "lead", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    placed = base.join(members, "id").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    # the same kind of join at any size, so that cost follows the input
+    placed = base.join(members.hint("merge"), "id").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
     links = placed.select("id", "key", "lead", "chunk", "i", "j", "text").mapInArrow(_blocks(n, num, den), "a long, b long")
     found = components(links)
 
@@ -248,4 +276,4 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """The rows of docs of one document, that with the smallest id, of each component, and those with a null id."""
     gone = jaccard_components(docs, n, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id"))
     gone = gone.select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")
