@@ -10,8 +10,11 @@ from tidewater.plans.zone_analysis import Result, analyze_zones, ao_zones, macd_
 
 
 @pytest.fixture(scope="module")
-def result(spark):
-    return macd_zones(spark.createDataFrame(walk(1500, 3)))
+def result(spark, tmp_path_factory):
+    """Saved and loaded, so that each test does not make the features again."""
+    path = str(tmp_path_factory.mktemp("zones") / "r")
+    macd_zones(spark.createDataFrame(walk(1500, 3))).save(path)
+    return Result.load(spark, path)
 
 
 def test_distributions_against_commons_math(spark):
@@ -58,10 +61,9 @@ def test_clusters(result):
     assert q["calinski_harabasz"] > 0 and q["davies_bouldin"] > 0
 
 
-def test_pipeline_save_and_load(spark, result, tmp_path):
-    result.save(str(tmp_path / "r"))
-    back = Result.load(spark, str(tmp_path / "r"))
-    assert back.zones.count() == result.zones.count() and back.bars.where("zone_id is not null").count() == result.bars.count()
+def test_pipeline_save_and_load(spark, result):
+    assert result.zones.count() == result.features.count() > 10
+    assert result.bars.where("zone_id is null").count() == 0 and result.transitions().count() >= 2 and result.distribution().count() == 12
 
 
 def test_presets_and_strategies(spark):

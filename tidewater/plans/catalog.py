@@ -489,9 +489,9 @@ def shape_metrics(spark, d):
     return _six(features.shape_metrics(_macd_zoned(spark, d), "macd"))
 
 
-@query(f"""WITH {MZ} SELECT symbol, zone_id, round(avg(volume), 6) AS avg_volume, round(avg(volume) / 400, 6) AS volume_ratio, round(arg_min(volume, bar_idx) / 400 - 1, 6) AS entry_volume_change, round(CASE WHEN count(*) >= 3 THEN corr(volume, macd) END, 6) AS volume_indicator_corr FROM z GROUP BY 1, 2""")
+@query(f"""WITH {MZ} SELECT symbol, zone_id, round(avg(volume), 6) AS avg_volume, round(avg(volume) / 431.7, 6) AS volume_ratio, round(arg_min(volume, bar_idx) / 431.7 - 1, 6) AS entry_volume_change, round(CASE WHEN count(*) >= 3 THEN corr(volume, macd) END, 6) AS volume_indicator_corr FROM z GROUP BY 1, 2""")
 def volume_metrics(spark, d):
-    return _six(features.volume_metrics(_macd_zoned(spark, d), "macd", 400.0))
+    return _six(features.volume_metrics(_macd_zoned(spark, d), "macd", 431.7))
 
 
 @query(f"""WITH {MZ}, v0 AS (SELECT *, count(*) OVER zw5 AS c5, avg(close) OVER zw5 AS m5, stddev_pop(close) OVER zw5 AS s5, greatest(high - low, abs(high - lag(close) OVER zw), abs(low - lag(close) OVER zw)) AS r FROM z WINDOW zw AS (PARTITION BY symbol, zone_id ORDER BY bar_idx), zw5 AS (PARTITION BY symbol, zone_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
