@@ -721,7 +721,7 @@ def price_levels(spark, d):
 # robustness
 
 
-@query(f"""WITH {BARS}, n AS (SELECT symbol, floor(count(*) * 0.7) AS k FROM bars GROUP BY 1) SELECT bars.symbol AS series, CASE WHEN bar_idx < k THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(close), 6) AS mean_close FROM bars JOIN n ON bars.symbol = n.symbol GROUP BY 1, 2""")
+@query(f"""WITH {BARS}, n AS (SELECT symbol, floor(count(*) * CAST(0.7 AS DOUBLE)) AS k FROM bars GROUP BY 1) SELECT bars.symbol AS series, CASE WHEN bar_idx < k THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(close), 6) AS mean_close FROM bars JOIN n ON bars.symbol = n.symbol GROUP BY 1, 2""")
 def out_of_sample(spark, d):
     return _six(robustness.out_of_sample(_bars(spark, d)).groupBy("series", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("close").alias("mean_close")))
 
