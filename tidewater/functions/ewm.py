@@ -36,44 +36,45 @@ def ewm_mean(df: DataFrame, out: dict[str, tuple[str | Column, float, bool]], sy
     adjust=True: weighted mean with weights r^(t-i); missing values have no weight but let older ones decay, and a row
     with a missing value repeats the mean. adjust=False: e(t) = alpha x(t) + r e(t-1) from the first value on;
     missing values are passed over. NULL until the first value. order must number the rows of a series 0, 1, 2, ..."""
-    series = Window.partitionBy(symbol)
-    whole = series.orderBy(order)
-    own = list(df.columns)
+    own, kinds = list(df.columns), {}
     for name, (value, alpha, adjust) in out.items():
-        r = 1.0 - alpha
-        x = (F.col(value) if isinstance(value, str) else value).cast("double")
-        t = f"__{name}_"
-        df = df.withColumn(t + "x", x)
+        df = df.withColumn(f"__x_{name}", (F.col(value) if isinstance(value, str) else value).cast("double"))
+        kinds.setdefault("shared" if adjust else name, []).append((name, alpha, adjust))
+    for group in kinds.values():
+        df = _grouped(df, group, symbol, order)
+    return df.select(*own, *out)
+
+
+def _grouped(df: DataFrame, group: list[tuple[str, float, bool]], symbol: str, order: str) -> DataFrame:
+    """Columns of one group share their chunks, and so the windows; a group has adjusted means, or one that is not."""
+    whole = Window.partitionBy(symbol).orderBy(order)
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    rows = min(chunk_rows(alpha) for _, alpha, _ in group)
+    adjust, first = group[0][2], f"__x_{group[0][0]}"
+    # not adjusted: the place among the values that are there
+    i = F.col(order).cast("long") if adjust else F.sum(F.col(first).isNotNull().cast("long")).over(upto) - 1
+    df = df.withColumn("__i", i)
+    df = df.withColumns({"__c": F.floor(F.col("__i") / rows), "__p": F.pmod(F.col("__i"), F.lit(rows)).cast("double")})
+    chunk = Window.partitionBy(symbol, "__c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums, ends, done = {}, [], {}
+    for name, alpha, _ in group:
+        x, r = F.col(f"__x_{name}"), 1.0 - alpha
+        there = x.isNotNull().cast("double")
+        weight = there if adjust else there * F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+        scale = F.pow(F.lit(r), -F.col("__p")) if r > 0 else F.lit(1.0)
+        down = F.pow(F.lit(r), F.col("__p")) if r > 0 else F.lit(1.0)
+        sums[f"__n_{name}"] = F.sum(F.coalesce(x, F.lit(0.0)) * weight * scale).over(chunk) * down
         if adjust:
-            df = df.withColumn(t + "i", F.col(order).cast("long"))
-            weight, value_ = F.col(t + "x").isNotNull().cast("double"), F.coalesce(t + "x", F.lit(0.0))
-        else:
-            # the place among the values that are there
-            df = df.withColumn(t + "i", F.sum(F.col(t + "x").isNotNull().cast("long")).over(whole.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-            there = F.col(t + "x").isNotNull().cast("double")
-            weight = there * F.when(F.col(t + "i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-            value_ = F.coalesce(t + "x", F.lit(0.0)) * weight
-        if r == 0:
-            df = df.withColumn(name, F.last(t + "x", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-            df = df.drop(t + "x", t + "i")
-            own.append(name)
-            continue
-        rows = chunk_rows(alpha)
-        df = df.withColumn(t + "c", F.floor(F.col(t + "i") / rows)).withColumn(t + "p", F.pmod(F.col(t + "i"), F.lit(rows)).cast("double"))
-        chunk = Window.partitionBy(symbol, t + "c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        scale = F.pow(F.lit(r), -F.col(t + "p"))
-        down = F.pow(F.lit(r), F.col(t + "p"))
-        df = df.withColumn(t + "n", F.sum(value_ * scale).over(chunk) * down)
-        df = df.withColumn(t + "d", F.sum(weight * scale).over(chunk) * down if adjust else F.lit(1.0))
-        ends = F.lead(t + "c").over(whole) != F.col(t + "c")
-        df = df.withColumn(t + "e", F.when(ends, F.struct(F.col(t + "n").alias("n"), F.col(t + "d").alias("d"))))
-        before = F.last(t + "e", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1))
-        df = df.withColumn(t + "b", before)
+            sums[f"__d_{name}"] = F.sum(weight * scale).over(chunk) * down
+        sums[f"__s_{name}"] = F.last(x, ignorenulls=True).over(upto)
+        ends += [F.col(f"__n_{name}").alias(f"n_{name}"), *([F.col(f"__d_{name}").alias(f"d_{name}")] if adjust else [])]
         fade = down * r
-        n = F.col(t + "n") + F.coalesce(F.col(t + "b.n") * fade, F.lit(0.0))
-        d = F.col(t + "d") + (F.coalesce(F.col(t + "b.d") * fade, F.lit(0.0)) if adjust else F.lit(0.0))
-        started = F.count(t + "x").over(whole.rowsBetween(Window.unboundedPreceding, 0)) > 0
-        df = df.withColumn(name, F.when(started, n / d))
-        own.append(name)
-        df = df.select(*own)
-    return df.select(*own)
+        n = F.col(f"__n_{name}") + F.coalesce(F.col(f"__b.n_{name}") * fade, F.lit(0.0))
+        d = F.col(f"__d_{name}") + F.coalesce(F.col(f"__b.d_{name}") * fade, F.lit(0.0)) if adjust else F.lit(1.0)
+        # nothing before the first value; alpha = 1 is the last value itself
+        done[name] = F.when(F.col(f"__s_{name}").isNotNull(), n / d) if r > 0 else F.col(f"__s_{name}")
+    df = df.withColumns(sums)
+    # rows are numbered, so the last row of a full chunk is known by its place
+    full = F.when(F.col("__p") == rows - 1, F.struct(*ends))
+    df = df.withColumn("__e", full).withColumn("__b", F.last("__e", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1)))
+    return df.withColumns(done).drop("__i", "__c", "__p", "__e", "__b", *sums)
