@@ -25,16 +25,16 @@ from tidewater.llm.links import components
 from tidewater.llm.textarrays import raw, shingle_sets, slices
 from tidewater.storage import written
 
-#: Heaviest shingles that are ordered by count: 16 bytes each in a broadcast.
-HEAVY = 65_536
+#: Heaviest shingles that are ordered by count: 16 bytes each, 8 MB in a broadcast.
+HEAVY = 524_288
 #: A shingle is reported as heavy by a run of texts that holds it in so many sets.
-HEAVY_IN_RUN = 4
+HEAVY_IN_RUN = 2
 #: Shingles of a run.
 RUN = 2_000_000
 #: Sets that come together in one task; a pair of blocks has twice as many.
 BLOCK = 512
 #: Sets of a part of a list of which all pairs are counted.
-PART = 16
+PART = 32
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,9 +238,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = written(base.mapInArrow(_signatures(n), "id long, digest binary, n long, token long, count long"), "signatures")
     top = made.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HEAVY)
-    top = np.array([(r["token"], r["count"]) for r in top.collect()], dtype=np.int64).reshape(-1, 2)  # at most HEAVY rows
-    by = np.argsort(top[:, 0].view(np.uint64))
-    sent = spark.sparkContext.broadcast((top[by, 0].copy().view(np.uint64), top[by, 1].copy()))
+    top = top.toArrow()  # at most HEAVY rows of 16 bytes
+    tokens, counts = (top.column(c).to_numpy().astype(np.int64) for c in ("token", "count"))
+    by = np.argsort(tokens.view(np.uint64))
+    sent = spark.sparkContext.broadcast((tokens.view(np.uint64)[by], counts[by]))
     signatures = made.where("token is null").select("id", "digest", "n")
     classes = signatures.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"))
     classes = written(classes.where("first is not null"), "classes")
