@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,12 +153,17 @@ def scores(x: np.ndarray, model: dict) -> np.ndarray:
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out; a null text is scored as empty. The score sees nothing but the text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    names = [f"c{k}" for k in range(len(docs.columns))]
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(_features(pa.array(texts, type=pa.large_string(), from_pandas=True)), sent.value))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, len(b), 1000):  # texts stay in Arrow; few at a time
+                part = b.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores(_features(part.column(at)), sent.value))], names=[*names, "score"])
 
-    return docs.withColumn(out, of(F.col(text_col)))
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
+    return docs.toDF(*names).mapInArrow(run, f"{schema}, score double").toDF(*docs.columns, out)
 
 
 def held_out(id_col: str = "doc_id"):
