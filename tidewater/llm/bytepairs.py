@@ -20,7 +20,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: What may follow an apostrophe as one pre-token with it.
 SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pre-tokens that a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 @functools.cache
@@ -122,6 +122,7 @@ def _cut(text: str, cp: np.ndarray, starts: np.ndarray) -> list[str]:
     return marked.tobytes().decode("utf-32-le").split(chr(mark))
 
 
+@functools.cache
 def specials(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
         return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
@@ -136,7 +137,7 @@ def byte_symbols() -> list[str]:
 
 
 class RankMerger:
-    """Counts the symbols that are left of each pre-token after all merges, for whole batches.
+    """The symbols that are left of each pre-token after all merges, for whole batches.
 
     The symbols of all sequences lie in one array. In each round every sequence finds its adjacent pair of the
     lowest rank and merges all places of that pair, from the left where they overlap; all sequences advance in
@@ -155,25 +156,25 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
 
-    def counts(self, tokens: list[bytes]) -> np.ndarray:
+    def _rounds(self, tokens: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, symbols left of each, all these symbols' ids) of the pre-tokens that end in a round."""
         sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        out = sizes.copy()
         ids = self.of_byte[np.frombuffer(b"".join(tokens), dtype=np.uint8)]
-        own = np.flatnonzero(sizes > 1)
-        keep = np.repeat(sizes > 1, sizes)
-        ids, sizes = ids[keep], sizes[own]
-        none = len(self.keys)
+        own, none = np.arange(len(tokens)), len(self.keys)
         while len(own):
             starts = np.cumsum(sizes) - sizes
             key = ids * self.width
             key[:-1] += ids[1:]
-            tails = starts + sizes - 1
-            key[tails] = -1
+            key[starts + sizes - 1] = -1
             place = np.searchsorted(self.keys, key)
             place[place == none] = 0
             rank = np.where(self.keys[place] == key, self.rank[place], none)
             least = np.minimum.reduceat(rank, starts)
-            at = np.flatnonzero((rank == np.repeat(least, sizes)) & (rank < none))
+            going = least < none
+            on = np.repeat(going, sizes)
+            if not going.all():
+                yield own[~going], sizes[~going], ids[~on]
+            at = np.flatnonzero((rank == np.repeat(least, sizes)) & on)
             # of overlapping places every second one counts
             fresh = np.ones(len(at), dtype=bool)
             fresh[1:] = at[1:] != at[:-1] + 1
@@ -181,15 +182,27 @@ class RankMerger:
             at = at[(np.arange(len(at)) - lead) % 2 == 0]
             of = np.searchsorted(starts, at, side="right") - 1
             ids[at] = self.made[place[at]]
-            live = np.ones(len(ids), dtype=bool)
-            live[at + 1] = False
-            sizes = sizes - np.bincount(of, minlength=len(sizes))
-            going = (least < none) & (sizes > 1)
+            on[at + 1] = False
+            sizes = (sizes - np.bincount(of, minlength=len(sizes)))[going]
+            ids, own = ids[on], own[going]
+
+    def counts(self, tokens: list[bytes]) -> np.ndarray:
+        """The number of symbols left of each pre-token (of one byte or more)."""
+        out = np.zeros(len(tokens), dtype=np.int64)
+        for own, sizes, _ in self._rounds(tokens):
             out[own] = sizes
-            live &= np.repeat(going, np.diff(np.append(starts, len(live))))
-            ids, own, sizes = ids[live], own[going], sizes[going]
         return out
 
+    def ids(self, tokens: list[bytes]) -> Iterator[bytes]:
+        """The symbols left of each pre-token as little-endian 32-bit integers."""
+        ended = [*self._rounds(tokens)]
+        own, sizes = (np.concatenate([x[k] for x in ended]) for k in (0, 1))
+        data = np.concatenate([x[2] for x in ended]).astype("<u4").tobytes()
+        ends = np.cumsum(sizes) * 4
+        spans = np.column_stack([ends - sizes * 4, ends])[np.argsort(own, kind="stable")]
+        for a, b in spans.tolist():
+            yield data[a:b]
+
 
 @functools.cache
 def _merger(path: str) -> tuple[RankMerger, dict[str, int]]:
@@ -197,13 +210,23 @@ def _merger(path: str) -> tuple[RankMerger, dict[str, int]]:
 
 
 @functools.cache
-def _library(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {s: int(i).to_bytes(4, "little") for s, i in specials(path).items()}
+def _encoder(path: str) -> tuple[RankMerger, dict[str, bytes]]:
+    return RankMerger(path), {s: i.to_bytes(4, "little") for s, i in specials(path).items()}
+
+
+def _looked_up(tokens: list[str], known: dict, special: tuple[str, ...], make) -> list:
+    """The remembered value of each token; make() gives those of a list of new ones."""
+    each = list(map(known.get, tokens))
+    if None in each:
+        new = [*{t for t, e in zip(tokens, each) if e is None}]
+        if len(known) > REMEMBERED:
+            kept = {s: known[s] for s in special}
+            known.clear()
+            known.update(kept)
+            new = [t for t in {*tokens} if t not in known]
+        known.update(zip(new, make(new)))
+        each = list(map(known.__getitem__, tokens))
+    return each
 
 
 def token_counts(texts: pa.Array, path: str, kinds: np.ndarray) -> np.ndarray:
@@ -212,33 +235,15 @@ def token_counts(texts: pa.Array, path: str, kinds: np.ndarray) -> np.ndarray:
     special = tuple(specials(path))
     out = []
     for tokens, upto in pretokens(texts, kinds, special):
-        if new := [t for t in {*tokens} if t not in known]:
-            if len(known) > REMEMBERED:
-                for t in [*known]:
-                    if t not in special:
-                        del known[t]
-                new = [t for t in {*tokens} if t not in known]
-            known.update(zip(new, merger.counts([t.encode() for t in new]).tolist()))
-        each = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        out.append(np.diff(np.concatenate([[0], np.cumsum(each)])[upto]))
+        each = _looked_up(tokens, known, special, lambda new: merger.counts([t.encode() for t in new]).tolist())
+        out.append(np.diff(np.concatenate([[0], np.cumsum(np.array(each, dtype=np.int64))])[upto]))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
 def token_ids(texts: pa.Array, path: str, kinds: np.ndarray) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit integers; each distinct pre-token is encoded by the
-    tokenizers library, once as long as the worker remembers it."""
-    library, known = _library(path)
-    special = tuple(specials(path))
-    for tokens, upto in pretokens(texts, kinds, special):
-        new = [t for t in {*tokens} if t not in known]
-        if new and len(known) > REMEMBERED:
-            for t in [*known]:
-                if t not in special:
-                    del known[t]
-            new = [t for t in {*tokens} if t not in known]
-        if new:
-            got = library.encode_batch_fast(new, add_special_tokens=False)
-            known.update((t, np.asarray(e.ids, dtype="<u4").tobytes()) for t, e in zip(new, got))
-        each = list(map(known.__getitem__, tokens))
+    """The ids that the tokenizers library gives for each text, as little-endian 32-bit integers."""
+    merger, known = _encoder(path)
+    for tokens, upto in pretokens(texts, kinds, tuple(specials(path))):
+        each = _looked_up(tokens, known, tuple(specials(path)), lambda new: merger.ids([t.encode() for t in new]))
         for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
             yield b"".join(each[a:b])

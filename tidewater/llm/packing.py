@@ -99,7 +99,7 @@ def _rows(windows: list, first: int, with_ids: bool = False) -> dict[str, list]:
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_open: int = OPEN) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The ids of a document are the tokenizers library's for its whole text, then 1; null text counts as empty and
+    The ids of a document are those that the tokenizers library gives for its whole text, then 1; null text counts as empty and
     gives the id 1 alone. Rows that repeat an id are documents of their own. Each id of each document lies in one
     piece; offsets in a sequence have no gaps and start at 0. An empty table gives an empty result; other columns
     are ignored."""
