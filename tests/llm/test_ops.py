@@ -367,3 +367,33 @@ def test_lm_scoring_equals_brute_force(spark, docs, texts, empty):
         for name, loss in (("target_loss", target), ("background_loss", background)):
             assert np.isclose(r[name], sum(loss(a, b) for a, b in zip(s, s[1:])) / max(n, 1), rtol=1e-4, atol=1e-6)
     assert cross_entropy_difference(empty, wanted).count() == 0
+
+
+def test_lm_scoring_tells_rare_words(spark, monkeypatch):
+    """The vocabulary has no size: words that more than a thousand others outnumber still tell documents apart."""
+    from collections import Counter
+
+    from tidewater.llm import lm_scoring
+    from tidewater.llm.lm_scoring import cross_entropy_difference
+
+    monkeypatch.setattr(lm_scoring, "SMALL_BYTES", 1000)  # several blocks and parts
+    common = " ".join(f"c{k}" for k in range(1500))
+    texts = [common, common, "rare one", "other two", "rare one", "other two", "", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in cross_entropy_difference(docs, spark.createDataFrame([(2,)], "doc_id long")).collect()}
+    assert len(rows) == len(texts) and rows[4]["score"] < rows[5]["score"] - 0.1 and rows[6]["n_words"] == rows[7]["score"] == 0
+    seqs = [["<s>", *(t or "").split()] for t in texts]
+
+    def loss(ids, k):
+        pairs = Counter(p for i in ids for p in zip(seqs[i], seqs[i][1:]))
+        single, seen, kinds = Counter(), Counter(), Counter()
+        for (a, b), n in pairs.items():
+            single[b], seen[a], kinds[a] = single[b] + n, seen[a] + n, kinds[a] + 1
+        total, s = sum(single.values()) + 1504 + 1, 0.0
+        for a, b in zip(seqs[k], seqs[k][1:]):
+            w = kinds[a] / (seen[a] + kinds[a]) if seen[a] else 1.0
+            s -= np.log((1 - w) * pairs[a, b] / max(seen[a], 1) + w * (single[b] + 1) / total)
+        return s / max(len(seqs[k]) - 1, 1)
+
+    for k, r in rows.items():
+        assert np.isclose(r["target_loss"], loss([2], k)) and np.isclose(r["background_loss"], loss(range(len(texts)), k))
