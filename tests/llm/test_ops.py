@@ -397,3 +397,29 @@ def test_lm_scoring_tells_rare_words(spark, monkeypatch):
 
     for k, r in rows.items():
         assert np.isclose(r["target_loss"], loss([2], k)) and np.isclose(r["background_loss"], loss(range(len(texts)), k))
+
+
+def test_removed_passages_do_not_depend_on_neighbours(spark):
+    from tidewater.llm.substring_dedup import boundaries, substring_dedup
+
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    data = lambda s: np.frombuffer(s.encode(), dtype=np.uint8)
+    texts = []
+    for _ in range(60):
+        passage = some(60)
+        texts += [f"{some(rng.randrange(40))} {passage} {some(30)}" for _ in range(2)]
+    for a, b in zip(texts, texts[1:]):
+        alone = boundaries(data(b), np.array([0, len(b)]))[0]
+        assert np.array_equal(boundaries(data(a + b), np.array([0, len(a), len(a + b)]))[1] - len(a), alone)
+    results = []
+    for seed, parts in ((1, 2), (2, 5)):
+        rows = [*enumerate(texts)]
+        random.Random(seed).shuffle(rows)
+        out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), least_words=15).collect()
+        results.append({r["doc_id"]: r["removed_spans"] for r in out})
+        for k, spans in results[-1].items():
+            assert len(spans) == k % 2
+            for a, e in spans:
+                assert texts[k].encode()[a:e] in texts[k - 1].encode()
+    assert results[0] == results[1]

@@ -30,19 +30,22 @@ LEAST_WORDS = 15
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The gear hash after each byte: h = (h << 1) + gear[byte] in 32 bits, so of the last 32 bytes."""
-    h = _GEAR[data]
+def gear_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The gear hash after each byte: h = (h << 1) + gear[byte] in 32 bits, so of the last 32 bytes; each text starts
+    anew, as if nothing were before it."""
+    place = np.arange(len(data)) + np.repeat(31 * np.arange(1, len(at)), np.diff(at))
+    h = np.zeros(len(data) + 31 * len(at), dtype=np.uint32)
+    h[place] = _GEAR[data]
     for width in (1, 2, 4, 8, 16):
         shifted = np.zeros_like(h)
         shifted[width:] = h[:-width] << np.uint32(width)
         h = h + shifted
-    return h
+    return h[place]
 
 
 def boundaries(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     """For each text the ends of its chunks, as offsets in data."""
-    h = gear_hashes(data)
+    h = gear_hashes(data, at)
     open_end = IS_SPACE[data].copy()
     open_end[:-1] &= ~IS_SPACE[data[1:]]
     places = np.flatnonzero(open_end & (h >> np.uint32(32 - TOP_BITS) == 0)) + 1
@@ -75,20 +78,24 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield i, part, own, boundaries(part, own)
 
 
+def _chunk_digests(data: np.ndarray, at: np.ndarray, ends: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the chunks of all texts, and the number of chunks of each."""
+    sizes = np.array([len(e) for e in ends])
+    last = np.concatenate(ends)
+    first = np.concatenate([np.zeros(min(1, len(last)), dtype=np.int64), last[:-1]])
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = at[:-1][sizes > 0]
+    return span_hashes(data, first, last).view(np.int64), sizes
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column("id")
         for i, data, at, ends in _slices(b):
-            sizes = np.array([len(e) for e in ends])
-            last = np.concatenate(ends)
-            if not len(last):
+            digest, sizes = _chunk_digests(data, at, ends)
+            if not len(digest):
                 continue
-            first = np.concatenate([[0], last[:-1]])
-            first[(np.cumsum(sizes) - sizes)[sizes > 0]] = at[:-1][sizes > 0]
-            digest = span_hashes(data, first, last).view(np.int64)
-            number = np.arange(len(last)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             docs = ids.slice(i, len(ends)).take(pa.array(np.repeat(np.arange(len(ends)), sizes)))
-            out = pa.RecordBatch.from_arrays([docs, pa.array(digest), pa.array(number.astype(np.int32))], names=["id", "digest", "n"])
+            out = pa.RecordBatch.from_arrays([docs, pa.array(digest)], names=["id", "digest"])
             yield out.filter(docs.is_valid()) if docs.null_count else out
 
 
@@ -119,9 +126,14 @@ def _cut(least_words: int):
                 part = b.slice(i, len(chunks))
                 foreign, null = part.column("foreign").to_pylist(), part.column("text").is_null().to_pylist()
                 rows = []
+                digest, sizes = _chunk_digests(data, at, chunks) if any(foreign) else (None, np.zeros(len(chunks), dtype=np.int64))
+                upto = np.cumsum(sizes) - sizes
                 for k, own in enumerate(chunks):
                     text, ends = data[at[k] : at[k + 1]].tobytes(), (own - at[k]).tolist()
-                    spans, removed = _removed(text, ends, {*foreign[k]}, least_words) if foreign[k] else ([], 0)
+                    spans, removed = [], 0
+                    if foreign[k]:
+                        of_others = np.flatnonzero(np.isin(digest[upto[k] : upto[k] + sizes[k]], foreign[k]))
+                        spans, removed = _removed(text, ends, {*of_others.tolist()}, least_words)
                     kept, last = [], 0
                     for x, y in spans:
                         kept.append(text[last:x])
@@ -143,13 +155,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept_text is the text without the passages that a document with a smaller id holds too; spans are in bytes of
     UTF-8. Passages: runs of chunks, of least_words words or more, that some other document owns. Repeats within
     a document stay. Null text stays null and has no chunks; rows with a null id own nothing and lose nothing;
-    rows that repeat an id are one document and lose the same places. An empty table gives an empty result; other columns pass through, but for
+    rows that repeat an id are one document: no row of it loses what only they hold. An empty table gives an empty result; other columns pass through, but for
     those named like the new ones, which are replaced."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = base.mapInArrow(_digests, "id long, digest long, n int")
+    chunks = base.mapInArrow(_digests, "id long, digest long")
     owners = chunks.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
     owners = written(owners.select("digest", "owner"), "chunk-owners")
-    foreign = chunks.join(owners, "digest").where("id != owner").groupBy("id").agg(F.collect_set("n").alias("foreign"))
+    foreign = chunks.join(owners, "digest").where("id != owner").groupBy("id").agg(F.collect_set("digest").alias("foreign"))
     new = OUT.replace("array<array<long>>", "x").replace(" string", "").replace(" long", "").replace(" x", "").split(", ")
     keep = [c for c in docs.columns if c not in new]
     named = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
