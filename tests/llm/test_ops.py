@@ -423,3 +423,19 @@ def test_removed_passages_do_not_depend_on_neighbours(spark):
             for a, e in spans:
                 assert texts[k].encode()[a:e] in texts[k - 1].encode()
     assert results[0] == results[1]
+
+
+def test_shingle_sets_of_few_words():
+    import pyarrow as pa
+
+    from tidewater.llm.textarrays import SLICE_BYTES, raw, shingle_sets, slices
+
+    for texts in (["a b"], ["a b c"], ["a"], [""], ["a b", "x " * SLICE_BYTES], ["a b c", "x " * SLICE_BYTES]):
+        for n in (4, 5):
+            data, at = raw(pa.array([*texts, "a b", "a b c"]))
+            together = shingle_sets(data, at, n)
+            own = []
+            data, at = raw(pa.array(texts))
+            for i, j in slices(at):
+                own += shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i], n)
+            assert all(np.array_equal(x, y) for x, y in zip(own, together)) and len(own) == len(texts)

@@ -102,7 +102,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     starts, ends, upto = words(data, at)
     one = span_hashes(data, starts, ends)
     many = one.copy()
-    for k in range(1, n):
+    for k in range(1, min(n, len(one))):
         many[: len(one) - k] = mix(many[: len(one) - k] * _BASE + one[k:])
     out = []
     for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
