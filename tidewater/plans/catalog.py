@@ -747,7 +747,7 @@ def sensitivity(spark, d):
 def monte_carlo(spark, d):
     b = _bars(spark, d)
     metric = lambda x: x.groupBy("symbol").agg(F.stddev_samp("close").alias("m"))
-    sims = robustness.simulate(b, 20)
+    sims = robustness.simulate(b)
     sim = sims.groupBy("symbol", "series").agg(F.stddev_samp("close").alias("m"))
     return _six(robustness.against_simulations(metric(b), sim, "m"))
 
