@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.test_series import walk
@@ -42,6 +43,51 @@ def test_adf_tells_walks_from_noise():
     assert hypothesis.adf(np.cumsum(rng.normal(size=400)))[1] > 0.05
 
 
+def whole_adf(x):
+    """As statsmodels does it, on the whole array."""
+    n, dx = len(x), np.diff(x)
+    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
+
+    def fit(lags, first):
+        y = dx[first:]
+        z = np.column_stack([x[first:-1], *[dx[first - k : len(dx) - k] for k in range(1, lags + 1)], np.ones(len(y))])
+        b = np.linalg.lstsq(z, y, rcond=None)[0]
+        return y, z, b, y - z @ b
+
+    def aic(lags):
+        y, z, _, e = fit(lags, most)
+        return len(y) * (math.log(2 * math.pi * (e @ e) / len(y)) + 1) + 2 * z.shape[1]
+
+    best = min(range(most + 1), key=aic)
+    y, z, b, e = fit(best, best)
+    return b[0] / math.sqrt(e @ e / (len(y) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0]), best
+
+
+def test_stationarity_of_each_series(spark):
+    """One row a symbol, of any length and however the pieces fall."""
+    rng = np.random.default_rng(5)
+    series = {"a": rng.integers(1, 40, 300), "b": np.abs(np.cumsum(rng.integers(-3, 4, 25_000))) + 1, "c": np.full(30, 7), "d": rng.integers(1, 9, 5), "e": np.abs(np.cumsum(rng.integers(-3, 4, 101_000))) + 1, "f": rng.integers(1, 40, 12)}
+    rows = pd.concat([pd.DataFrame({"symbol": s, "start_idx": np.arange(len(x)), "duration": x}) for s, x in series.items()]).sample(frac=1, random_state=1)
+    f = spark.createDataFrame(rows).repartition(3)
+    got = {r["symbol"]: r for r in hypothesis.duration_stationarity_of_series(f).collect()}
+    assert set(got) == set(series) and got["c"]["error"] == "constant" and got["d"]["error"] == "too few rows"
+    for s in "abef":
+        x = series[s].astype(float)
+        t, lags = whole_adf(x)
+        assert got[s]["error"] is None and got[s]["lags"] == lags and math.isclose(got[s]["statistic"], t, rel_tol=1e-6) and got[s]["n"] == len(x)
+        assert math.isclose(got[s]["trend"], np.corrcoef(np.arange(len(x)), x)[0, 1], rel_tol=1e-6)
+    assert [r["symbol"] for r in hypothesis.run_all(f.where("symbol < 'c'"), ["duration_stationarity"])["duration_stationarity"]["series"]] == ["a", "b"]
+
+
+def test_query_has_a_row_for_each_series(spark, sf):
+    from tidewater.plans import catalog
+
+    rows = catalog.queries()["hypothesis_tests"](spark, sf).collect()
+    symbols = {r["event_type"] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_type").distinct().collect()}
+    assert len(symbols) > 1 and {r["symbol"] for r in rows if r["name"] == "duration_stationarity"} == symbols
+    assert all(r["error"] for r in rows if r["p_value"] is None)
+
+
 def test_ols_equals_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 2))

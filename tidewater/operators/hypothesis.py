@@ -6,9 +6,10 @@ name, statistic, p_value, significant, effect_size, n, and what it needs to be r
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,45 +159,115 @@ def adf_p(t: float) -> float:
     return 1 - normal_sf(sum(c * t**k for k, c in enumerate(_ADF_SMALL if t <= _ADF_STAR else _ADF_LARGE)))
 
 
+class _Adf:
+    """Augmented Dickey-Fuller with a constant; lags by the Akaike criterion on the common sample. The values of a
+    series of known length come in order, in pieces; only sums of products of a row's terms and the first rows stay."""
+
+    def __init__(self, n: int, shift: float = 0.0):
+        self.n, self.shift, self.most = n, shift, max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
+        self.tail, self.head, self.seen = np.zeros(0), np.zeros(0), 0
+        self.sums = np.zeros((self.most + 3, self.most + 3))
+        self.low, self.high, self.trend = math.inf, -math.inf, np.zeros(3)
+
+    def _terms(self, x: np.ndarray, lags: int) -> np.ndarray:
+        """Difference, value before, constant, lagged differences: a row for each value that has all of them."""
+        dx = np.diff(x)
+        return np.column_stack([dx[lags:], x[lags:-1], np.ones(len(dx) - lags), *[dx[lags - k : len(dx) - k] for k in range(1, lags + 1)]])
+
+    def add(self, x: np.ndarray) -> None:
+        if not len(x):
+            return
+        x = x - self.shift
+        i = np.arange(self.seen, self.seen + len(x)) - (self.n - 1) / 2
+        self.trend += [i @ x, x.sum(), x @ x]
+        self.low, self.high, self.seen = min(self.low, x.min()), max(self.high, x.max()), self.seen + len(x)
+        if len(self.head) <= self.most:
+            self.head = np.concatenate([self.head, x[: self.most + 1 - len(self.head)]])
+        x = np.concatenate([self.tail, x])
+        if len(x) > self.most + 1:
+            z = self._terms(x, self.most)
+            self.sums += z.T @ z
+        self.tail = x[-(self.most + 1) :]
+
+    def _fit(self, sums: np.ndarray, lags: int) -> tuple[float, float, float]:
+        """Rows, sum of squared errors, the value's t."""
+        g, c, rows = sums[1 : lags + 3, 1 : lags + 3], sums[0, 1 : lags + 3], float(sums[2, 2])
+        size = np.sqrt(np.maximum(np.diag(g), 1e-300))
+        inverse = np.linalg.pinv(g / np.outer(size, size), hermitian=True) / np.outer(size, size)
+        b = inverse @ c
+        rss = max(0.0, float(sums[0, 0] - b @ c))
+        s = math.sqrt(rss / max(1.0, rows - lags - 2) * max(inverse[0, 0], 0.0))
+        return rows, rss, float(b[0] / s) if s else -math.inf if b[0] < 0 else math.inf
+
+    def result(self) -> tuple[float, float, int]:
+        """t, p, lags."""
+
+        def aic(lags: int) -> float:
+            rows, rss, _ = self._fit(self.sums, lags)
+            return rows * (math.log(2 * math.pi * max(rss, 1e-300) / rows) + 1) + 2 * (lags + 2)
+
+        best = min(range(self.most + 1), key=aic)
+        sums = self.sums[: best + 3, : best + 3].copy()
+        if best < self.most:
+            z = self._terms(self.head, best)
+            sums += z.T @ z
+        t = self._fit(sums, best)[2]
+        return t, adf_p(t), best
+
+    def slope(self) -> float:
+        """Correlation of the values and their places."""
+        own = self.trend[2] - self.trend[1] ** 2 / self.n
+        return float(self.trend[0] / math.sqrt(own * self.n * (self.n**2 - 1) / 12))
+
+
 def adf(x: np.ndarray) -> tuple[float, float, int]:
-    """Augmented Dickey-Fuller with a constant; lags by the Akaike criterion on the common sample."""
-    n = len(x)
-    most = max(0, min(int(math.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2))
-    dx = np.diff(x)
-
-    def fit(lags: int, first: int):
-        y = dx[first:]
-        z = np.column_stack([x[first:-1], *[dx[first - k : len(dx) - k] for k in range(1, lags + 1)], np.ones(len(y))])
-        b, *_ = np.linalg.lstsq(z, y, rcond=None)
-        e = y - z @ b
-        return y, z, b, e
-
-    def aic(lags: int) -> float:
-        y, z, _, e = fit(lags, most)
-        return len(y) * (math.log(2 * math.pi * max(e @ e, 1e-300) / len(y)) + 1) + 2 * z.shape[1]
-
-    best = min(range(most + 1), key=aic)
-    y, z, b, e = fit(best, best)
-    s2 = e @ e / max(1, len(y) - z.shape[1])
-    t = b[0] / math.sqrt(s2 * np.linalg.pinv(z.T @ z)[0, 0])
-    return float(t), adf_p(float(t)), best
-
-
-def duration_stationarity(f: DataFrame, most: int = 100_000) -> dict:
-    """Unit root of the durations in order (of the first series if there are several); a series with more zones
-    than most is an error."""
-    symbol = f.agg(F.min("symbol")).first()[0]
-    one = f.where(F.col("symbol") == symbol).select("start_idx", F.col("duration").cast("double").alias("d"))
-    n = one.count()
-    if n < 10:
-        return _result("duration_stationarity", None, None, n, error="too few rows")
-    if n > most:
-        raise ValueError(f"{n} zones in one series; the regression runs on the driver")
-    x = np.array([r["d"] for r in one.orderBy("start_idx").collect()])
-    if np.ptp(x) == 0:
-        return _result("duration_stationarity", None, None, n, error="constant")
-    t, p, lags = adf(x)
-    return _result("duration_stationarity", t, p, n, lags=lags, trend=float(np.corrcoef(np.arange(n), x)[0, 1]))
+    """Augmented Dickey-Fuller of one array: t, p, lags."""
+    one = _Adf(len(x), float(np.mean(x)))
+    one.add(np.asarray(x, dtype=float))
+    return one.result()
+
+
+def _stationarity(symbol: str, one: _Adf, alpha: float = ALPHA) -> tuple:
+    error = "too few rows" if one.n < 10 else "constant" if one.low == one.high else None
+    if error:
+        return symbol, None, None, False, one.n, None, None, error
+    t, p, lags = one.result()
+    return symbol, t, p, p < alpha, one.n, lags, one.slope(), None
+
+
+def duration_stationarity_of_series(f: DataFrame) -> DataFrame:
+    """Unit root of the durations in order, one row a symbol: statistic, p_value, significant, n, lags, trend, error. A
+    series is read once, in pieces, so it may have any number of zones."""
+    whole = Window.partitionBy("symbol")
+    d = f.select("symbol", "start_idx", F.col("duration").cast("double").alias("d")).where("d is not null")
+    d = d.withColumns({"n": F.count(F.lit(1)).over(whole), "m": F.avg("d").over(whole)}).repartition("symbol").sortWithinPartitions("symbol", "start_idx")
+    schema = pa.schema([("symbol", pa.string()), ("statistic", pa.float64()), ("p_value", pa.float64()), ("significant", pa.bool_()), ("n", pa.int64()), ("lags", pa.int32()), ("trend", pa.float64()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one = None, None
+        row = lambda: pa.RecordBatch.from_pylist([dict(zip(schema.names, _stationarity(now, one)))], schema)
+        for b in batches:
+            symbols, x = b.column("symbol").to_pylist(), b.column("d").to_numpy(zero_copy_only=False)
+            starts = [k for k in range(len(symbols)) if k == 0 or symbols[k] != symbols[k - 1]]
+            for i, j in zip(starts, [*starts[1:], len(symbols)]):
+                if one is None or symbols[i] != now:
+                    if one is not None:
+                        yield row()
+                    now, one = symbols[i], _Adf(b.column("n")[i].as_py(), b.column("m")[i].as_py())
+                one.add(x[i:j])
+        if one is not None:
+            yield row()
+
+    return d.mapInArrow(run, "symbol string, statistic double, p_value double, significant boolean, n long, lags int, trend double, error string")
+
+
+def duration_stationarity(f: DataFrame) -> dict:
+    """Unit root of the durations in order; series has the result of each, and where there is one only, it is the whole."""
+    name = "duration_stationarity"
+    series = [r.asDict() | {"name": name, "effect_size": None} for r in duration_stationarity_of_series(f).orderBy("symbol").collect()]
+    if len(series) == 1:
+        return series[0] | {"series": series}
+    return _result(name, None, None, sum(r["n"] for r in series), series=series, error=f"{len(series)} series, each tested by itself" if series else "too few rows")
 
 
 def mann_whitney(df: DataFrame, column: str, group: str, first, second) -> dict:
@@ -243,12 +314,12 @@ TESTS: dict[str, Callable[[DataFrame], dict]] = {
 }
 
 
-def run_all(features: DataFrame) -> dict[str, dict]:
-    """All tests; what one cannot do with these rows is in its error."""
+def run_all(features: DataFrame, names: Iterable[str] = tuple(TESTS)) -> dict[str, dict]:
+    """All tests, or those named; what one cannot do with these rows is in its error."""
     out = {}
-    for name, test in TESTS.items():
+    for name in names:
         try:
-            out[name] = test(features)
+            out[name] = TESTS[name](features)
         except (ValueError, ZeroDivisionError, ArithmeticError) as e:
             out[name] = _result(name, None, None, 0, error=str(e))
     return out

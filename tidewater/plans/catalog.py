@@ -615,8 +615,8 @@ def uniformity(spark, d):
 
 
 def _rows(spark: SparkSession, results: list[dict]) -> DataFrame:
-    some = [(r["name"], r["statistic"], r["p_value"], r["significant"], r["effect_size"], r["n"]) for r in results]
-    return _six(spark.createDataFrame(some, "name string, statistic double, p_value double, significant boolean, effect_size double, n long"))
+    some = [(r["name"], r["statistic"], r["p_value"], r["significant"], r["effect_size"], r["n"], r.get("error")) for r in results]
+    return _six(spark.createDataFrame(some, "name string, statistic double, p_value double, significant boolean, effect_size double, n long, error string"))
 
 
 @query()
@@ -624,7 +624,11 @@ def hypothesis_tests(spark, d):
     from tidewater.storage import written
 
     f = written(features.base_features(_macd_zoned(spark, d), "macd"), "zone-features")
-    return _rows(spark, [*hypothesis.run_all(f).values()])
+    by_series = "duration_stationarity"
+    pooled = hypothesis.run_all(f, [n for n in hypothesis.TESTS if n != by_series])
+    own = _six(hypothesis.duration_stationarity_of_series(f).withColumns({"name": F.lit(by_series), "effect_size": F.lit(None).cast("double")}))
+    names = ["name", "symbol", "statistic", "p_value", "significant", "effect_size", "n", "error"]
+    return _rows(spark, [*pooled.values()]).withColumn("symbol", F.lit(None).cast("string")).select(*names).unionByName(own.select(*names))
 
 
 @query("""WITH g AS (SELECT c_mktsegment IN ('BUILDING', 'MACHINERY') AS a, count(c_acctbal) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1), x AS (SELECT max(n) FILTER (a) AS n1, max(n) FILTER (NOT a) AS n2, max(m) FILTER (a) AS m1, max(m) FILTER (NOT a) AS m2, max(v) FILTER (a) AS v1, max(v) FILTER (NOT a) AS v2 FROM g),
