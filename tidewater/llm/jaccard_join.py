@@ -6,8 +6,8 @@ shingle in their prefixes in this order, so all sets that hold a shingle in thei
 link, meet at the least of them, the lead of that list. A lead's members come together once, however many lists
 they share, and with more than a block of them in blocks of which each pair is a task of its own.
 
-Within a block the sets lie in order of size. Index lists are in this order too, and of a list only the run of
-positions that the sizes allow is looked at. A set's overlaps with all others are derived from those just
+Within a block the sets lie in order of size. Index lists are read whole, and sizes that cannot link are left out when
+overlaps are compared; lists are not skipped by position. A set's overlaps with all others are derived from those just
 computed for a highly similar set: only the lists of shingles that one has and the other lacks are read. What
 leaves a block is a spanning forest of its links."""
 
