@@ -206,10 +206,40 @@ def test_split_equals_library(tokenizer):
     alphabet = "  \n\t'sstdmreveLl'aé中1²٣  !?<|endoftext|>  　😀x"
     odd = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["<|endoftext|>" * 3, "\x01\x02 a"]
     kinds = bytepairs.classes()
-    got = [np.frombuffer(x, "<u4").tolist() for x in bytepairs.token_ids(pa.array(odd, pa.large_string()), path, kinds)]
+    got = [x.tolist() for x in bytepairs.token_ids(pa.array(odd, pa.large_string()), path, kinds)]
     assert got == [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_long_pretokens_equal_library(tokenizer):
+    import time
+
+    import pyarrow as pa
+
+    from tidewater.llm import bytepairs
+
+    path, library = tokenizer
+    rng = random.Random(7)
+    odd = ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefghijklmnopqrstuvwxyz", "ACGT", "aé中") for n in (127, 128, 129, 1000, 5000)]
+    odd += ["a" * 1000, "ab" * 700, "\n" * 400, "=" * 333, "the" * 500]
+    kinds = bytepairs.classes()
+    got = [x.tolist() for x in bytepairs.token_ids(pa.array(odd, pa.large_string()), path, kinds)]
+    assert got == [x.ids for x in library.encode_batch(odd, add_special_tokens=False)]
+    began = time.time()
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    n = bytepairs.token_counts(pa.array([long]), path, kinds)
+    assert time.time() - began < 20 and n[0] == len(library.encode(long, add_special_tokens=False).ids)
+
+
+def test_packing_keeps_ids_beside_null(spark, tokenizer):
+    from tidewater.llm import packing
+
+    ids = [2**60 + 1, None, 2**60 + 3, 2**60 + 3]
+    docs = spark.createDataFrame([(i, "some text") for i in ids], "doc_id long, text string").repartition(3)
+    rows = packing.pack(docs, tokenizer[0]).collect()
+    assert sorted([r["doc_id"] for r in rows], key=str) == sorted(ids, key=str) and all(r["length"] == r["doc_tokens"] for r in rows)
+    assert len({r["sequence_id"] for r in rows}) == 1
+
+
 def test_packing(docs, texts, empty, tokenizer, monkeypatch):
     from tidewater.llm import packing
 
@@ -240,6 +270,7 @@ def test_packing(docs, texts, empty, tokenizer, monkeypatch):
 
 def test_sentencepiece(docs, texts, empty):
     import public_tokenizers
+    import pyarrow as pa
     import sentencepiece
 
     from tidewater.llm import sentencepieces
@@ -256,7 +287,7 @@ def test_sentencepiece(docs, texts, empty):
     v = sentencepieces.Vocabulary(path)
     rng = random.Random(3)
     odd = ["".join(rng.choice("  \n'ab the▁中é😀<s>\x00") for _ in range(rng.randrange(25))) for _ in range(2000)]
-    assert [x.tolist() for x in v.encode(odd)] == library.encode(odd)
+    assert [x.tolist() for x in v.encode(pa.array(odd))] == library.encode(odd)
 
 
 def test_warc(spark, tmp_path):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,45 +25,46 @@ LENGTH = 2048
 OPEN = 16
 #: Partitions whose leftovers are merged together: at most 256 x 2047 ids in one task.
 GROUP = 256
-END = (1).to_bytes(4, "little")
+END = np.array([1], dtype="<u4")
 #: Sequence ids have the partition above these bits; merged groups come after all partitions.
 BITS, MERGED = 32, 1 << 30
 
 
 class Packer:
-    """Places pieces (doc, start, ids, doc_tokens) into windows of length tokens; ids are bytes, four for each."""
+    """Places pieces (doc, start, ids, doc_tokens) into windows of length tokens; ids are arrays."""
 
     def __init__(self, length: int, most_open: int):
         self.length, self.most_open = length, most_open
         self.open: list[list] = []  # each [used, pieces]
         self.full: list[list] = []  # pieces of emitted windows
 
-    def add(self, doc, start: int, ids: bytes, total: int) -> None:
-        n = len(ids) // 4
-        while n >= self.length:
-            self.full.append([(doc, start, ids[: 4 * self.length], total)])
-            start, ids, n = start + self.length, ids[4 * self.length :], n - self.length
-        if n:
-            self._place(doc, start, ids, n, total)
+    def add(self, doc, start: int, ids: np.ndarray, total: int) -> None:
+        whole = len(ids) // self.length * self.length
+        for k in range(0, whole, self.length):
+            self.full.append([(doc, start + k, ids[k : k + self.length], total)])
+        if whole < len(ids):
+            self._place(doc, start + whole, ids[whole:], total)
 
-    def _place(self, doc, start: int, ids: bytes, n: int, total: int) -> None:
+    def _place(self, doc, start: int, ids: np.ndarray, total: int) -> None:
         while True:
-            fit = [w for w in self.open if w[0] + n <= self.length]
-            if fit:
-                best = max(fit, key=lambda w: w[0])
-                best[0] += n
+            best, room = None, self.length - len(ids)
+            for w in self.open:
+                if w[0] <= room and (best is None or w[0] > best[0]):
+                    best = w
+            if best is not None:
+                best[0] += len(ids)
                 best[1].append((doc, start, ids, total))
                 if best[0] == self.length:
                     self._emit(best)
                 return
             if len(self.open) < self.most_open:
-                self.open.append([n, [(doc, start, ids, total)]])
+                self.open.append([len(ids), [(doc, start, ids, total)]])
                 return
             fullest = max(self.open, key=lambda w: w[0])
             head = self.length - fullest[0]
-            fullest[1].append((doc, start, ids[: 4 * head], total))
+            fullest[1].append((doc, start, ids[:head], total))
             self._emit(fullest)
-            start, ids, n = start + head, ids[4 * head :], n - head
+            start, ids = start + head, ids[head:]
 
     def _emit(self, window: list) -> None:
         self.open = [w for w in self.open if w is not window]
@@ -74,26 +75,32 @@ class Packer:
         pieces = [p for w in sorted(self.open, key=lambda w: -w[0]) for p in w[1]]
         self.open, now, used = [], [], 0
         for doc, start, ids, total in pieces:
-            while ids:
-                take = min(len(ids) // 4, self.length - used)
-                now.append((doc, start, ids[: 4 * take], total))
-                start, ids, used = start + take, ids[4 * take :], used + take
+            while len(ids):
+                take = min(len(ids), self.length - used)
+                now.append((doc, start, ids[:take], total))
+                start, ids, used = start + take, ids[take:], used + take
                 if used == self.length:
                     self.full.append(now)
                     now, used = [], 0
         return now
 
 
-def _rows(windows: list, first: int, with_ids: bool = False) -> dict[str, list]:
-    out: dict[str, list] = {k: [] for k in ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
-    for k, pieces in enumerate(windows):
-        at = 0
-        for doc, start, ids, total in pieces:
-            n = len(ids) // 4
-            for name, value in zip(out, (doc, start, n, zlib.crc32(ids), total, first + k, at, ids if with_ids else None)):
-                out[name].append(value)
-            at += n
-    return out
+LONGS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def _rows(windows: list, first: int, kind: pa.DataType, with_ids: bool | None = None) -> pa.RecordBatch:
+    """The pieces of windows numbered from first; with a column of ids, null or not, unless with_ids is None."""
+    pieces = [p for w in windows for p in w]
+    n = np.fromiter((len(p[2]) for p in pieces), dtype=np.int64, count=len(pieces))
+    counts = np.fromiter(map(len, windows), dtype=np.int64, count=len(windows))
+    before = np.cumsum(n) - n
+    offset = before - np.repeat(before[np.cumsum(counts) - counts], counts)
+    crc = [zlib.crc32(p[2]) for p in pieces]
+    longs = [[p[1] for p in pieces], n, crc, [p[3] for p in pieces], np.repeat(np.arange(first, first + len(windows)), counts), offset]
+    columns = [pa.array([p[0] for p in pieces], kind), *(pa.array(x, pa.int64()) for x in longs)]
+    if with_ids is not None:
+        columns.append(pa.array([p[2].tobytes() for p in pieces] if with_ids else [None] * len(pieces), pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["id", *LONGS, *(["ids"] if with_ids is not None else [])])
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_open: int = OPEN) -> DataFrame:
@@ -106,45 +113,35 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     kinds = docs.sparkSession.sparkContext.broadcast(bytepairs.classes())  # 1.1 MB, fixed
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    plain = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    schema = f"id {kind}, {plain}, ids binary"
+    schema = ", ".join([f"id {kind}", *(f"{x} long" for x in LONGS)])
 
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, part, done = Packer(length, most_open), TaskContext.get().partitionId(), 0
-
-        def batch(windows: list, with_ids: bool = False) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(_rows(windows, (part << BITS) + done, with_ids), schema=out)
-
-        out = None
+        packer, first, own = Packer(length, most_open), TaskContext.get().partitionId() << BITS, None
         for b in batches:
-            if out is None:
-                longs = [pa.field(x.split()[0], pa.int64()) for x in plain.split(", ")]
-                out = pa.schema([pa.field("id", b.schema.field("id").type), *longs, pa.field("ids", pa.binary())])
+            own = b.schema.field("id").type
             for doc, ids in zip(b.column("id").to_pylist(), bytepairs.token_ids(b.column("text"), vocabulary, kinds.value)):
-                ids += END
-                packer.add(doc, 0, ids, len(ids) // 4)
+                packer.add(doc, 0, np.concatenate([ids, END]), len(ids) + 1)
                 if len(packer.full) >= 2000:
-                    yield batch(packer.full)
-                    done, packer.full = done + len(packer.full), []
+                    yield _rows(packer.full, first, own, False)
+                    first, packer.full = first + len(packer.full), []
         rest = packer.merge()
         if packer.full:
-            yield batch(packer.full)
-            done += len(packer.full)
+            yield _rows(packer.full, first, own, False)
+            first += len(packer.full)
         if rest:
-            yield batch([rest], with_ids=True)
+            yield _rows([rest], first, own, True)
 
-    pieces = written(rows.mapInArrow(pack_partition, schema), "pieces")
-    names = ["id", *(x.split()[0] for x in plain.split(", "))]
+    pieces = written(rows.mapInArrow(pack_partition, f"{schema}, ids binary"), "pieces")
 
-    def merge_group(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(length, most_open)
-        left = left.sort_values(["sequence_id", "offset"])
-        packer.open = [[0, [(d if d == d else None, s, i, t)]] for d, s, i, t in zip(left["id"], left["start"], left["ids"], left["doc_tokens"])]
+    def merge_group(left: pa.Table) -> pa.Table:
+        packer, number = Packer(length, most_open), left.column("group")[0].as_py()
+        left = left.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        columns = (left.column(c).to_pylist() for c in ("id", "start", "ids", "doc_tokens"))
+        packer.open = [[0, [(d, s, np.frombuffer(i, dtype="<u4"), t)]] for d, s, i, t in zip(*columns)]
         last = packer.merge()
-        got = _rows(packer.full + [last] * bool(last), (MERGED + int(key[0])) << BITS)
-        return pd.DataFrame({n: pd.Series(got[n], dtype=left["id"].dtype if n == "id" else "int64") for n in names})
+        return pa.Table.from_batches([_rows(packer.full + [last] * bool(last), (MERGED + number) << BITS, left.schema.field("id").type)])
 
     group = F.shiftright(F.shiftright("sequence_id", BITS), GROUP.bit_length() - 1)
     left = pieces.where("ids is not null").withColumn("group", group)
-    merged = left.groupBy("group").applyInPandas(merge_group, f"id {kind}, {plain}")
-    return pieces.where("ids is null").select(*names).unionByName(merged).withColumnRenamed("id", id_col)
+    merged = left.groupBy("group").applyInArrow(merge_group, schema)
+    return pieces.where("ids is null").select("id", *LONGS).unionByName(merged).withColumnRenamed("id", id_col)

@@ -72,6 +72,31 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
+def valid(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts as they are if their bytes are UTF-8, or with marks of replacement where they aren't."""
+    if not (data & 0x80).any():
+        return data, at
+    try:
+        data.tobytes().decode("utf-8")
+        return data, at
+    except UnicodeDecodeError:
+        texts = [data[a:e].tobytes().decode("utf-8", "replace").encode() for a, e in zip(at[:-1].tolist(), at[1:].tolist())]
+        return np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+
+def spans(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes between neighbouring offsets (the first 0) as a binary array."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large binary array without nulls."""
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each text the number of words in the texts before it (n + 1)."""
     inside = ~IS_SPACE[data]
