@@ -7,14 +7,15 @@ digests, so two documents share their last name (of the same level) if and only
 
 Blocks travel once: the distinct blocks are grouped by their content, after which a block is known by its
 SHA-256, and the step that numbers them stops the job should two different blocks ever share one. Counting
-and joining happen on integers. Groups of any size are handled by partial aggregation and by joins whose large
-partitions Spark splits."""
+and joining happen on integers. Groups of any size are handled by partial aggregation; where rows get the name of
+their block, a block that many rows hold is dealt over several tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.spread import joined, without
 from tidewater.storage import written
 
 #: Characters in a block.
@@ -29,10 +30,12 @@ def normalised(text: str):
 
 
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
-    """(id, sha, n, i, block): the blocks of each text; an empty text has one empty block."""
-    cut = docs.withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("norm") / F.lit(block))).cast("int"))
-    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return cut.withColumn("block", F.substring(F.col("norm"), F.col("i") * block + 1, F.lit(block)))
+    """(id, sha, n, i, block): the blocks of each text, cut in one pass over it; an empty text has one empty block."""
+    cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    n = F.greatest(F.lit(1), F.ceil(F.length("norm") / F.lit(block))).cast("int")
+    cut = docs.select("id", F.sha2(F.col("norm"), 256).alias("sha"), n.alias("n"), F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut).alias("all"))
+    # the array is not carried along, and outer, though it is never empty: else Spark would cut each text once more to see that
+    return cut.select("id", "sha", "n", F.posexplode_outer("all").alias("i", "block"))
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
@@ -49,17 +52,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored, whatever their names."""
     base = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
     rows = _blocks(base, block)
-    distinct = rows.groupBy("block").agg(F.lit(1).alias("one"))
-    names = _numbered(distinct, "block").select(F.sha2(F.col("block"), 256).alias("digest"), "name")
+    distinct = rows.groupBy("block").agg(F.count(F.lit(1)).alias("copies"))
+    names = _numbered(distinct, "block").select(F.sha2(F.col("block"), 256).alias("digest"), "name", "copies")
     names = written(names, "block-names")
     # two different blocks with one digest would be two rows here
     clash = F.raise_error(F.lit("two blocks share a digest"))
-    single = names.groupBy("digest").agg(F.min("name").alias("name"), F.max("name").alias("high"))
-    single = single.select("digest", F.when(F.col("name") == F.col("high"), F.col("name")).otherwise(clash.cast("long")).alias("name"))
+    single = names.groupBy("digest").agg(F.min("name").alias("name"), F.max("name").alias("high"), F.sum("copies").alias("copies"))
+    single = single.select("digest", "copies", F.when(F.col("name") == F.col("high"), F.col("name")).otherwise(clash.cast("long")).alias("name"))
     # the sequence of a text is identified by the first row that holds it only through names; ids may repeat,
     # so a row is known by (id, sha, length of the sequence) and rows alike in these are counted
-    keyed = rows.select("id", F.sha2(F.col("norm"), 256).alias("sha"), "n", "i", F.sha2(F.col("block"), 256).alias("digest"))
-    live = written(keyed.join(single, "digest").select("id", "sha", "n", "i", "name"), "named-blocks")
+    keyed = rows.select("id", "sha", "n", "i", F.sha2(F.col("block"), 256).alias("digest"))
+    live = written(joined(keyed, single, ["digest"], F.xxhash64("id", "i")).select("id", "sha", "n", "i", "name"), "named-blocks")
     done = live.where("n = 1").select("id", "sha", F.lit(0).alias("level"), "name")
     level = 0
     live = live.where("n > 1").groupBy("id", "sha", "n", "i").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("rows"))
@@ -90,6 +93,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose ids exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of docs that exact_dedup keeps, with all their columns; a row is known by its id and its text."""
+    gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha"))
+    # not as an equality: the text is hashed only where the id is listed
+    same_text = F.instr(F.sha2(normalised(text_col), 256), F.col("__sha")) == 1
+    return without(docs, gone.distinct(), docs[id_col].eqNullSafe(F.col("__gone")) & same_text)
