@@ -26,9 +26,15 @@ def bars_from_ticks(ticks: DataFrame, symbol: str, ts: str, price: str, unit: st
     return numbered(out)
 
 
-#: Durations of the named timeframes in seconds; those of calendar units are truncations.
-TIMEFRAMES = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "4h": 14400}
-CALENDAR = {"1d": "day", "1w": "week", "1M": "month"}
+#: Durations of the named timeframes in seconds, calendar units, and months of the longer ones.
+TIMEFRAMES = {**{f"{m}m": 60 * m for m in (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 45)}, **{f"{h}h": 3600 * h for h in (1, 2, 3, 4, 6, 8, 12)}}
+CALENDAR = {"1d": "day", "1w": "week"}
+MONTHS = {"1M": 1, "3M": 3, "6M": 6, "12M": 12}
+
+
+def is_timeframe(name: str) -> bool:
+    """Whether a timeframe can be resampled to; its case counts."""
+    return name in TIMEFRAMES or name in CALENDAR or name in MONTHS
 
 
 def resample(bars: DataFrame, timeframe: str) -> DataFrame:
@@ -40,6 +46,10 @@ def resample(bars: DataFrame, timeframe: str) -> DataFrame:
         bucket = F.timestamp_seconds(F.floor(epoch / s) * s).cast("timestamp_ntz")
     elif timeframe in CALENDAR:
         bucket = F.date_trunc(CALENDAR[timeframe], F.col("ts")).cast("timestamp_ntz")
+    elif timeframe in MONTHS:
+        year = F.date_trunc("year", F.col("ts"))
+        months = F.floor((F.month("ts") - 1) / MONTHS[timeframe]) * MONTHS[timeframe]
+        bucket = F.add_months(year, months.cast("int")).cast("timestamp_ntz")
     else:
         raise ValueError(f"unknown timeframe {timeframe}")
     out = bars.groupBy("symbol", bucket.alias("ts")).agg(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.distributions import chi2_sf, normal_sf, t_two_sided
 from tidewater.functions.series import corrected_kurtosis, corrected_skew, correlation
 
 
@@ -52,19 +57,88 @@ def spearman(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
     return some.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), correlation("__ra", "__rb").alias("rho"))
 
 
-def kendall(df: DataFrame, a: str, b: str, key: list[str], most: int = 5000) -> DataFrame:
-    """Kendall's tau-b of each key. All pairs of a key's rows are compared, so a key with more than most rows is
-    an error and never cut."""
+def inversions(x: np.ndarray) -> int:
+    """Pairs of places in order whose values are not: a merge sort from below, all blocks of a level at once."""
+    _, x = np.unique(x, return_inverse=True)
+    n, total, width, spread = len(x), 0, 1, int(len(x)) + 1
+    block = np.arange(n)
+    while width < n:
+        # within a pair of blocks both halves are sorted; those of the left above each of the right
+        pair = block // (2 * width)
+        right = block // width % 2 == 1
+        key = pair * spread + x
+        left = key[~right]
+        higher = np.searchsorted(left, (pair[right] + 1) * spread) - np.searchsorted(left, key[right], side="right")
+        total += int(higher.sum())
+        x = x[np.argsort(key, kind="stable")]
+        width *= 2
+    return total
+
+
+def kendall(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
+    """Kendall's tau-b of each key: n, tau, z and p_value (normal, with the usual correction for ties). A key's pairs of
+    values, 16 bytes each, are sorted in one task; discordant pairs are counted by merging, never listed."""
     some = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*key, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
-    largest = some.groupBy(*key).count().agg(F.max("count")).first()[0]
-    if largest and largest > most:
-        raise ValueError(f"a key has {largest} rows; tau compares all pairs and is meant for {most} at most")
-    some = some.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy("a", "b")))
-    other = some.select(*key, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("i").alias("j"))
-    pairs = some.join(other, key).where("i < j")
-    s = F.signum(F.col("a2") - F.col("a")) * F.signum(F.col("b2") - F.col("b"))
-    g = pairs.groupBy(*key).agg(F.sum(s).alias("s"), F.count_if(F.col("a") != F.col("a2")).alias("na"), F.count_if(F.col("b") != F.col("b2")).alias("nb"))
-    return g.select(*key, F.try_divide(F.col("s"), F.sqrt(F.col("na").cast("double") * F.col("nb"))).alias("tau"))
+    kinds = [df.schema[k] for k in key]
+
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = rows.column("a").to_numpy(), rows.column("b").to_numpy()
+        order = np.lexsort((y, x))
+        x, y, n = x[order], y[order], len(x)
+        ties = lambda *columns: np.unique(np.column_stack(columns), axis=0, return_counts=True)[1].astype(float)
+        tx, ty, both = ties(x), ties(y), ties(x, y)
+        pairs = lambda t: float((t * (t - 1) / 2).sum())
+        all_ = n * (n - 1) / 2
+        # within equal x the y rise, so inversions are the discordant pairs
+        s = all_ - pairs(tx) - pairs(ty) + pairs(both) - 2 * inversions(y)
+        scale = math.sqrt((all_ - pairs(tx)) * (all_ - pairs(ty)))
+        m = n * (n - 1.0)
+        f = lambda t, g: float(g(t).sum())
+        v = (m * (2 * n + 5) - f(tx, lambda t: t * (t - 1) * (2 * t + 5)) - f(ty, lambda t: t * (t - 1) * (2 * t + 5))) / 18
+        if n > 2:
+            v += f(tx, lambda t: t * (t - 1)) * f(ty, lambda t: t * (t - 1)) / (2 * m) + f(tx, lambda t: t * (t - 1) * (t - 2)) * f(ty, lambda t: t * (t - 1) * (t - 2)) / (9 * m * (n - 2))
+        z = s / math.sqrt(v) if n > 1 and v > 0 else None
+        values = [*(rows.column(k)[0].as_py() for k in key), n, s / scale if scale else None, z, None if z is None else min(1.0, 2 * normal_sf(abs(z)))]
+        return pa.table([[v] for v in values], schema=pa.schema([*(rows.schema.field(k) for k in key), ("n", pa.int64()), ("tau", pa.float64()), ("z", pa.float64()), ("p_value", pa.float64())]))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n long, tau double, z double, p_value double"])
+    return some.groupBy(*key).applyInArrow(run, schema)
+
+
+def with_p_values(df: DataFrame, kind: str, statistic: str, n: str | None = None, out: str = "p_value") -> DataFrame:
+    """A table of results, one row a test, with the two-sided p of its statistic: kind 'normal' (a z), 'chi2' (n: degrees of
+    freedom), 'pearson' (a correlation of n pairs, by Student's t)."""
+
+    def p(x: float | None, k: float | None) -> float | None:
+        if x is None or (k is None and kind != "normal"):
+            return None
+        if kind == "normal":
+            return min(1.0, 2 * normal_sf(abs(x)))
+        if kind == "chi2":
+            return chi2_sf(x, k)
+        if k < 3:
+            return None
+        return 0.0 if abs(x) >= 1 else t_two_sided(x * math.sqrt((k - 2) / (1 - x * x)), k - 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ks = b.column(n).to_pylist() if n else [None] * len(b)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([*map(p, b.column(statistic).to_pylist(), ks)], pa.float64())], names=[*b.schema.names, out])
+
+    if kind not in ("normal", "chi2", "pearson"):
+        raise ValueError(f"unknown kind {kind}")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"{out} double"])
+    return df.mapInArrow(run, schema)
+
+
+def correlation_tests(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
+    """(key, method, r, n, p_value, significant): Pearson, Spearman and Kendall of each key."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    one = df.where(both).groupBy(*key).agg(correlation(a, b).alias("r"), F.count(F.lit(1)).alias("n"))
+    two = spearman(df, a, b, key).withColumnRenamed("rho", "r")
+    by_t = [with_p_values(t.select(*key, F.lit(m).alias("method"), "r", "n"), "pearson", "r", "n") for m, t in (("pearson", one), ("spearman", two))]
+    three = kendall(df, a, b, key).select(*key, F.lit("kendall").alias("method"), F.col("tau").alias("r"), "n", "p_value")
+    return by_t[0].unionByName(by_t[1]).unionByName(three).withColumn("significant", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
 
 
 def zone_distribution(features: DataFrame, columns: tuple[str, ...] = ("duration", "price_return", "macd_amplitude", "hist_amplitude")) -> DataFrame:

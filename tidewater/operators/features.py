@@ -155,7 +155,7 @@ def divergence_metrics(zoned: DataFrame, indicator: str, min_distance: int = 5,
     return zoned.select(*ZONE, "bar_idx", "high", "low", indicator).groupBy(*ZONE).applyInPandas(run, "symbol string, zone_id long, divergence_type string, divergence_count long, divergence_strength double, divergence_direction string")
 
 
-def all_features(zoned: DataFrame, indicator: str, swing_points: DataFrame | None = None, zones: DataFrame | None = None, min_amplitude_pct: float = 0.0, divergence: bool = False, volatility: bool = False, volume: bool = True) -> DataFrame:
+def all_features(zoned: DataFrame, indicator: str, swing_points: DataFrame | None = None, zones: DataFrame | None = None, min_amplitude_pct: float | DataFrame = 0.0, divergence: bool = False, volatility: bool = False, volume: bool = True) -> DataFrame:
     """Features of every kind as columns of one row a zone."""
     from tidewater.operators.swings import in_zones, swing_metrics
 

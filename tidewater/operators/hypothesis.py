@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.distributions import chi2_sf, holm, kolmogorov_sf, normal_sf, t_two_sided
 from tidewater.functions.series import correlation
-from tidewater.operators.describe import ranked
+from tidewater.storage import written
 
 ALPHA = 0.05
 
@@ -270,34 +271,119 @@ def duration_stationarity(f: DataFrame) -> dict:
     return _result(name, None, None, sum(r["n"] for r in series), series=series, error=f"{len(series)} series, each tested by itself" if series else "too few rows")
 
 
+def by_value(df: DataFrame, column: str, counts: dict) -> DataFrame:
+    """One row a distinct value x with counts n_{name} and before_{name}, how many rows have smaller values. Values are
+    sorted by ranges, so that no task holds them all; the ranges' totals, one row each, are carried on."""
+    d = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(*[c.alias(f"n_{n}") for n, c in counts.items()])
+    d = written(d.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "values")
+    upto = lambda w, n: F.coalesce(F.sum(f"n_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = d.groupBy("part").agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in counts])
+    parts = parts.select("part", *[upto(Window.orderBy("part"), n).alias(f"part_{n}") for n in counts])
+    d = d.join(F.broadcast(parts), "part")
+    inner = Window.partitionBy("part").orderBy("x")
+    return d.select("x", *[f"n_{n}" for n in counts], *[(upto(inner, n) + F.col(f"part_{n}")).alias(f"before_{n}") for n in counts])
+
+
 def mann_whitney(df: DataFrame, column: str, group: str, first, second) -> dict:
     """Normal approximation with ties and continuity; effect: rank-biserial."""
-    d = df.where(F.col(group).isin(first, second) & F.col(column).isNotNull()).select(column, group)
-    r = ranked(d.withColumn("__k", F.lit(0)), column, "__r", ["__k"])
-    g = {x[group]: x for x in r.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("__r").alias("s")).collect()}
-    ties = d.groupBy(column).count().agg(F.sum(F.pow("count", F.lit(3)) - F.col("count"))).first()[0] or 0.0
-    if first not in g or second not in g:
-        return _result("mann_whitney", None, None, sum(x["n"] for x in g.values()), error="a group is empty")
-    n1, n2 = g[first]["n"], g[second]["n"]
-    u, n = g[first]["s"] - n1 * (n1 + 1) / 2, n1 + n2
-    s = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
+    d = df.where(F.col(group).isin(first, second))
+    v = by_value(d, column, {"a": F.count_if(F.col(group) == F.lit(first)), "all": F.count(F.lit(1))})
+    rank = F.col("before_all") + (F.col("n_all") + 1) / 2
+    r = v.agg(F.sum("n_a"), F.sum("n_all"), F.sum(F.col("n_a") * rank), F.sum(F.pow("n_all", F.lit(3)) - F.col("n_all"))).first()
+    n1, n = r[0] or 0, r[1] or 0
+    n2 = n - n1
+    if not n1 or not n2:
+        return _result("mann_whitney", None, None, n, error="a group is empty")
+    u = r[2] - n1 * (n1 + 1) / 2
+    s = math.sqrt(n1 * n2 / 12 * (n + 1 - r[3] / (n * (n - 1))))
     z = (abs(u - n1 * n2 / 2) - 0.5) / s if s else 0.0
     return _result("mann_whitney", u, min(1.0, 2 * normal_sf(max(z, 0.0))), n, 2 * u / (n1 * n2) - 1)
 
 
+#: Royston's approximation of the weights and of the distribution of Shapiro and Wilk's W.
+_LAST, _NEXT = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_SMALL_MEAN, _SMALL_LOG = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322)
+_LARGE_MEAN, _LARGE_LOG = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+#: Values up to which the approximation of Shapiro and Wilk's test holds.
+SHAPIRO_MOST = 5000
+
+
+def shapiro(x: np.ndarray) -> tuple[float, float]:
+    """W and p of 3 to SHAPIRO_MOST values that aren't all equal."""
+    n, x = len(x), np.sort(np.asarray(x, dtype=float))
+    poly = lambda c, t: sum(v * t**k for k, v in enumerate(c))
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    square, u = float(m @ m), 1 / math.sqrt(n)
+    a = m / math.sqrt(square)
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+    else:
+        last, inner = a[-1] + poly(_LAST, u), a[-2] + poly(_NEXT, u)
+        k = 2 if n > 5 else 1
+        ends = 2 * last**2 + (2 * inner**2 if k == 2 else 0)
+        a = m / math.sqrt((square - 2 * float(m[n - k :] @ m[n - k :])) / (1 - ends))
+        a[-1], a[0] = last, -last
+        if k == 2:
+            a[-2], a[1] = inner, -inner
+    w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    if n == 3:
+        return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+    left = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        y, mean, spread = -math.log(max(0.459 * n - 2.273 - left, 1e-300)), poly(_SMALL_MEAN, n), math.exp(poly(_SMALL_LOG, n))
+    else:
+        y, mean, spread = left, poly(_LARGE_MEAN, math.log(n)), math.exp(poly(_LARGE_LOG, math.log(n)))
+    return w, normal_sf((y - mean) / spread)
+
+
 def normality(df: DataFrame, column: str) -> dict:
-    """Kolmogorov-Smirnov and Anderson-Darling against the fitted normal; both need ranks, so one window without key
-    over the column's rows (zone features, not bars)."""
-    a = df.agg(F.count(column), F.avg(column), F.stddev_samp(column)).first()
-    n, m, s = a
+    """Kolmogorov-Smirnov and Anderson-Darling against the fitted normal, and Shapiro-Wilk where it is defined, for up to
+    SHAPIRO_MOST values."""
+    n, m, s = df.agg(F.count(column), F.avg(column), F.stddev_samp(column)).first()
     if n < 3 or not s:
         return {"n": n, "error": "too few rows"}
-    z = (F.col(column) - m) / s
-    cdf = df.where(F.col(column).isNotNull()).select(F.greatest(F.lit(1e-300), F.least(F.lit(1 - 1e-16), _phi(z))).alias("p"))
-    cdf = cdf.withColumn("i", F.row_number().over(Window.orderBy("p"))).withColumn("j", F.row_number().over(Window.orderBy(F.desc("p"))))
-    ks, ad = cdf.agg(F.max(F.greatest(F.col("i") / n - F.col("p"), F.col("p") - (F.col("i") - 1) / n)), F.sum((2 * F.col("i") - 1) * F.ln("p") + (2 * F.col("j") - 1) * F.ln(1 - F.col("p")))).first()
+    v = by_value(df, column, {"all": F.count(F.lit(1))})
+    before, own = F.col("before_all"), F.col("n_all")
+    after = n - before - own
+    v = v.withColumn("p", F.greatest(F.lit(1e-300), F.least(F.lit(1 - 1e-16), _phi((F.col("x") - m) / s))))
+    # equal values take several places at once
+    square = lambda a: F.pow(a + own, F.lit(2)) - F.pow(a, F.lit(2))
+    ks, ad = v.agg(F.max(F.greatest((before + own) / n - F.col("p"), F.col("p") - before / n)), F.sum(square(before) * F.ln("p") + square(after) * F.ln(1 - F.col("p")))).first()
     a2 = -n - ad / n
-    return {"n": n, "ks": ks, "ks_p": kolmogorov_sf(ks, n), "anderson": a2, "anderson_critical_5": 0.787 / (1 + 4 / n - 25 / n**2), "normal": kolmogorov_sf(ks, n) > ALPHA}
+    out = {"n": n, "ks": ks, "ks_p": kolmogorov_sf(ks, n), "anderson": a2, "anderson_critical_5": 0.787 / (1 + 4 / n - 25 / n**2)}
+    out |= {"normal": out["ks_p"] > ALPHA}
+    if n <= SHAPIRO_MOST:
+        w, p = shapiro(np.array([r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column).cast("double")).collect()]))
+        out |= {"shapiro": w, "shapiro_p": p}
+    return out
+
+
+def _looks_normal(df: DataFrame, column: str) -> bool:
+    """By Shapiro-Wilk where it is defined, else by Anderson-Darling; fewer than three values always do."""
+    r = normality(df, column)
+    return "error" in r or (r["shapiro_p"] >= ALPHA if "shapiro_p" in r else r["anderson"] < r["anderson_critical_5"])
+
+
+def support_resistance_effect(f: DataFrame, levels: DataFrame | None = None, tolerance: float = 0.005) -> dict:
+    """Do zones that start near a level of their series last longer or shorter? Levels (symbol, level) are those that two or
+    more ends of zones touch, unless given. By a t-test if both groups look normal, else by Mann-Whitney."""
+    from tidewater.operators.levels import near_levels, price_levels
+
+    name = "support_resistance"
+    if levels is None:
+        ends = f.select("symbol", F.col("start_price").alias("p")).unionByName(f.select("symbol", F.col("end_price").alias("p")))
+        levels = written(price_levels(ends, "p").where("n >= 2"), "levels")
+    d = f.select("symbol", "start_price", "duration").where("duration is not null")
+    near, far = (near_levels(d, levels, "start_price", tolerance, n) for n in (True, False))
+    d = written(near.withColumn("near", F.lit(True)).unionByName(far.withColumn("near", F.lit(False))), "near-levels")
+    g = _sums(d, "duration", F.col("near"))
+    if True not in g or False not in g:
+        return _result(name, None, None, sum(x[0] for x in g.values()), error="all zones are near a level, or none")
+    more = {"near": g[True][0], "far": g[False][0], "mean_near": g[True][1], "mean_far": g[False][1]}
+    if _looks_normal(d.where("near"), "duration") and _looks_normal(d.where("not near"), "duration"):
+        return two_sample_t(name, g[True], g[False]) | more | {"test": "t"}
+    r = mann_whitney(d, "duration", "near", True, False)
+    return r | {"name": name, "effect_size": -r["effect_size"] if r["effect_size"] is not None else None} | more | {"test": "mann_whitney"}
 
 
 def _phi(z):
@@ -308,9 +394,21 @@ def _phi(z):
     return F.when(z >= 0, (1 + e) / 2).otherwise((1 - e) / 2)
 
 
+def analyze(df: DataFrame, columns: list[str]) -> dict:
+    """Descriptions, normality of each column and the three correlations of each pair: tables and rows as results."""
+    from tidewater.operators.describe import correlation_tests, describe
+
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no such columns: {missing}")
+    all_ = df.withColumn("all", F.lit("all"))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    return {"descriptive": describe(df, columns), "normality": {c: normality(df, c) for c in columns}, "correlations": {f"{a}_vs_{b}": correlation_tests(all_, a, b, ["all"]) for a, b in pairs}}
+
+
 TESTS: dict[str, Callable[[DataFrame], dict]] = {
     "zone_duration": duration_effect, "histogram_slope": slope_duration, "bull_bear_asymmetry": asymmetry, "sequence_patterns": sequence_patterns,
     "volatility_effects": volatility_effects, "correlation_drawdown": correlation_drawdown, "duration_stationarity": duration_stationarity,
+    "support_resistance": support_resistance_effect,
 }
 
 

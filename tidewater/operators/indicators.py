@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -115,6 +117,92 @@ def create(source: str, name: str, **parameters) -> Callable[[DataFrame], DataFr
     return lambda df: function(df, **parameters)
 
 
+#: Bars that an indicator needs with its usual parameters' names.
+LEAST_BARS: dict[str, Callable[..., int]] = {
+    "sma": lambda period=20, **_: period, "ema": lambda period=20, **_: period, "bbands": lambda period=20, **_: period,
+    "rsi": lambda period=14, **_: period + 1, "macd": lambda slow=26, signal=9, **_: slow + signal, "ao": lambda slow=34, **_: slow, "atr": lambda period=14, **_: period + 1,
+}
+
+
+def least_bars(name: str, **parameters) -> int:
+    """Bars that a series needs for an indicator to mean anything; one where nothing is known."""
+    return LEAST_BARS.get(name, lambda **_: 1)(**parameters)
+
+
+def too_short(df: DataFrame, name: str, key: str = "symbol", **parameters) -> DataFrame:
+    """(key, n, needed) of the series with fewer bars than an indicator needs."""
+    need = least_bars(name, **parameters)
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < need).withColumn("needed", F.lit(need).cast("long"))
+
+
+#: Numeric columns that are no oscillator.
+PLAIN = ("open", "high", "low", "close", "volume", "time", "timestamp", "date", "datetime", "atr", "true_range", "tr", "index", "id", "zone_id", "bar_idx")
+
+
+def find_oscillator(df: DataFrame) -> str | None:
+    """The first numeric column that is neither a price nor an auxiliary one."""
+    numeric = ("double", "float", "integer", "long", "short", "byte")
+    return next((f.name for f in df.schema.fields if f.dataType.typeName() in numeric and f.name.lower() not in PLAIN), None)
+
+
+def combined(df: DataFrame, indicators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Bars with the columns of several indicators; a column that bars or an earlier indicator have is prefixed by the name."""
+    own = df.columns
+    for name, function in indicators.items():
+        bare = function(df.select(*own))
+        new = [c for c in bare.columns if c not in own]
+        clash = {c: f"{name}_{c}" if c in df.columns else c for c in new}
+        held = [c for c in df.columns if c not in own]
+        # computed beside what is there already: names that clash step aside while the function runs
+        moved = df.withColumnsRenamed({c: f"__held_{c}" for c in held})
+        df = function(moved).withColumnsRenamed(clash).withColumnsRenamed({f"__held_{c}": c for c in held})
+    return df
+
+
+def register_library(module: str, names: list[str] | None = None, source: str = "library") -> list[str]:
+    """Registers functions of an installed library that take price series (arguments named open, high, low, close,
+    volume) and return a series or a frame; returns their names, none where the library is not installed. Each runs on
+    one series' pandas frame."""
+    try:
+        library = importlib.import_module(module)
+    except ImportError:
+        return []
+    found = []
+    for name in names or sorted(n for n in dir(library) if not n.startswith("_")):
+        function = getattr(library, name, None)
+        if not callable(function) or isinstance(function, type):
+            continue
+        try:
+            accepted = inspect.signature(function).parameters
+        except (TypeError, ValueError):
+            continue
+        prices = [c for c in ("open", "high", "low", "close", "volume") if c in accepted or f"{c}_" in accepted]
+        if prices:
+            register(name, _from_library(module, name, prices), source)
+            found.append(name)
+    return found
+
+
+def _from_library(module: str, name: str, prices: list[str]) -> Indicator:
+    def apply(df: DataFrame, outputs: tuple[str, ...] | None = None, **parameters) -> DataFrame:
+        columns = outputs or (name,)
+
+        def run(bars):
+            import pandas as pd
+
+            function = getattr(importlib.import_module(module), name)
+            accepted = inspect.signature(function).parameters
+            got = function(**{c if c in accepted else f"{c}_": bars[c] for c in prices}, **parameters)
+            got = pd.DataFrame(got) if not isinstance(got, pd.DataFrame) else got
+            got.columns = [*columns]
+            return pd.concat([bars.reset_index(drop=True), got.reset_index(drop=True).astype(float)], axis=1)
+
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{c}` double" for c in columns)])
+        return grouped(run, schema)(df)
+
+    return apply
+
+
 def grouped(function, schema: str, key: str = "symbol") -> Indicator:
     """Makes an indicator of a function of one series' pandas frame (the last resort: the series is held in memory)."""
     return lambda df, **parameters: df.groupBy(key).applyInPandas(lambda pdf: function(pdf.sort_values("bar_idx"), **parameters), schema)

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,17 @@ def feature_importance(clustered: DataFrame) -> DataFrame:
     return v.select(F.explode(F.array(*[F.struct(F.lit(c[2:]).alias("feature"), F.col(c).alias("importance")) for c in z])).alias("s")).select("s.*")
 
 
+def silhouette(clustered: DataFrame) -> float | None:
+    """Mean silhouette with squared distances, which needs but one pass and the clusters' sums."""
+    z = [c for c in clustered.columns if c.startswith("z_")]
+    v = VectorAssembler(inputCols=z, outputCol="__v").transform(clustered)
+    if v.select("cluster").distinct().limit(2).count() < 2:
+        return None
+    return ClusteringEvaluator(featuresCol="__v", predictionCol="cluster", metricName="silhouette", distanceMeasure="squaredEuclidean").evaluate(v)
+
+
 def cluster_quality(clustered: DataFrame) -> dict:
-    """Calinski-Harabasz and Davies-Bouldin from sums of squares; nothing pairwise over rows."""
+    """Calinski-Harabasz, Davies-Bouldin and silhouette from sums of squares; nothing pairwise over rows."""
     z = [c for c in clustered.columns if c.startswith("z_")]
     means = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in z])
     d = sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in z)
@@ -55,13 +65,13 @@ def cluster_quality(clustered: DataFrame) -> dict:
     c = np.array([[r[x] for x in z] for r in own])
     size = np.array([r["n"] for r in own], dtype=float)
     if k < 2 or n <= k:
-        return {"clusters": k, "calinski_harabasz": None, "davies_bouldin": None}
+        return {"clusters": k, "calinski_harabasz": None, "davies_bouldin": None, "silhouette": None}
     centre = (c * size[:, None]).sum(0) / n
     between, within = float((size * ((c - centre) ** 2).sum(1)).sum()), sum(r["within"] for r in own)
     s = np.array([r["scatter"] for r in own])
     apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
     np.fill_diagonal(apart, np.inf)
-    return {"clusters": k, "calinski_harabasz": between / (k - 1) / (within / (n - k)) if within else math.inf, "davies_bouldin": float(((s[:, None] + s[None]) / apart).max(1).mean())}
+    return {"clusters": k, "calinski_harabasz": between / (k - 1) / (within / (n - k)) if within else math.inf, "davies_bouldin": float(((s[:, None] + s[None]) / apart).max(1).mean()), "silhouette": silhouette(clustered)}
 
 
 def ols(df: DataFrame, y: str, x: list[str]) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,22 @@ def support_resistance(df: DataFrame, window: int = 20, min_touches: int = 2) ->
     return z.withColumns({"strength": F.least(F.col("touches") / 5, F.lit(1.0)), "confidence": F.when(hours > 0, F.least(F.col("touches") / hours / 2, F.lit(1.0))).otherwise(1.0), "zone_id": F.concat_ws("_", "zone_type", F.date_format("start_time", "yyyyMMdd_HHmm"), F.date_format("end_time", "yyyyMMdd_HHmm"))})
 
 
-def breaks(df: DataFrame, zones: DataFrame) -> DataFrame:
-    """The first bar after each zone that falls below a support or rises above a resistance. The join is on symbol
-    with the bar after the zone; the first break is an aggregate, so no list of a zone's later bars is made."""
-    z = zones.select("symbol", "zone_id", "zone_type", "end_idx", "start_price", "end_price", "strength", "confidence")
-    b = df.select("symbol", "bar_idx", "high", "low", "close")
-    hit = b.join(z, "symbol").where((F.col("bar_idx") > F.col("end_idx")) & F.when(F.col("zone_type") == "support", F.col("low") < F.col("start_price")).otherwise(F.col("high") > F.col("end_price")))
-    return hit.groupBy("symbol", "zone_id", "zone_type", "strength", "confidence").agg(F.min("bar_idx").alias("break_idx"), F.min_by("close", "bar_idx").alias("break_price"))
+def breaks(df: DataFrame, zones: DataFrame, block: int = 1024) -> DataFrame:
+    """The first bar after each zone that falls below a support or rises above a resistance.
+
+    A zone is held against the extremes of blocks of bars, which give the first later block that breaks it; then only
+    the bars of that block and of the block where the zone ends are looked at, by (symbol, block)."""
+    own = ["symbol", "zone_id", "zone_type", "strength", "confidence"]
+    z = zones.select(*own, "end_idx", "start_price", "end_price").withColumn("__b", F.floor(F.col("end_idx") / block))
+    support = F.col("zone_type") == "support"
+    b = df.select("symbol", "bar_idx", "high", "low", "close").withColumn("block", F.floor(F.col("bar_idx") / block))
+    extremes = b.groupBy("symbol", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    broken = F.when(support, F.col("low") < F.col("start_price")).otherwise(F.col("high") > F.col("end_price"))
+    later = extremes.join(z, "symbol").where((F.col("block") > F.col("__b")) & broken)
+    later = later.groupBy(*own, "end_idx", "start_price", "end_price").agg(F.min("block").alias("block"))
+    looked = later.unionByName(z.withColumnRenamed("__b", "block"))
+    hit = b.join(looked, ["symbol", "block"]).where((F.col("bar_idx") > F.col("end_idx")) & broken)
+    return hit.groupBy(*own).agg(F.min("bar_idx").alias("break_idx"), F.min_by("close", "bar_idx").alias("break_price"))
 
 
 def level_summary(zones: DataFrame) -> DataFrame:
@@ -63,7 +74,15 @@ def price_levels(prices: DataFrame, column: str, tolerance: float = 0.01, key: s
 
 
 def near_levels(df: DataFrame, levels: DataFrame, column: str, tolerance: float = 0.01, near: bool = True) -> DataFrame:
-    """Rows whose value is (not) within tolerance of some level of its symbol: a semi or anti join."""
-    lv = levels.select(F.col("symbol").alias("__s"), F.col("level").alias("__level"))
-    on = (df["symbol"] == F.col("__s")) & (F.abs(df[column] - F.col("__level")) <= F.col("__level") * tolerance)
-    return df.join(lv, on, "left_semi" if near else "left_anti")
+    """Rows whose value is (not) within tolerance (a share of the level, below a half) of some level of its symbol: a semi or
+    anti join. Prices are cut into bins of the width of the tolerance in their logarithm, and a level is near those of
+    its own and the neighbouring bins."""
+    if not 0 < tolerance < 0.5:
+        raise ValueError("tolerance must be above 0 and below 0.5")
+    width = -math.log1p(-tolerance)
+    bin_of = lambda c: F.when(c > 0, F.floor(F.ln(c) / width)).when(c == 0, F.lit(-(1 << 40)))
+    lv = levels.select(F.col("symbol").alias("__s"), F.col("level").cast("double").alias("__level")).where("__level >= 0")
+    lv = lv.withColumn("__b", F.explode(F.sequence(bin_of(F.col("__level")) - 1, bin_of(F.col("__level")) + 1)))
+    rows = df.withColumn("__bin", bin_of(F.col(column).cast("double")))
+    on = (rows["symbol"] == F.col("__s")) & (F.col("__bin") == F.col("__b")) & (F.abs(rows[column] - F.col("__level")) <= F.col("__level") * tolerance)
+    return rows.join(lv, on, "left_semi" if near else "left_anti").drop("__bin")

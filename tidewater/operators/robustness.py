@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,30 +59,53 @@ def stability(points: DataFrame, metric: str) -> DataFrame:
     return s.withColumn("stability", 1 - F.try_divide(F.col("std"), F.col("mean"))).withColumn("stable", F.coalesce(F.col("stability") > 0.8, F.lit(False)))
 
 
-def simulate(bars: DataFrame, n: int = 1000, seed: int = 42, how: str = "shuffle_returns") -> DataFrame:
+#: Multipliers of a small integer generator that any SQL engine can repeat, modulo 2^31 - 1.
+ROUNDS, PRIME = (48271, 69621, 39373), (1 << 31) - 1
+FACTORS = (15485863, 32452843, 1000003)
+
+
+def mixed(seed: int, sim: str = "sim", place: str = "bar_idx") -> Column:
+    """A number below 2^31 that follows from seed, simulation and place."""
+    x = (F.lit(seed * FACTORS[2]) + F.col(sim).cast("long") * FACTORS[0] + F.col(place).cast("long") * FACTORS[1]) % PRIME
+    for m in ROUNDS:
+        x = x * m % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, 15))
+    return x
+
+
+def simulate(bars: DataFrame, n: int = 1000, seed: int = 42, how: str = "shuffle_returns", whole: bool = False) -> DataFrame:
     """n simulated series for each: returns in random order, prices in random order, or normal returns of the same
-    mean and deviation. (symbol = series/sim, series, sim, bar_idx, close). The random order is a hash of
-    (seed, sim, series, bar), so a repeated task gives the same series."""
+    mean and deviation. (symbol = series/sim, series, sim, bar_idx, close), and with whole open, high and low, which keep their
+    ratios to the close of the bar in their place (in shuffled prices: of their own bar), and volume and ts of the place. The
+    random order follows from (seed, sim, bar), so a repeated task gives the same series."""
     w = Window.partitionBy("symbol").orderBy("bar_idx")
     b = bars.select("symbol", "bar_idx", "close").withColumns({"r": F.ln(F.try_divide(F.col("close"), F.lag("close").over(w))), "first": F.first("close").over(w)})
     s = b.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    h = F.xxhash64(F.lit(seed), "sim", "symbol", "bar_idx")
     name = F.concat_ws("/", "symbol", F.col("sim").cast("string"))
-    mix = Window.partitionBy("symbol", "sim").orderBy(h)
+    mix = Window.partitionBy("symbol", "sim").orderBy("h", "bar_idx")
     line = Window.partitionBy("symbol", "sim").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumns({"own": F.col("bar_idx"), "h": mixed(seed)})
     if how == "shuffle_prices":
         s = s.withColumn("bar_idx", (F.row_number().over(mix) - 1).cast("long"))
     elif how == "shuffle_returns":
-        s = s.where("r is not null").withColumn("bar_idx", F.row_number().over(mix).cast("long"))
-        s = s.withColumn("close", F.col("first") * F.exp(F.sum("r").over(line)))
+        # the first bar stays; it has no return
+        s = s.withColumn("h", F.when(F.col("bar_idx") > 0, F.col("h")).otherwise(-1)).withColumn("bar_idx", (F.row_number().over(mix) - 1).cast("long"))
+        s = s.withColumn("close", F.col("first") * F.exp(F.sum(F.coalesce("r", F.lit(0.0))).over(line)))
     elif how == "gaussian":
-        unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "sim", "symbol", "bar_idx"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        unit = lambda k: (mixed(seed + k) + 0.5) / float(1 << 31)
         g = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * F.pi() * unit(2))
         figures = b.groupBy("symbol").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("d"))
-        s = s.where("r is not null").join(figures, "symbol").withColumn("close", F.col("first") * F.exp(F.sum(F.col("m") + F.col("d") * g).over(line)))
+        s = s.join(figures, "symbol").withColumn("close", F.col("first") * F.exp(F.sum(F.when(F.col("bar_idx") > 0, F.col("m") + F.col("d") * g).otherwise(0.0)).over(line)))
     else:
         raise ValueError(f"unknown simulation {how}")
-    return s.select(name.alias("symbol"), F.col("symbol").alias("series"), "sim", "bar_idx", "close")
+    out = s.select(name.alias("symbol"), F.col("symbol").alias("series"), "sim", "bar_idx", "close", "own")
+    if whole:
+        ratio = lambda c: F.try_divide(F.col(c), F.col("close")).alias(f"__{c}")
+        place = "own" if how == "shuffle_prices" else "bar_idx"
+        out = out.join(bars.select(F.col("symbol").alias("series"), F.col("bar_idx").alias(place), *map(ratio, ("open", "high", "low"))), ["series", place])
+        out = out.join(bars.select(F.col("symbol").alias("series"), "bar_idx", "ts", "volume"), ["series", "bar_idx"])
+        out = out.withColumns({c: F.col("close") * F.col(f"__{c}") for c in ("open", "high", "low")})
+    return out.select("symbol", "series", "sim", "bar_idx", *(("ts", "open", "high", "low") if whole else ()), "close", *(("volume",) if whole else ()))
 
 
 def against_simulations(real: DataFrame, simulated: DataFrame, metric: str) -> DataFrame:

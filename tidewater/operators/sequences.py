@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.describe import with_p_values
+
 
 def _order() -> Window:
     return Window.partitionBy("symbol").orderBy("start_idx")
@@ -52,17 +54,19 @@ def markov(zones: DataFrame) -> DataFrame:
 
 
 def runs_test(zones: DataFrame) -> DataFrame:
-    """Wald-Wolfowitz: runs of bull against everything else, expected number, variance, z."""
+    """Wald-Wolfowitz: runs of bull against everything else, expected number, variance, z, p_value, whether the order looks random."""
     z = zones.withColumn("up", F.col("type") == "bull")
     z = z.withColumn("new", F.coalesce((F.lag("up").over(_order()) != F.col("up")).cast("int"), F.lit(1)))
     a = z.groupBy("symbol").agg(F.sum("new").alias("runs"), F.count_if("up").cast("double").alias("n1"), F.count_if(~F.col("up")).cast("double").alias("n2"))
     n, n1, n2 = F.col("n1") + F.col("n2"), F.col("n1"), F.col("n2")
     a = a.withColumns({"expected": 2 * n1 * n2 / n + 1, "variance": F.try_divide(2 * n1 * n2 * (2 * n1 * n2 - n), n * n * (n - 1))})
-    return a.withColumn("z", F.when(F.col("variance") > 0, (F.col("runs") - F.col("expected")) / F.sqrt("variance")))
+    a = a.withColumn("z", F.when(F.col("variance") > 0, (F.col("runs") - F.col("expected")) / F.sqrt("variance")))
+    return with_p_values(a, "normal", "z").withColumn("is_random", F.col("p_value") > 0.05)
 
 
 def uniformity(zones: DataFrame) -> DataFrame:
     """Chi-squared of the numbers of bull and bear zones against half of all zones each."""
     a = zones.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "bull").alias("bull"), F.count_if(F.col("type") == "bear").alias("bear"))
     half = F.col("n") / 2
-    return a.withColumn("chi2", (F.pow(F.col("bull") - half, F.lit(2)) + F.pow(F.col("bear") - half, F.lit(2))) / half)
+    a = a.withColumn("chi2", (F.pow(F.col("bull") - half, F.lit(2)) + F.pow(F.col("bear") - half, F.lit(2))) / half).withColumn("df", F.lit(1))
+    return with_p_values(a, "chi2", "chi2", "df").drop("df").withColumn("is_uniform", F.col("p_value") > 0.05)

@@ -55,37 +55,45 @@ def local_peaks(x: np.ndarray, height: float | None = None, distance: int | None
     if height is not None:
         peaks = peaks[x[peaks] >= height]
     if distance is not None and distance > 1 and len(peaks):
+        first, end = np.searchsorted(peaks, peaks - distance, side="right"), np.searchsorted(peaks, peaks + distance)
         keep = np.ones(len(peaks), dtype=bool)
         for k in np.argsort(x[peaks], kind="stable")[::-1]:
             if keep[k]:
-                near = np.abs(peaks - peaks[k]) < distance
-                near[k] = False
-                keep[near] = False
+                keep[first[k] : end[k]] = False
+                keep[k] = True
         peaks = peaks[keep]
     if prominence is not None and len(peaks):
-        out = []
-        for p in peaks:
-            left = np.flatnonzero(x[:p] > x[p])
-            right = np.flatnonzero(x[p + 1 :] > x[p])
-            a, b = (left[-1] + 1 if len(left) else 0), (p + 1 + right[0] if len(right) else n)
-            out.append(x[p] - max(x[a : p + 1].min(), x[p:b].min()) >= prominence)
-        peaks = peaks[np.array(out)]
+        base = np.maximum(_valleys(x), _valleys(x[::-1])[::-1])
+        peaks = peaks[x[peaks] - base[peaks] >= prominence]
     return peaks
 
 
+def _valleys(x: np.ndarray) -> np.ndarray:
+    """For each place the least value back to the last one that is higher, itself included; one pass with a stack."""
+    out, stack = np.empty(len(x)), []
+    for k, v in enumerate(x.tolist()):
+        low = v
+        while stack and stack[-1][0] <= v:
+            low = min(low, stack.pop()[1])
+        stack.append((v, low))
+        out[k] = low
+    return out
+
+
 def _confirmed(x: np.ndarray, start: int, level: float, below: bool) -> int | None:
     hit = np.flatnonzero(x[start:] <= level if below else x[start:] >= level)
     return int(start + hit[0]) if len(hit) else None
 
 
-def peak_points(df: DataFrame, prominence: float | None = None, distance: int = 5, key: list[str] | None = None) -> DataFrame:
-    """Peaks of high and troughs of low; prominence is a price, or a hundredth of the range if None."""
+def peak_points(df: DataFrame, prominence: float | str | None = None, distance: int = 5, key: list[str] | None = None) -> DataFrame:
+    """Peaks of high and troughs of low; prominence is a price, a column with each key's, or a hundredth of the range if None."""
     key = key or ["symbol"]
+    own = [prominence] if isinstance(prominence, str) else []
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("bar_idx")
         hi, lo, at = bars["high"].to_numpy(float), bars["low"].to_numpy(float), bars["bar_idx"].to_numpy()
-        need = prominence if prominence is not None else max(0.01 * (np.nanmax(hi) - np.nanmin(lo)), 1e-9)
+        need = float(bars[own[0]].iloc[0]) if own else prominence if prominence is not None else max(0.01 * (np.nanmax(hi) - np.nanmin(lo)), 1e-9)
         rows = []
         for kind, x, sign in (("peak", hi, 1.0), ("trough", lo, -1.0)):
             for p in local_peaks(sign * x, distance=distance, prominence=need):
@@ -95,19 +103,21 @@ def peak_points(df: DataFrame, prominence: float | None = None, distance: int =
         return pd.DataFrame(rows, columns=[*key, "bar_idx", "price", "swing_type", "confirmation_index"]).astype({"confirmation_index": "Int64"})
 
     schema = POINT if key == ["symbol"] else POINT.replace("symbol string,", "symbol string, zone_id long,")
-    return df.select(*key, "bar_idx", "high", "low").groupBy(*key).applyInPandas(run, schema)
+    return df.select(*key, "bar_idx", "high", "low", *own).groupBy(*key).applyInPandas(run, schema)
 
 
-def zigzag_points(df: DataFrame, deviation: float = 0.05, legs: int = 10, key: list[str] | None = None) -> DataFrame:
+def zigzag_points(df: DataFrame, deviation: float | str = 0.05, legs: int = 10, key: list[str] | None = None) -> DataFrame:
     """Alternating extremes at least deviation (a fraction) apart. Going up, the highest high so far is the
     candidate; a low that is deviation below makes it a peak and turns the leg, and so mirrored. The open end is no
-    point. A series with fewer distinct highs or lows than legs, or fewer than 2 * legs bars, has none."""
+    point. A series with fewer distinct highs or lows than legs, or fewer than 2 * legs bars, has none. deviation may be
+    a column with each key's."""
     key = key or ["symbol"]
+    own = [deviation] if isinstance(deviation, str) else []
 
     def run(bars: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values("bar_idx")
         hi, lo, at = bars["high"].to_numpy(float), bars["low"].to_numpy(float), bars["bar_idx"].to_numpy()
-        rows = []
+        rows, turn = [], float(bars[own[0]].iloc[0]) if own else deviation
         if len(at) >= 2 * legs and min(len(np.unique(hi)), len(np.unique(lo))) >= legs:
             top, bottom, way = 0, 0, 0
             for k in range(1, len(at)):
@@ -115,16 +125,16 @@ def zigzag_points(df: DataFrame, deviation: float = 0.05, legs: int = 10, key: l
                     top = k
                 if lo[k] < lo[bottom]:
                     bottom = k
-                if way >= 0 and lo[k] <= hi[top] * (1 - deviation) and k > top:
+                if way >= 0 and lo[k] <= hi[top] * (1 - turn) and k > top:
                     rows.append((at[top], hi[top], "peak", at[k]))
                     way, bottom, top = -1, k, k
-                elif way <= 0 and hi[k] >= lo[bottom] * (1 + deviation) and k > bottom:
+                elif way <= 0 and hi[k] >= lo[bottom] * (1 + turn) and k > bottom:
                     rows.append((at[bottom], lo[bottom], "trough", at[k]))
                     way, top, bottom = 1, k, k
         return pd.DataFrame([(*[bars[c].iloc[0] for c in key], *r) for r in rows], columns=[*key, "bar_idx", "price", "swing_type", "confirmation_index"])
 
     schema = POINT if key == ["symbol"] else POINT.replace("symbol string,", "symbol string, zone_id long,")
-    return df.select(*key, "bar_idx", "high", "low").groupBy(*key).applyInPandas(run, schema)
+    return df.select(*key, "bar_idx", "high", "low", *own).groupBy(*key).applyInPandas(run, schema)
 
 
 STRATEGIES = {"pivot_points": pivot_points, "find_peaks": peak_points, "zigzag": zigzag_points}
@@ -154,13 +164,17 @@ def in_zones(points: DataFrame, zones: DataFrame, bin_bars: int = 1024) -> DataF
     return hit.drop("__bin", "__n", "__p").dropDuplicates(["symbol", "zone_id", "bar_idx", "swing_type"])
 
 
-def swing_metrics(points: DataFrame, min_amplitude_pct: float = 0.0, key: list[str] | None = None) -> DataFrame:
+def swing_metrics(points: DataFrame, min_amplitude_pct: float | DataFrame = 0.0, key: list[str] | None = None) -> DataFrame:
     """Rallies and drops between consecutive points of each key: counts, sizes, durations, speeds and ratios; zero
-    where there are none. Movements without duration, from price zero or too small are left out."""
+    where there are none. Movements without duration, from price zero or too small are left out; what is too small may
+    be a table with min_amplitude_pct for each symbol or zone."""
     key = key or ["symbol", "zone_id"]
     m = linked(points, key).where(F.col("duration_to_next").isNotNull() & (F.col("duration_to_next") > 0) & F.col("amplitude_to_next").isNotNull())
     m = m.withColumns({"a": F.abs("amplitude_to_next"), "d": F.col("duration_to_next"), "__up": F.col("amplitude_to_next") > 0})
-    m = m.where((F.col("a") >= min_amplitude_pct * 100) & (F.col("amplitude_to_next") != 0)).withColumn("v", F.col("a") / F.col("d"))
+    least = F.lit(min_amplitude_pct) if isinstance(min_amplitude_pct, (int, float)) else F.col("min_amplitude_pct")
+    if not isinstance(min_amplitude_pct, (int, float)):
+        m = m.join(min_amplitude_pct, [k for k in key if k in min_amplitude_pct.columns])
+    m = m.where((F.col("a") >= least * 100) & (F.col("amplitude_to_next") != 0)).withColumn("v", F.col("a") / F.col("d"))
     parts = []
     for name, up in (("rally", True), ("drop", False)):
         own = lambda c: F.when(F.col("__up") == up, F.col(c))  # noqa: B023, E731
@@ -179,6 +193,41 @@ def swing_metrics(points: DataFrame, min_amplitude_pct: float = 0.0, key: list[s
     })
 
 
+def with_auto_thresholds(df: DataFrame, strategy: str, key: list[str] | None = None, base: float = 0.01, **parameters) -> tuple[DataFrame, DataFrame]:
+    """Points of a strategy whose threshold follows each key's prices, and (key, min_amplitude_pct), the least amplitude of a
+    movement there. Zigzag turns by its deviation and peaks stand out by their prominence; pivots take the
+    threshold as least amplitude, peaks too."""
+    key = key or ["symbol"]
+    limits = auto_thresholds(df, key, base)
+    column = {"zigzag": "zigzag_deviation", "find_peaks": "peak_prominence", "pivot_points": "pivot_deviation"}[strategy]
+    least = limits.select(*key, (F.lit(0.0) if strategy == "zigzag" else F.col(column)).alias("min_amplitude_pct"))
+    if strategy == "pivot_points":
+        return pivot_points(df, key=key, **parameters), least
+    own = df.join(limits.select(*key, F.col(column).alias("__own")), key)
+    return STRATEGIES[strategy](own, **parameters, **{"deviation" if strategy == "zigzag" else "prominence": "__own"}, key=key), least
+
+
+def aggregate_by_type(features: DataFrame, types: tuple[str, ...] = ("bull", "bear")) -> DataFrame:
+    """Swing figures of zones over all zones of each type: zones, those with figures, means and population deviations of
+    sizes and durations, and how many zones each is of. A zone without rallies (drops) counts with its zeros, one
+    whose figures are missing with none."""
+    z = features.where(F.col("type").isin(*types))
+    rally, drop, up, down = (F.col(c) for c in ("avg_rally_pct", "avg_drop_pct", "avg_rally_duration_bars", "avg_drop_duration_bars"))
+    live = rally.isNotNull() | drop.isNotNull()
+    n_up, n_down = F.count(up), F.count(down)
+    # over rallies and drops together: from sums, as each zone gives up to two values
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    total, square = F.sum(zero(up) + zero(down)), F.sum(zero(up * up) + zero(down * down))
+    mean = F.try_divide(total, n_up + n_down)
+    parts = {"rally": rally, "drop": drop, "rally_duration": up, "drop_duration": down}
+    return z.groupBy("type").agg(
+        F.count(F.lit(1)).alias("zones"), F.count_if(live).alias("with_swings"),
+        *[x for n, c in parts.items() for x in (F.avg(c).alias(f"avg_{n}_mean"), F.stddev_pop(c).alias(f"avg_{n}_std"), F.count(c).alias(f"avg_{n}_samples"))],
+        F.avg(F.when(live, F.col("rally_to_drop_ratio"))).alias("ratio_mean"),
+        mean.alias("avg_duration_mean"), F.sqrt(F.greatest(F.try_divide(square, n_up + n_down) - mean * mean, F.lit(0.0))).alias("avg_duration_std"), (n_up + n_down).alias("avg_duration_samples"),
+    )
+
+
 def auto_thresholds(df: DataFrame, key: list[str] | None = None, base: float = 0.01) -> DataFrame:
     """Thresholds that follow the price range over the median close of each key, with a floor."""
     key = key or ["symbol"]

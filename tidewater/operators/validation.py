@@ -97,3 +97,20 @@ def validate(df: DataFrame, strict: bool = False, key: str = "symbol") -> DataFr
     names = [c for c in a.columns if c != key]
     rows = a.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.lit("warning" if c in soft and not strict else "issue").alias("severity"), F.col(c).cast("long").alias("n")) for c in names])).alias("s"))
     return rows.select(key, "s.*").where("n > 0")
+
+
+def require(df: DataFrame, required: tuple[str, ...] = OHLC, strict: bool = False, key: str = "symbol") -> DataFrame:
+    """df itself, or ValueError with all that is wrong: columns that are missing, no rows, issues that validate() finds."""
+    if missing := columns_present(df.columns, required)["missing"]:
+        raise ValueError(f"columns missing: {missing}")
+    if df.isEmpty():
+        raise ValueError("no rows")
+    found = validate(df, strict, key).where("severity = 'issue'").groupBy("check").agg(F.sum("n").alias("n")).collect()
+    if found:
+        raise ValueError("; ".join(sorted(f"{r['check']}: {r['n']}" for r in found)))
+    return df
+
+
+def usable(df: DataFrame, columns: tuple[str, ...] = ()) -> bool:
+    """Whether an analysis can begin: the columns are there and there is a row."""
+    return not [c for c in columns if c not in df.columns] and not df.isEmpty()

@@ -1,7 +1,8 @@
 """Segmentation of series into zones.
 
 A detector labels bars and marks where a label ends; islands() numbers the runs and keeps those that are long
-enough and of a wanted type. Everything is a window over the series and one grouping by (symbol, run)."""
+enough and of a wanted type. Everything is a window over the series or its runs: bars are read once and joined to
+nothing."""
 
 from __future__ import annotations
 
@@ -13,32 +14,35 @@ from pyspark.sql import functions as F
 from tidewater.functions.series import by_bar, rolling
 
 
-def islands(df: DataFrame, state: Column, label: Column, min_duration: int = 2, types: tuple[str, ...] | None = None, need_change: bool = False, missing_apart: bool = False) -> DataFrame:
+def islands(df: DataFrame, state: Column, label: Callable[[Window], Column], min_duration: int = 2, types: tuple[str, ...] | None = None, need_change: bool = False, missing_apart: bool = False) -> DataFrame:
     """Bars of kept zones with zone_id, type, start_idx, end_idx, duration.
 
-    state: runs of equal values are zones; NULL runs as one zone, or each bar as its own (missing_apart). label: an
-    aggregate over the bars of a run that gives its type. need_change: a series of one run has no zone.
+    state: runs of equal values are zones; NULL runs as one zone, or each bar as its own (missing_apart). label: gives
+    the type as a column, from a window over the bars of a run. need_change: a series of one run has no zone.
     zone_id numbers the kept zones of a series from 0."""
-    w, whole = by_bar(), Window.partitionBy("symbol")
+    w = by_bar()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("symbol", "__run").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumn("__state", state)
     before = F.lag("__state").over(w)
     new = ~F.col("__state").eqNullSafe(before)
     if missing_apart:
         new = new | F.col("__state").isNull()
     df = df.withColumn("__new", F.when(F.lag(F.lit(1)).over(w).isNull(), 1).otherwise(new.cast("int")))
-    df = df.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = df.groupBy("symbol", "__run").agg(
-        F.min("bar_idx").alias("start_idx"), F.max("bar_idx").alias("end_idx"), F.count(F.lit(1)).alias("duration"), label.alias("type"),
-    )
+    df = df.withColumn("__run", F.sum("__new").over(upto))
     if need_change:
-        runs = runs.withColumn("__n", F.count(F.lit(1)).over(whole)).where("__n > 1").drop("__n")
-    runs = runs.where(F.col("duration") >= min_duration)
+        df = df.withColumn("__runs", F.max("__run").over(Window.partitionBy("symbol")))
+    df = df.withColumns({
+        "start_idx": F.first("bar_idx").over(run), "end_idx": F.last("bar_idx").over(run),
+        "duration": F.count(F.lit(1)).over(run), "type": label(run),
+    })
+    kept = F.col("type").isNotNull() & (F.col("duration") >= min_duration)
     if types is not None:
-        runs = runs.where(F.col("type").isin(*types))
-    runs = runs.where("type is not null")
-    runs = runs.withColumn("zone_id", (F.row_number().over(Window.partitionBy("symbol").orderBy("start_idx")) - 1).cast("long"))
-    drop = [c for c in ("__state", "__new") if c in df.columns]
-    return df.drop(*drop).join(runs, ["symbol", "__run"]).drop("__run")
+        kept &= F.col("type").isin(*types)
+    if need_change:
+        kept &= F.col("__runs") > 1
+    df = df.where(kept).withColumn("zone_id", (F.sum((F.col("bar_idx") == F.col("start_idx")).cast("int")).over(upto) - 1).cast("long"))
+    return df.drop("__state", "__new", "__run", "__runs")
 
 
 def zone_table(zoned: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def zero_crossing(df: DataFrame, indicator: str, smooth: int | None = None, min_
     changes sign has no zone."""
     value = rolling(F.avg(indicator), indicator, smooth) if smooth and smooth > 1 else F.col(indicator)
     df = df.withColumn("__value", value)
-    label = F.when(F.avg("__value") > 0, "bull").otherwise("bear")
+    label = lambda run: F.when(F.avg("__value").over(run) > 0, "bull").otherwise("bear")
     return islands(df, F.col("__value") >= 0, label, min_duration, types, need_change=True, missing_apart=True).drop("__value")
 
 
@@ -69,7 +73,7 @@ def threshold(df: DataFrame, indicator: str, upper: float, lower: float, min_dur
         raise ValueError("upper must be above lower")
     x = F.col(indicator)
     kind = F.when(x > upper, "overbought").when(x < lower, "oversold").when(x.isNotNull(), "neutral")
-    return islands(df.withColumn("__kind", kind), F.col("__kind"), F.first("__kind"), min_duration, types).drop("__kind")
+    return islands(df.withColumn("__kind", kind), F.col("__kind"), lambda run: F.col("__kind"), min_duration, types).drop("__kind")
 
 
 def combined(df: DataFrame, conditions: list[str | Column], logic: str = "and", names: tuple[str, str] = ("active", "inactive"), min_duration: int = 2, types: tuple[str, ...] | None = None) -> DataFrame:
@@ -81,7 +85,7 @@ def combined(df: DataFrame, conditions: list[str | Column], logic: str = "and",
     for p in parts[1:]:
         met = (met & p) if logic == "and" else (met | p)
     df = df.withColumn("__met", met)
-    return islands(df, F.col("__met"), F.when(F.first("__met"), names[0]).otherwise(names[1]), min_duration, types).drop("__met")
+    return islands(df, F.col("__met"), lambda run: F.when(F.col("__met"), names[0]).otherwise(names[1]), min_duration, types).drop("__met")
 
 
 def preloaded_zones(df: DataFrame, zones: DataFrame, tolerance_seconds: int = 60, min_duration: int = 2, types: tuple[str, ...] | None = None, bin_seconds: int = 86_400) -> DataFrame:
@@ -95,8 +99,9 @@ def preloaded_zones(df: DataFrame, zones: DataFrame, tolerance_seconds: int = 60
     z = z.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__lo") / bin_seconds), F.floor(F.col("__hi") / bin_seconds))))
     b = df.withColumn("__at", at).withColumn("__bin", F.floor(F.col("__at") / bin_seconds))
     hit = b.join(z, ["symbol", "__bin"]).where("__at between __lo and __hi").drop("__bin", "__at", "__lo", "__hi")
-    ends = hit.groupBy("symbol", "zone_id").agg(F.min("bar_idx").alias("start_idx"), F.max("bar_idx").alias("end_idx"), F.count(F.lit(1)).alias("duration"))
-    return hit.join(ends.where(F.col("duration") >= min_duration), ["symbol", "zone_id"])
+    zone = Window.partitionBy("symbol", "zone_id")
+    hit = hit.withColumns({"start_idx": F.min("bar_idx").over(zone), "end_idx": F.max("bar_idx").over(zone), "duration": F.count(F.lit(1)).over(zone)})
+    return hit.where(F.col("duration") >= min_duration)
 
 
 Detector = Callable[..., DataFrame]

@@ -320,11 +320,6 @@ def statistical_properties(spark, d):
     return _six(validation.statistical_properties(_bars(spark, d), ["close", "volume"]))
 
 
-@query()
-def validate_ohlcv(spark, d):
-    return validation.validate(_bars(spark, d))
-
-
 @query(f"WITH {BARS} SELECT symbol, count(*) AS n_rows, CAST(min(epoch(ts)) AS BIGINT) AS first_ts, CAST(max(epoch(ts)) AS BIGINT) AS last_ts, count(*) FILTER (close IS NULL) AS close_nulls FROM bars GROUP BY symbol")
 def table_info(spark, d):
     t = describe.table_info(_bars(spark, d))
@@ -381,11 +376,6 @@ def moving_average_set(spark, d):
     return _six(indicators.moving_averages(_bars(spark, d), (10, 50)), "symbol", "bar_idx", "sma_10", "sma_50", "ema_10", "ema_50")
 
 
-@query()
-def indicator_suite(spark, d):
-    return _six(indicators.suite(_bars(spark, d)))
-
-
 @query(f"""WITH {MACD}, c AS (SELECT symbol, bar_idx, CASE WHEN macd > macd_signal AND lag(macd) OVER {W} <= lag(macd_signal) OVER {W} THEN 'bullish' WHEN macd < macd_signal AND lag(macd) OVER {W} >= lag(macd_signal) OVER {W} THEN 'bearish' END AS signal FROM m) SELECT * FROM c WHERE signal IS NOT NULL""")
 def crossovers(spark, d):
     return _six(B.crossings(indicators.macd(_bars(spark, d)), "macd", "macd_signal"), "symbol", "bar_idx", "signal")
@@ -505,11 +495,6 @@ def volatility_metrics(spark, d):
     return _six(features.volatility_metrics(_macd_zoned(spark, d)))
 
 
-@query()
-def divergence_metrics(spark, d):
-    return features.divergence_metrics(_macd_zoned(spark, d), "macd")
-
-
 PV = f"p1 AS (SELECT *, lag(high, 1) OVER w a1, lag(high, 2) OVER w a2, lead(high, 1) OVER w b1, lead(high, 2) OVER w b2, lag(low, 1) OVER w c1, lag(low, 2) OVER w c2, lead(low, 1) OVER w d1, lead(low, 2) OVER w d2 FROM bars WINDOW w AS {W}), pv AS (SELECT symbol, bar_idx, high AS price, 'peak' AS swing_type FROM p1 WHERE high > greatest(a1, a2, b1, b2) AND a2 IS NOT NULL AND b2 IS NOT NULL UNION ALL SELECT symbol, bar_idx, low, 'trough' FROM p1 WHERE low < least(c1, c2, d1, d2) AND c2 IS NOT NULL AND d2 IS NOT NULL)"
 
 
@@ -541,16 +526,6 @@ def swing_metrics(spark, d):
     return _six(swings.swing_metrics(spots.select("symbol", "zone_id", "bar_idx", "price", "swing_type"), 0.015))
 
 
-@query()
-def find_peaks_swings(spark, d):
-    return _six(swings.linked(swings.peak_points(_bars(spark, d))))
-
-
-@query()
-def zigzag_swings(spark, d):
-    return _six(swings.linked(swings.zigzag_points(_bars(spark, d), 0.05)))
-
-
 @query(f"""WITH {BARS}, a AS (SELECT symbol, (max(high) - min(low)) / median(close) AS r FROM bars GROUP BY 1) SELECT symbol, round(greatest(0.01, r * 0.5), 6) AS zigzag_deviation, round(greatest(0.01, r * 0.3), 6) AS peak_prominence, round(greatest(0.01, r * 0.25), 6) AS pivot_deviation FROM a""")
 def auto_thresholds(spark, d):
     return _six(swings.auto_thresholds(_bars(spark, d)))
@@ -603,34 +578,11 @@ def markov(spark, d):
     return _six(sequences.markov(zones.zone_table(_macd_zoned(spark, d))))
 
 
-@query(f"""WITH {MZ}, a AS (SELECT symbol, type = 'bull' AS up, CASE WHEN lag(type = 'bull') OVER zo IS DISTINCT FROM (type = 'bull') THEN 1 ELSE 0 END AS f FROM zones {ZW}), b AS (SELECT symbol, CAST(sum(f) AS BIGINT) AS runs, CAST(count(*) FILTER (up) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT up) AS DOUBLE) AS n2 FROM a GROUP BY 1),
-c AS (SELECT *, 2 * n1 * n2 / (n1 + n2) + 1 AS expected, 2 * n1 * n2 * (2 * n1 * n2 - n1 - n2) / nullif((n1 + n2) * (n1 + n2) * (n1 + n2 - 1), 0) AS variance FROM b) SELECT symbol, runs, {six('n1', 'n2', 'expected', 'variance')}, round(CASE WHEN variance > 0 THEN (runs - expected) / sqrt(variance) END, 6) AS z FROM c""")
-def runs_test(spark, d):
-    return _six(sequences.runs_test(zones.zone_table(_macd_zoned(spark, d))))
-
-
-@query(f"WITH {MZ}, a AS (SELECT symbol, count(*) AS n, count(*) FILTER (type = 'bull') AS bull, count(*) FILTER (type = 'bear') AS bear FROM zones GROUP BY 1) SELECT symbol, n, bull, bear, round((pow(bull - n / 2, 2) + pow(bear - n / 2, 2)) / (n / 2), 6) AS chi2 FROM a")
-def uniformity(spark, d):
-    return _six(sequences.uniformity(zones.zone_table(_macd_zoned(spark, d))))
-
-
 def _rows(spark: SparkSession, results: list[dict]) -> DataFrame:
     some = [(r["name"], r["statistic"], r["p_value"], r["significant"], r["effect_size"], r["n"], r.get("error")) for r in results]
     return _six(spark.createDataFrame(some, "name string, statistic double, p_value double, significant boolean, effect_size double, n long, error string"))
 
 
-@query()
-def hypothesis_tests(spark, d):
-    from tidewater.storage import written
-
-    f = written(features.base_features(_macd_zoned(spark, d), "macd"), "zone-features")
-    by_series = "duration_stationarity"
-    pooled = hypothesis.run_all(f, [n for n in hypothesis.TESTS if n != by_series])
-    own = _six(hypothesis.duration_stationarity_of_series(f).withColumns({"name": F.lit(by_series), "effect_size": F.lit(None).cast("double")}))
-    names = ["name", "symbol", "statistic", "p_value", "significant", "effect_size", "n", "error"]
-    return _rows(spark, [*pooled.values()]).withColumn("symbol", F.lit(None).cast("string")).select(*names).unionByName(own.select(*names))
-
-
 @query("""WITH g AS (SELECT c_mktsegment IN ('BUILDING', 'MACHINERY') AS a, count(c_acctbal) AS n, avg(c_acctbal) AS m, var_samp(c_acctbal) AS v FROM customer GROUP BY 1), x AS (SELECT max(n) FILTER (a) AS n1, max(n) FILTER (NOT a) AS n2, max(m) FILTER (a) AS m1, max(m) FILTER (NOT a) AS m2, max(v) FILTER (a) AS v1, max(v) FILTER (NOT a) AS v2 FROM g),
 y AS (SELECT *, ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) AS p FROM x) SELECT 't_test' AS name, round((m1 - m2) / sqrt(p * (1 / n1 + 1 / n2)), 6) AS statistic, round((m1 - m2) / sqrt(p), 6) AS effect_size, n1 + n2 AS n FROM y""")
 def t_test(spark, d):
@@ -677,11 +629,6 @@ def spearman(spark, d):
     return _six(describe.spearman(_bars(spark, d), "close", "volume", ["symbol"]))
 
 
-@query(f"""WITH {BARS}, p AS (SELECT x.symbol, sign(y.close - x.close) * sign(y.volume - x.volume) AS s, x.close <> y.close AS na, x.volume <> y.volume AS nb FROM bars x JOIN bars y ON x.symbol = y.symbol AND x.bar_idx < y.bar_idx) SELECT symbol, round(sum(s) / sqrt(count(*) FILTER (na) * CAST(count(*) FILTER (nb) AS DOUBLE)), 6) AS tau FROM p GROUP BY 1""")
-def kendall(spark, d):
-    return _six(describe.kendall(_bars(spark, d), "close", "volume", ["symbol"]))
-
-
 @query(f"WITH {BARS} SELECT symbol, round(regr_slope(close, bar_idx), 6) AS slope, round(regr_intercept(close, bar_idx), 6) AS intercept, round(regr_r2(close, bar_idx), 6) AS r2 FROM bars GROUP BY 1")
 def linear_trend(spark, d):
     return _six(describe.linear_trend(_bars(spark, d), "close"))
@@ -717,11 +664,6 @@ def level_summary(spark, d):
     return _six(levels.level_summary(levels.support_resistance(_bars(spark, d))))
 
 
-@query()
-def price_levels(spark, d):
-    return _six(levels.price_levels(_features(spark, d), "start_price"))
-
-
 # robustness
 
 
@@ -747,18 +689,16 @@ def sensitivity(spark, d):
     return _six(robustness.stability(robustness.sensitivity(run, {"period": [10, 20, 40]}, "m"), "m"))
 
 
-@query()
-def monte_carlo(spark, d):
-    b = _bars(spark, d)
-    metric = lambda x: x.groupBy("symbol").agg(F.stddev_samp("close").alias("m"))
-    sims = robustness.simulate(b)
-    sim = sims.groupBy("symbol", "series").agg(F.stddev_samp("close").alias("m"))
-    return _six(robustness.against_simulations(metric(b), sim, "m"))
+def _all() -> None:
+    """The modules that register more queries here."""
+    from tidewater.plans import catalog_points, catalog_tests  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +27,7 @@ class Config:
     swing: str | None = "zigzag"
     swing_scope: str = "global"
     preset: str = "default"
+    auto: bool = False
     divergence: bool = False
     volatility: bool = False
     volume: bool = True
@@ -72,11 +73,15 @@ class Result:
         for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         spark = self.bars.sparkSession
-        spark.createDataFrame([(repr(self.config), json.dumps(self.memo, default=str))], "config string, statistics string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+        spark.createDataFrame([(json.dumps(asdict(self.config)), json.dumps(self.memo, default=str))], "config string, statistics string").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
     @staticmethod
-    def load(spark: SparkSession, path: str, config: Config | None = None) -> Result:
-        return Result(*[spark.read.parquet(f"{path}/{name}") for name in TABLES], config or Config())
+    def load(spark: SparkSession, path: str) -> Result:
+        """The tables, configuration and computed statistics that save() wrote."""
+        r = spark.read.schema("config string, statistics string").json(f"{path}/metadata").first()
+        tuples = lambda x: tuple(map(tuples, x)) if isinstance(x, list) else x
+        config = Config(**{k: tuples(v) for k, v in json.loads(r["config"]).items()})
+        return Result(*[spark.read.parquet(f"{path}/{name}") for name in TABLES], config, json.loads(r["statistics"]))
 
 
 class ZoneAnalysis:
@@ -97,10 +102,11 @@ class ZoneAnalysis:
     def detect(self, strategy: str, column: str | None = None, **rules) -> ZoneAnalysis:
         return self._with(rules, detector=strategy, rules=tuple(sorted((k, str(v)) for k, v in rules.items())), column=column or rules.get("indicator") or self.config.column)
 
-    def with_swings(self, strategy: str | None, scope: str = "global", preset: str = "default") -> ZoneAnalysis:
+    def with_swings(self, strategy: str | None, scope: str = "global", preset: str = "default", auto: bool = False) -> ZoneAnalysis:
+        """auto: thresholds follow the prices of each series (or zone) instead of the preset."""
         if preset not in swings.PRESETS or scope not in ("global", "per_zone"):
             raise ValueError("unknown preset or scope")
-        return self._with(swing=strategy, swing_scope=scope, preset=preset)
+        return self._with(swing=strategy, swing_scope=scope, preset=preset, auto=auto)
 
     def with_strategies(self, divergence: bool = False, volatility: bool = False, volume: bool = True) -> ZoneAnalysis:
         return self._with(divergence=divergence, volatility=volatility, volume=volume)
@@ -115,19 +121,31 @@ class ZoneAnalysis:
             bars = indicators.create(source, name, **dict(parameters))(bars)
         zoned = zones.detect(bars, c.detector, **self.rules)
         table = zones.zone_table(zoned)
-        points, least = None, 0.0
+        points, least, key = None, 0.0, ["symbol", "zone_id"]
         if c.swing:
             parameters = dict(swings.PRESETS[c.preset][c.swing])
             least = parameters.pop("min_amplitude_pct", 0.0)
+            if c.auto:
+                parameters = {k: v for k, v in parameters.items() if k not in ("deviation", "prominence")}
             if c.swing_scope == "global":
-                points = swings.STRATEGIES[c.swing](bars, **parameters)
+                points, least = swings.with_auto_thresholds(bars, c.swing, **parameters) if c.auto else (swings.STRATEGIES[c.swing](bars, **parameters), least)
         f = features.all_features(zoned, c.column, points, table, least, c.divergence, c.volatility, c.volume)
         if c.swing and c.swing_scope == "per_zone":
-            own = swings.STRATEGIES[c.swing](zoned, key=["symbol", "zone_id"], **parameters)
+            own, least = swings.with_auto_thresholds(zoned, c.swing, key=key, **parameters) if c.auto else (swings.STRATEGIES[c.swing](zoned, key=key, **parameters), least)
             metrics = swings.swing_metrics(own, least)
-            f = f.join(metrics, ["symbol", "zone_id"], "left").fillna(0, [x for x in metrics.columns if x not in ("symbol", "zone_id")])
+            f = f.join(metrics, key, "left").fillna(0, [x for x in metrics.columns if x not in key])
         return Result(zoned, table, f, c)
 
+    def cached(self, root: str, version: str) -> Result:
+        """The result kept under root for this configuration and version of the input; built and saved where there is none.
+        What could not be written whole is not found again."""
+        spark = self.bars.sparkSession
+        path = f"{root.rstrip('/')}/{self.config.key(version)}"
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            self.build().save(path)
+        return Result.load(spark, path)
+
 
 def analyze_zones(bars: DataFrame) -> ZoneAnalysis:
     return ZoneAnalysis(bars)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +16,45 @@ from tidewater.operators.bars import numbered
 
 #: Date formats tried in turn, other names of columns, names of timeframes.
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd")
-ALIASES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume", "adj close": "close", "time": "ts", "date": "ts", "datetime": "ts", "timestamp": "ts"}
-TIMEFRAME_NAMES = {"1": "1m", "5": "5m", "15": "15m", "30": "30m", "60": "1h", "240": "4h", "1D": "1d", "D1": "1d", "W1": "1w", "M1": "1m", "M5": "5m", "M15": "15m", "M30": "30m", "H1": "1h", "H4": "4h"}
+ALIASES = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume", "adj close": "adj_close", "time": "ts", "date": "ts", "datetime": "ts", "timestamp": "ts"}
+MINUTES, HOURS, MONTHS = (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 45), (1, 2, 3, 4, 6, 8, 12), (1, 3, 6, 12)
+TIMEFRAME_NAMES = {
+    **{n: f"{m}m" for m in MINUTES for n in (str(m), f"M{m}", f"{m}m")}, **{n: f"{h}h" for h in HOURS for n in (str(60 * h), f"H{h}", f"{h}h")},
+    **{n: "1d" for n in ("1d", "1D", "D1", "Daily")}, **{n: "1w" for n in ("1w", "1W", "W1", "Weekly")}, **{f"{m}M": f"{m}M" for m in MONTHS}, "Monthly": "1M", "MN1": "1M",
+}
 METATRADER = ("ts", "open", "high", "low", "close", "volume")
 BOMS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16"))
 PROBE = 10_000
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, which may be a pattern or a folder, in order of name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = target.getFileSystem(conf), []
+    for status in fs.globStatus(target) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [x.getPath().toString() for x in inner if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def head_of(spark: SparkSession, file: str, n: int = PROBE) -> bytes:
+    """The first n bytes of a file, and no more, through Spark's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, UTF-16 or windows-1252, from the first bytes of the first file, read through Spark's file systems."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PROBE).alias("b")).limit(1).collect()
-    data = bytes(head[0]["b"]) if head else b""
+    """UTF-8, UTF-16 or windows-1252, from the first bytes of the first file."""
+    found = files(spark, path)
+    return encoding_of(head_of(spark, found[0]) if found else b"")
+
+
+def encoding_of(data: bytes) -> str:
     for mark, name in BOMS:
         if data.startswith(mark):
             return name
@@ -42,9 +73,19 @@ def parsed_time(column: str):
 
 
 def headerless(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """Whether the first line is data: six columns or more of which the second to the sixth are numbers."""
-    first = spark.read.option("encoding", encoding).csv(path).limit(1).collect()
-    if not first or len(first[0]) < 6:
+    """Whether the first line of the first file is data: six columns or more of which the second to the sixth are numbers."""
+    found = files(spark, path)
+    return bool(found) and is_data(first_line(head_of(spark, found[0]), encoding))
+
+
+def first_line(data: bytes, encoding: str) -> list[str]:
+    lines = data.decode(encoding, "ignore").lstrip("\ufeff").splitlines()
+    return next(csv.reader(lines[:1]), []) if lines else []
+
+
+def is_data(cells: list[str]) -> bool:
+    """Whether a first line is a row of prices and no header."""
+    if len(cells) < 6:
         return False
 
     def number(x: str | None) -> bool:
@@ -54,7 +95,7 @@ def headerless(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
         except ValueError:
             return False
 
-    return not number(first[0][0]) and all(number(x) for x in first[0][1:6])
+    return not number(cells[0]) and all(number(x) for x in cells[1:6])
 
 
 def canonical_names(columns: list[str]) -> list[str]:
@@ -64,11 +105,26 @@ def canonical_names(columns: list[str]) -> list[str]:
 
 def load_ohlcv(spark: SparkSession, path: str, symbol: str | None = None, timeframe: str | None = None, strict: bool = False, least_rows: int = 100) -> DataFrame:
     """(symbol, ts, bar_idx, open, high, low, close, volume, ...) of CSV files, with or without a header; the symbol
-    is taken from the file name where none is given. Rows without any value go. strict raises where a column is
-    missing, rows are few, more than a tenth of a column is missing, or a price is not positive."""
-    encoding = detect_encoding(spark, path)
-    bare = headerless(spark, path, encoding)
-    raw = spark.read.option("header", str(not bare).lower()).option("encoding", encoding).csv(path)
+    is taken from the file name where none is given. Files are read by their own encoding and header: those that are
+    alike in one scan. Rows without any value go. strict raises where a column is missing, rows are few, more
+    than a tenth of a column is missing, or a price is not positive."""
+    kinds: dict[tuple, list[str]] = {}
+    for file in files(spark, path):
+        head = head_of(spark, file)
+        encoding = encoding_of(head)
+        cells = first_line(head, encoding)
+        kinds.setdefault((encoding, None if is_data(cells) else tuple(cells)), []).append(file)
+    if not kinds:
+        raise ValueError(f"no files: {path}")
+    parts = [_load_alike(spark, some, encoding, header is None, symbol, timeframe) for (encoding, header), some in sorted(kinds.items(), key=str)]
+    df = numbered(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    if strict:
+        check_structure(df, least_rows)
+    return df
+
+
+def _load_alike(spark: SparkSession, some: list[str], encoding: str, bare: bool, symbol: str | None, timeframe: str | None) -> DataFrame:
+    raw = spark.read.option("header", str(not bare).lower()).option("encoding", encoding).csv(some)
     names = [*METATRADER[: len(raw.columns)], *[f"col_{k}" for k in range(6, len(raw.columns))]] if bare else canonical_names(raw.columns)
     df = raw.toDF(*names)
     if missing := [c for c in ("ts", *OHLC) if c not in names]:
@@ -79,10 +135,7 @@ def load_ohlcv(spark: SparkSession, path: str, symbol: str | None = None, timefr
         df = df.withColumn("volume", F.lit(None).cast("double"))
     if timeframe:
         df = df.withColumn("timeframe", F.lit(normal_timeframe(timeframe)))
-    df = numbered(no_nan(df).dropna("all", subset=[c for c in numbers]))
-    if strict:
-        check_structure(df, least_rows)
-    return df
+    return no_nan(df).dropna("all", subset=[c for c in numbers])
 
 
 def check_structure(df: DataFrame, least_rows: int = 100, most_missing: float = 0.1) -> dict:
@@ -116,7 +169,32 @@ def parse_file_name(name: str) -> dict[str, str | None]:
 
 
 def normal_timeframe(name: str) -> str:
-    return TIMEFRAME_NAMES.get(name, TIMEFRAME_NAMES.get(name.upper(), name.lower()))
+    """The usual name: as it is written (1m is a minute, 1M a month), or else whatever its case."""
+    for n in (name, name.upper(), name.lower(), name.capitalize()):
+        if n in TIMEFRAME_NAMES:
+            return TIMEFRAME_NAMES[n]
+    return name
+
+
+def load_default(spark: SparkSession, root: str, symbol: str = "XAUUSD", timeframe: str = "1h") -> DataFrame:
+    """The default instrument at an hour."""
+    return load_symbol(spark, root, symbol, timeframe)
+
+
+def load_settings(spark: SparkSession, path: str) -> dict:
+    """Settings of a batch of analyses from a JSON file, or from YAML where a parser for it is installed."""
+    text = head_of(spark, path, 1 << 24).decode("utf-8")
+    if path.lower().endswith((".yaml", ".yml")):
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("a YAML parser is not installed; use JSON") from None
+        out = yaml.safe_load(text)
+    else:
+        out = json.loads(text)
+    if not isinstance(out, dict):
+        raise ValueError("settings must be a mapping")
+    return out
 
 
 def data_path(root: str, symbol: str, timeframe: str) -> str:
@@ -198,5 +276,25 @@ class Samples:
         e = self.entries[name]
         return generated_sample(spark, (e["symbol"],), e["bars"], e["step_minutes"])
 
+    def info(self, spark: SparkSession, name: str) -> DataFrame:
+        """One row a column: values, missing, their share in percent, least, largest and mean."""
+        df = self.load(spark, name)
+        cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in (*OHLC, "volume")]
+        rows = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*")
+        missing = F.count_if(F.col("x").isNull())
+        return rows.groupBy("column").agg(F.count("x").alias("n"), missing.alias("missing"), F.round(missing / F.count(F.lit(1)) * 100, 2).alias("missing_pct"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"))
+
+    def integrity(self, spark: SparkSession, name: str) -> dict:
+        """Whether a sample has the rows it names, its columns, no broken bars and no repeated stamps."""
+        from tidewater.operators.validation import valid_row
+
+        df = self.load(spark, name)
+        r = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~valid_row()).alias("broken"), F.countDistinct("symbol", "ts").alias("stamps")).first()
+        missing = [c for c in ("symbol", "ts", *OHLC, "volume") if c not in df.columns]
+        return {"rows": r["rows"], "broken": r["broken"], "missing_columns": missing, "whole": r["rows"] == r["stamps"] == self.entries[name]["bars"] and not r["broken"] and not missing}
+
+    def compare(self, spark: SparkSession, a: str, b: str) -> dict:
+        return compare_columns(self.load(spark, a), self.load(spark, b)) | {"attributes": {k: (self.entries[a].get(k), self.entries[b].get(k)) for k in {**self.entries[a], **self.entries[b]} if self.entries[a].get(k) != self.entries[b].get(k)}}
+
     def preview(self, spark: SparkSession, name: str, n: int = 5) -> DataFrame:
         return self.load(spark, name).where(F.col("bar_idx") < n)
