@@ -25,6 +25,7 @@ TIMEFRAME_NAMES = {
 METATRADER = ("ts", "open", "high", "low", "close", "volume")
 BOMS = ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16"))
 PROBE = 10_000
+SPARK_NAMES = {"windows-1252": "ISO-8859-1"}
 
 
 def files(spark: SparkSession, path: str) -> list[str]:
@@ -124,7 +125,12 @@ def load_ohlcv(spark: SparkSession, path: str, symbol: str | None = None, timefr
 
 
 def _load_alike(spark: SparkSession, some: list[str], encoding: str, bare: bool, symbol: str | None, timeframe: str | None) -> DataFrame:
-    raw = spark.read.option("header", str(not bare).lower()).option("encoding", encoding).csv(some)
+    raw = spark.read.option("header", str(not bare).lower()).option("encoding", SPARK_NAMES.get(encoding, encoding)).csv(some)
+    if encoding == "windows-1252":  # Spark reads Latin-1, from which it differs in some control characters
+        there = {chr(b): bytes([b]).decode("windows-1252", "ignore") for b in range(0x80, 0xA0)}
+        there = {k: v for k, v in there.items() if v}
+        old, new = "".join(there), "".join(there.values())
+        raw = raw.select(*[F.translate(f"`{c}`", old, new).alias(c.translate(str.maketrans(there))) for c in raw.columns])
     names = [*METATRADER[: len(raw.columns)], *[f"col_{k}" for k in range(6, len(raw.columns))]] if bare else canonical_names(raw.columns)
     df = raw.toDF(*names)
     if missing := [c for c in ("ts", *OHLC) if c not in names]:
