@@ -13,7 +13,7 @@ from tidewater.llm.jaccard_join import drop_near_copies
 from tidewater.llm.packing import pack
 from tidewater.llm.quality import THRESHOLD, fit, held_out, measured, score
 from tidewater.llm.substring_dedup import drop_repeated_passages
-from tidewater.storage import new_path
+from tidewater.storage import new_path, remove, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -57,12 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written to the shared folder and read again for the next. The tables that a stage
+    made on its way, and the result before, go when its result is written; the last stage's stay for the rows returned."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = new_path(spark, f"stage-{k}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        path = new_path(spark, f"stage-{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path

@@ -161,6 +161,26 @@ def test_registries(spark):
     assert both.columns[-2:] == ["m", "b_m"] and both.where("bar_idx = 20 and m = b_m").count() == 0
 
 
+def test_indicators_in_chunks(spark):
+    """As over whole series, in many tasks for one series."""
+    f = walk(5000, 3)
+    f["high"] += np.arange(5000) % 7
+    d = spark.createDataFrame(f).repartition(3)
+    for name, parameters in (("macd", {}), ("macd", {"adjust": False}), ("rsi", {"period": 5}), ("sma", {"period": 50}), ("bbands", {}), ("ao", {}), ("atr", {}), ("ema", {"period": 9})):
+        whole, parts = (indicators.create("custom", name, chunk, **parameters)(d) for chunk in (None, 1000))
+        assert whole.columns == parts.columns
+        a, b = (x.toPandas().sort_values("bar_idx", ignore_index=True) for x in (whole, parts))
+        assert len(a) == len(b)
+        for c in a.columns[8:]:
+            assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=1e-9, atol=1e-10, equal_nan=True), (name, c)
+    tasks = indicators.create("custom", "sma", 100, period=5)(d).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+    with pytest.raises(ValueError):
+        indicators.create("custom", "sma", 10, period=50)(d)
+    with pytest.raises(ValueError):
+        indicators.create("custom", "unknown", 10)
+
+
 def test_validators(spark):
     d = spark.createDataFrame(walk(150))
     assert validation.require(d) is d and validation.usable(d, ("close",)) and not validation.usable(d.limit(0)) and not validation.usable(d, ("none",))

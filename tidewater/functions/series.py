@@ -1,8 +1,11 @@
 """Column helpers for ordered series. Every window is partitioned by the series key, so one exchange and one sort
-on (symbol, bar_idx) serve all of them. Missing values are NULL; NaN is turned into NULL where data enter."""
+on (symbol, bar_idx) serve all of them; in_chunks() lets them run over pieces of a series, each a task of its own. Missing
+values are NULL; NaN is turned into NULL where data enter."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +57,17 @@ def correlation(a: str | Column, b: str | Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def in_chunks(df: DataFrame, apply: Callable[[DataFrame], DataFrame], before: int, rows: int = 1 << 18) -> DataFrame:
+    """What apply, made of windows that look back at most before rows, gives for bars numbered by bar_idx from 0 on; a series is
+    cut into chunks of rows, and each gets the before rows that precede it. So a series of any length is spread over as
+    many tasks as it has chunks, for one exchange and before / rows more rows."""
+    if before > rows:
+        raise ValueError("chunks must not be shorter than what windows look back at")
+    own, at = F.floor(F.col(INDEX) / rows), F.pmod(F.col(INDEX), F.lit(rows))
+    places = F.when(at >= rows - before, F.array(own, own + 1)).otherwise(F.array(own))
+    wide = df.withColumns({"__series": F.col(SYMBOL), "__own": own}).withColumn("__chunk", F.explode(places))
+    wide = wide.withColumn(SYMBOL, F.struct("__series", "__chunk"))
+    out = apply(wide).where(F.col("__own") == F.col("__chunk"))
+    return out.withColumn(SYMBOL, F.col("__series")).drop("__series", "__own", "__chunk")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import importlib
 import inspect
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.ewm import alpha_of, ewm_mean
-from tidewater.functions.series import lag, rolling
+from tidewater.functions.series import in_chunks, lag, rolling
 
 
 def sma(df: DataFrame, period: int = 20, column: str = "close", out: str | None = None) -> DataFrame:
@@ -108,13 +109,32 @@ def available() -> dict[str, list[str]]:
     return {s: sorted(names) for s, names in _sources.items()}
 
 
-def create(source: str, name: str, **parameters) -> Callable[[DataFrame], DataFrame]:
-    """A registered indicator with its parameters, ready to be applied to bars."""
+def _fades(alpha: float) -> int:
+    """Rows after which a weight is below the last digit of a double."""
+    return math.ceil(40 / -math.log1p(-alpha)) if alpha < 1 else 1
+
+
+#: Rows that an indicator looks back at; weighted means fade.
+LOOKS_BACK: dict[str, Callable[..., int]] = {
+    "sma": lambda period=20, **_: period, "ema": lambda period=20, **_: _fades(alpha_of(span=period)), "bbands": lambda period=20, **_: period,
+    "rsi": lambda period=14, **_: _fades(1 / period) + 1, "macd": lambda fast=12, slow=26, signal=9, **_: _fades(alpha_of(span=max(fast, slow))) + _fades(alpha_of(span=signal)),
+    "ao": lambda slow=34, **_: slow, "atr": lambda period=14, **_: period + 1,
+    "moving_averages": lambda periods=(10, 20, 50, 200), **_: _fades(alpha_of(span=max(periods))), "suite": lambda **_: 1000,
+}
+
+
+def create(source: str, name: str, chunk_rows: int | None = None, **parameters) -> Callable[[DataFrame], DataFrame]:
+    """A registered indicator with its parameters, ready to be applied to bars. With chunk_rows, series are cut into chunks of so
+    many bars that are tasks of their own; it must be known how far the indicator looks back."""
     try:
         function = _sources[source][name]
     except KeyError:
         raise ValueError(f"unknown indicator {source}/{name}") from None
-    return lambda df: function(df, **parameters)
+    if chunk_rows is None:
+        return lambda df: function(df, **parameters)
+    if name not in LOOKS_BACK or _sources[source][name] is not _sources["custom"].get(name):
+        raise ValueError(f"it is not known how far {source}/{name} looks back")
+    return lambda df: in_chunks(df, lambda d: function(d, **parameters), LOOKS_BACK[name](**parameters), chunk_rows)
 
 
 #: Bars that an indicator needs with its usual parameters' names.
