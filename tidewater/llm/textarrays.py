@@ -1,4 +1,4 @@
-"""Texts of an Arrow batch as flat numpy arrays: words, rolling 64-bit hashes, word shingles.
+"""Texts of an Arrow batch as flat numpy arrays: words, 64-bit hashes of spans, word shingles.
 
 All functions work on the UTF-8 bytes of several texts laid end to end, with the texts' offsets, so that the
 cost of Python is paid once a slice and not once a word."""
@@ -9,9 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are worked on at once; a longer single text is taken whole.
-SLICE_BYTES = 1 << 18
+SLICE_BYTES = 1 << 20
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -21,12 +22,8 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240611)
-_BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,15 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * SLICE_BYTES)
-        for k, b in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(n, b, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Bytes that are hashed together: sums of bytes times powers below 2^31 stay below 2^64.
+WINDOW = 1 << 24
+#: The largest primes below 2^31; bases drawn once.
+PRIMES, BASES = (2147483647, 2147483629), (1277903537, 862413029)
+_known = [[np.zeros(0, dtype=np.uint64)] * 2 for _ in PRIMES]
 
 
 def raw(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +105,43 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, at)
 
 
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the k-th base and of its inverse modulo the k-th prime."""
+    if len(_known[k][0]) < n:
+        n = max(n, 2 * SLICE_BYTES)
+        for which, b in enumerate((BASES[k], pow(BASES[k], -1, PRIMES[k]))):
+            out = np.ones(1, dtype=np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, out * np.uint64(pow(b, len(out), PRIMES[k])) % np.uint64(PRIMES[k])])
+            _known[k][which] = out[:n]
+    return _known[k]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; equal bytes give equal hashes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each of the spans, which lie apart and in order: two polynomials modulo primes; equal bytes give
+    equal hashes wherever they stand. Spans of more than WINDOW bytes are hashed by xxh3."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    long = np.flatnonzero(ends - starts > WINDOW)
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    i = 0
+    while i < len(starts):
+        if ends[i] - starts[i] > WINDOW:
+            i += 1
+            continue
+        first = int(starts[i])
+        j = int(np.searchsorted(ends, first + WINDOW, side="right"))
+        a, e = starts[i:j] - first, ends[i:j] - first
+        part = data[first : int(ends[j - 1])].astype(np.uint64) + np.uint64(1)
+        h = np.zeros(j - i, dtype=np.uint64)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        for k, p in enumerate(PRIMES):
+            up, down = _powers(k, len(part) + 1)
+            np.cumsum(part * up[: len(part)], out=total[1:])
+            h = h << np.uint64(32) | (total[e] - total[a]) % np.uint64(p) * down[a] % np.uint64(p)
+        out[i:j] = mix(h ^ (e - a).astype(np.uint64) * _BASE)
+        i = j
+    return out
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
