@@ -181,6 +181,34 @@ def test_indicators_in_chunks(spark):
         indicators.create("custom", "unknown", 10)
 
 
+def test_library_names_and_records(spark, tmp_path):
+    from tidewater.operators import features
+    from tidewater.plans import report
+    from tidewater.sources import writers
+
+    f = walk(120, 4)
+    d = spark.createDataFrame(f)
+    assert indicators.create("pandas_ta", "rsi")(d).columns[-1] == "RSI_14" and indicators.create("pandas_ta", "ao")(d).columns[-1] == "AO_5_34"
+    got = indicators.create("talib", "bbands")(d).orderBy("bar_idx").toPandas()
+    assert np.allclose(got["bb_middle"].iloc[4:], f.close.rolling(5).mean().iloc[4:])
+    pre = indicators.create("preloaded", "macd")(indicators.macd(d).withColumnRenamed("macd_signal", "signal"))
+    assert pre.where("abs(macd - macd_signal - macd_hist) > 1e-12").count() == 0
+    assert bars.crossings(pre, "macd", "macd_signal", lookback=60).where("bar_idx < 60").count() == 0
+    rows = [{"time": "2024-01-01 00:00:00", "open": "1", "high": 2, "low": "x", "close": 1.5}, {"time": "bad", "open": None, "high": 2, "low": 1, "close": 1, "extra": 7}]
+    a, b = sorted(readers.from_records(spark, rows, "S").collect(), key=lambda r: r["extra"] or 0)
+    assert (a["open"], a["low"], a["symbol"]) == (1.0, None, "S") and (b["ts"], b["open"], b["extra"]) == (None, None, 7.0)
+    features.register_strategy("shape", "length", lambda zoned, indicator, factor=1: zoned.groupBy("symbol", "zone_id").agg((F.count(F.lit(1)) * factor).alias("bars")))
+    plan = analyze_zones(d).with_indicator("custom", "macd").detect("zero_crossing", indicator="macd").with_swings(None).with_features("shape", "length", factor=2)
+    result = plan.build()
+    assert "length" in features.strategies()["shape"] and result.features.where("bars <> 2 * duration").count() == 0
+    with pytest.raises(ValueError):
+        plan.with_features("shape", "unheard of")
+    said = report.macd_report(result.bars, result.zones)
+    for kind, part in (("json", "recommendation"), ("text", "recommendation:"), ("html", "<th>recommendation</th>")):
+        writers.write_report(said, str(tmp_path / kind), kind, "MACD")
+        assert part in "".join(p.read_text() for p in (tmp_path / kind).glob("part-*"))
+
+
 def test_validators(spark):
     d = spark.createDataFrame(walk(150))
     assert validation.require(d) is d and validation.usable(d, ("close",)) and not validation.usable(d.limit(0)) and not validation.usable(d, ("none",))

@@ -58,13 +58,13 @@ def resample(bars: DataFrame, timeframe: str) -> DataFrame:
     return numbered(out.dropna(subset=["open", "high", "low", "close"]))
 
 
-def crossings(df: DataFrame, a: str, b: str, symbol: str = "symbol") -> DataFrame:
-    """signal: 'bullish' where a rises above b, 'bearish' where it falls below, on bars where it happens."""
+def crossings(df: DataFrame, a: str, b: str, symbol: str = "symbol", lookback: int = 0) -> DataFrame:
+    """signal: 'bullish' where a rises above b, 'bearish' where it falls below, on bars where it happens from the lookback-th on."""
     w = by_bar(symbol)
     pa, pb = F.lag(a).over(w), F.lag(b).over(w)
     up = (F.col(a) > F.col(b)) & (pa <= pb)
     down = (F.col(a) < F.col(b)) & (pa >= pb)
-    return df.withColumn("signal", F.when(up, "bullish").when(down, "bearish")).where("signal is not null")
+    return df.withColumn("signal", F.when(up, "bullish").when(down, "bearish")).where("signal is not null").where(F.col("bar_idx") >= lookback)
 
 
 def trend(df: DataFrame, column: str, threshold: float | None = None) -> DataFrame:

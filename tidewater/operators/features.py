@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -171,3 +173,26 @@ def all_features(zoned: DataFrame, indicator: str, swing_points: DataFrame | Non
         metrics = swing_metrics(spots, min_amplitude_pct)
         out = out.join(metrics, ZONE, "left").fillna(0, [c for c in metrics.columns if c not in ZONE])
     return out
+
+
+#: Families of feature strategies: functions of zoned bars and an indicator that return columns for each zone.
+_strategies: dict[str, dict[str, Callable[..., DataFrame]]] = {
+    "shape": {"statistical": shape_metrics}, "volume": {"standard": volume_metrics}, "divergence": {"classic": divergence_metrics},
+    "volatility": {"combined": lambda zoned, indicator, **more: volatility_metrics(zoned, **more)}, "base": {"base": base_features},
+}
+
+
+def register_strategy(family: str, name: str, function: Callable[..., DataFrame]) -> None:
+    """Adds a feature strategy; all_features and plans take it by family and name."""
+    _strategies.setdefault(family, {})[name] = function
+
+
+def strategies() -> dict[str, list[str]]:
+    return {f: sorted(names) for f, names in _strategies.items()}
+
+
+def strategy(family: str, name: str) -> Callable[..., DataFrame]:
+    try:
+        return _strategies[family][name]
+    except KeyError:
+        raise ValueError(f"unknown strategy {family}/{name}") from None

@@ -86,6 +86,12 @@ def preloaded(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({new: F.col(c) for c, new in columns.items()})
 
 
+def preloaded_macd(df: DataFrame, macd: str = "macd", signal: str = "signal") -> DataFrame:
+    """A MACD and its signal line that the data already hold, as macd, macd_signal and their difference macd_hist."""
+    df = preloaded(df, {macd: "macd", signal: "macd_signal"})
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+
 def statistics(df: DataFrame, columns: list[str], key: str = "symbol") -> DataFrame:
     """(key, column): values, missing, min, max, mean, std, median of each column."""
     rows = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select(key, "s.*")
@@ -95,8 +101,17 @@ def statistics(df: DataFrame, columns: list[str], key: str = "symbol") -> DataFr
 Indicator = Callable[..., DataFrame]
 _sources: dict[str, dict[str, Indicator]] = {
     "custom": {"sma": sma, "ema": ema, "macd": macd, "rsi": rsi, "bbands": bollinger, "ao": awesome, "atr": atr, "moving_averages": moving_averages, "suite": suite},
-    "preloaded": {"columns": preloaded},
+    "preloaded": {"columns": preloaded, "macd": preloaded_macd},
     "library": {},
+    # the same indicators by the names and defaults of two common libraries, without them
+    "talib": {
+        "sma": lambda df, timeperiod=30: sma(df, timeperiod), "ema": lambda df, timeperiod=30: ema(df, timeperiod), "rsi": lambda df, timeperiod=14: rsi(df, timeperiod),
+        "macd": lambda df, fastperiod=12, slowperiod=26, signalperiod=9: macd(df, fastperiod, slowperiod, signalperiod), "bbands": lambda df, timeperiod=5, nbdevup=2.0: bollinger(df, timeperiod, nbdevup),
+    },
+    "pandas_ta": {
+        "rsi": lambda df, length=14: rsi(df, length, out=f"RSI_{length}"), "ao": lambda df, fast=5, slow=34: awesome(df, fast, slow, out=f"AO_{fast}_{slow}"),
+        "sma": lambda df, length=10: sma(df, length, out=f"SMA_{length}"), "ema": lambda df, length=10: ema(df, length, out=f"EMA_{length}"), "bbands": lambda df, length=5, std=2.0: bollinger(df, length, std),
+    },
 }
 
 

@@ -31,6 +31,7 @@ class Config:
     divergence: bool = False
     volatility: bool = False
     volume: bool = True
+    more: tuple = ()
     clusters: int | None = None
     regression: bool = False
 
@@ -111,6 +112,11 @@ class ZoneAnalysis:
     def with_strategies(self, divergence: bool = False, volatility: bool = False, volume: bool = True) -> ZoneAnalysis:
         return self._with(divergence=divergence, volatility=volatility, volume=volume)
 
+    def with_features(self, family: str, name: str, **parameters) -> ZoneAnalysis:
+        """Adds the columns of a registered feature strategy; those that are there already stay."""
+        features.strategy(family, name)
+        return self._with(more=(*self.config.more, (family, name, tuple(sorted(parameters.items())))))
+
     def analyze(self, clusters: int | None = None, regression: bool = False) -> ZoneAnalysis:
         return self._with(clusters=clusters, regression=regression)
 
@@ -134,6 +140,9 @@ class ZoneAnalysis:
             own, least = swings.with_auto_thresholds(zoned, c.swing, key=key, **parameters) if c.auto else (swings.STRATEGIES[c.swing](zoned, key=key, **parameters), least)
             metrics = swings.swing_metrics(own, least)
             f = f.join(metrics, key, "left").fillna(0, [x for x in metrics.columns if x not in key])
+        for family, name, parameters in c.more:
+            own = features.strategy(family, name)(zoned, c.column, **dict(parameters))
+            f = f.join(own.select(*key, *[x for x in own.columns if x not in f.columns]), key, "left")
         return Result(zoned, table, f, c)
 
     def cached(self, root: str, version: str) -> Result:

@@ -239,6 +239,20 @@ def external_zones(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     return df.withColumns({"zone_id": F.col("zone_id").cast("long"), "start_time": time("start_time"), "end_time": time("end_time")})
 
 
+def from_records(spark: SparkSession, rows: list[dict], symbol: str | None = None) -> DataFrame:
+    """Bars of records held in memory, such as a sample that comes with a program; what is no number or time becomes NULL."""
+    if not rows:
+        raise ValueError("no records")
+    columns = [*dict.fromkeys(c for r in rows for c in r)]
+    names = canonical_names(columns)
+    if missing := [c for c in ("ts", *OHLC) if c not in names]:
+        raise ValueError(f"columns missing: {missing}")
+    text = spark.createDataFrame([tuple(None if r.get(c) is None else str(r[c]) for c in columns) for r in rows], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    own = F.col("symbol") if "symbol" in names else F.lit(symbol)
+    numbers = [n for n in names if n not in ("ts", "symbol")]
+    return numbered(no_nan(text.select(own.alias("symbol"), parsed_time("ts").alias("ts"), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in numbers])))
+
+
 SAMPLE = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampNTZType()), *[T.StructField(c, T.DoubleType()) for c in (*OHLC, "volume")]])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,3 +47,22 @@ def to_records(df: DataFrame, most: int = 100_000) -> list[dict]:
     if len(rows) > most:
         raise ValueError(f"more than {most} rows; write them with save()")
     return [r.asDict(recursive=True) for r in rows]
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "json", title: str = "Report", most: int = 10_000) -> None:
+    """A report, one row a series: json is written by Spark as a folder of lines, text and html as one row each in a text folder. A report of
+    more than most rows is not for reading and is refused as text or html."""
+    if kind == "json":
+        rows.write.mode("overwrite").json(path)
+        return
+    if kind not in ("text", "html"):
+        raise ValueError(f"unknown kind {kind}")
+    found = to_records(rows, most)
+    if kind == "text":
+        parts = ["\n".join([f"{title}", *(f"  {k}: {'' if v is None else v}" for k, v in r.items())]) for r in found]
+        page = "\n\n".join(parts)
+    else:
+        cells = lambda tag, values: "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values)
+        body = "".join(f"<tr>{cells('td', r.values())}</tr>" for r in found)
+        page = f"<!doctype html><title>{html.escape(title)}</title><table><tr>{cells('th', rows.columns)}</tr>{body}</table>"
+    rows.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(path)
