@@ -83,3 +83,24 @@ def test_streams(spark, tmp_path):
     q.stop()
     z = spark.sql("select * from live_zones").collect()
     assert len(z) > 2 and {r["type"] for r in z} == {"bull", "bear"}
+
+
+def test_live_zones_end_and_leave_late_bars_out(spark, tmp_path):
+    """A symbol that falls silent has its last zone; bars that come after later ones change nothing."""
+    import pandas as pd
+
+    def batch(k, symbol, first, closes):
+        rows = pd.DataFrame({"symbol": symbol, "ts": pd.date_range("2024-01-01", periods=400, freq="h")[first : first + len(closes)], "close": closes})
+        spark.createDataFrame(rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"k{k}"))
+
+    schema = "symbol string, ts timestamp, close double"
+    parts = [("a", 0, [100.0 + i for i in range(20)]), ("a", 5, [1.0] * 10), ("b", 60, [50.0, 51.0]), ("b", 200, [52.0, 53.0]), ("b", 300, [52.0, 53.0])]
+    q = None
+    for k, part in enumerate(parts):
+        batch(k, *part)
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = live_zones(stream, idle="30 hours").writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        q.stop()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).where("symbol = 'a'").select("type", "duration").collect()]
+    assert got == [("bull", 20)]

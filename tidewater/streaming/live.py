@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+NAMES = ["symbol", "type", "start_ts", "end_ts", "duration"]
+
+
 def live_bars(ticks: DataFrame, symbol: str, ts: str, price: str, every: str = "1 hour", late: str = "10 minutes", volume: str | None = None) -> DataFrame:
     """OHLCV of each window; ticks later than late after the newest are dropped by the watermark."""
     t = ticks.withWatermark(ts, late)
@@ -18,17 +21,30 @@ def live_bars(ticks: DataFrame, symbol: str, ts: str, price: str, every: str = "
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def live_zones(bars: DataFrame, fast: int = 12, slow: int = 26, min_duration: int = 2) -> DataFrame:
+def live_zones(bars: DataFrame, fast: int = 12, slow: int = 26, min_duration: int = 2, idle: str | None = None, late: str = "0 seconds") -> DataFrame:
     """Closed MACD zones of a stream of bars: (symbol, type, start_ts, end_ts, duration).
 
     The state of a symbol is the two weighted sums, and the sign, start, end and length of the open zone; a zone is
-    emitted when the sign changes. Bars of a batch are taken in order of time."""
+    emitted when the sign changes. Bars of a batch are taken in order of time; a bar that is not after the last one taken comes
+    too late and is left out. With idle (as '2 hours'), a symbol without bars for so long, by the watermark, has ended: its open
+    zone is emitted and its state dropped."""
+    quiet = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
+    if idle:
+        bars = bars.withWatermark("ts", late)
     keep = [1 - 2 / (fast + 1), 1 - 2 / (slow + 1)]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         nf, df_, ns, ds, sign, start, end, n, total = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, 0, None, None, 0, 0.0)
         out = []
+        if state.hasTimedOut:
+            state.remove()
+            if n >= min_duration:
+                out.append((key[0], "bull" if total > 0 else "bear", start, end, n))
+            yield pd.DataFrame(out, columns=NAMES)
+            return
         rows = pd.concat(list(batches)).sort_values("ts")
+        if end is not None:
+            rows = rows[rows["ts"] > pd.Timestamp(end)]
         for ts, close in zip(rows["ts"], rows["close"]):
             nf, df_ = nf * keep[0] + close, df_ * keep[0] + 1
             ns, ds = ns * keep[1] + close, ds * keep[1] + 1
@@ -40,9 +56,11 @@ def live_zones(bars: DataFrame, fast: int = 12, slow: int = 26, min_duration: in
                 sign, start, n, total = now, ts, 0, 0.0
             end, n, total = ts, n + 1, total + value
         state.update((nf, df_, ns, ds, sign, start, end, n, total))
-        yield pd.DataFrame(out, columns=["symbol", "type", "start_ts", "end_ts", "duration"])
+        if quiet and end is not None:
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(end).timestamp() * 1000) + quiet, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=NAMES)
 
     return bars.groupBy("symbol").applyInPandasWithState(
         step, "symbol string, type string, start_ts timestamp, end_ts timestamp, duration long",
-        "nf double, df double, ns double, ds double, sign int, start timestamp, end timestamp, n long, total double", "append", GroupStateTimeout.NoTimeout,
+        "nf double, df double, ns double, ds double, sign int, start timestamp, end timestamp, n long, total double", "append", GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout,
     )
