@@ -65,6 +65,29 @@ def test_exact_dedup(docs, texts, empty):
     assert [tuple(r)[:4] for r in twice.collect()] == [(3, 3, 2, True)] * 2
 
 
+def test_exact_dedup_knows_rows_by_id_and_text(spark, monkeypatch):
+    from tidewater.llm import exact_dedup, spread
+
+    rows = [(1, "A"), (5, "A"), (5, "B"), (None, "A"), (None, "C"), (7, "A ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for listed in (100_000, 0):
+        monkeypatch.setattr(spread, "LISTED", listed)
+        kept = [tuple(r) for r in exact_dedup.drop_exact_copies(docs).collect()]
+        assert sorted(kept, key=str) == sorted([(1, "A"), (5, "B"), (None, "C"), (7, "A ")], key=str)
+
+
+def test_exact_dedup_of_very_long_texts(spark):
+    import time
+
+    from tidewater.llm.exact_dedup import exact_dedup
+
+    long = "".join(random.Random(0).choices("abcdefghij \n", k=4_000_000))
+    docs = spark.createDataFrame([(1, long), (2, long + "x"), (3, long), (4, "x")], "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(docs).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)} and time.time() - began < 60
+
+
 def brute_components(texts, n, num, den):
     sets = []
     for t in texts:
@@ -98,6 +121,40 @@ def test_jaccard_components(docs, texts, empty, monkeypatch, n, num, block):
         assert jaccard_join.drop_near_copies(docs, n, num, 100).columns == docs.columns
 
 
+def test_jaccard_of_unlike_long_words(spark):
+    """Two words of 4,096 letters without a common shingle, on which polynomial hashes modulo 2^64 are equal."""
+    from tidewater.llm.jaccard_join import jaccard_components
+
+    one = "".join("ab"[k.bit_count() & 1] for k in range(4096))
+    docs = spark.createDataFrame([(1, one), (2, one.translate(str.maketrans("ab", "ba")))], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(docs).collect()} == {1: 1, 2: 2}
+
+
+def test_jaccard_of_many_near_copies(spark, monkeypatch):
+    """Groups beyond a block, with members that link to the lead, to others only, and to none; hot lists apart."""
+    from tidewater.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    rng = random.Random(5)
+    texts = []
+    for changes in (1, 3, 6, 12):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+        for k in range(60):
+            w = list(base)
+            if k % 7 == 6:
+                base = w  # the copies drift
+            for _ in range(rng.randrange(changes + 1)):
+                w[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = brute_components(texts, 4, 85, 100)
+    for hot in (1000, 5):
+        monkeypatch.setattr(jaccard_join, "HOT", hot)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, 4, 85, 100).collect()}
+        assert got == want
+
+
 def test_link_sets_on_large_groups():
     from tidewater.llm.jaccard_join import link_sets
 
@@ -162,6 +219,72 @@ def test_substring_dedup(docs, texts, empty):
     assert substring_dedup(empty).count() == 0 and drop_repeated_passages(docs).columns == docs.columns
 
 
+def plain_substring_dedup(rows, least_words):
+    """Byte by byte and chunk by chunk: the gear hash, the ends of chunks, owners, runs, what stays."""
+    from tidewater.llm import substring_dedup as S
+
+    space, gear = b" \t\n\x0b\x0c\r", [int(g) for g in S._GEAR]
+
+    def chunks(data):
+        out, h, last, blank = [], 0, 0, 0
+        for k, c in enumerate(data):
+            h = ((h << 1) + gear[c]) & 0xFFFFFFFF
+            if c in space:
+                blank = k
+            end, following = k + 1, data[k + 1] if k + 1 < len(data) else None
+            after_space = c in space and (following is None or following not in space) and h >> (32 - S.TOP_BITS) == 0
+            unspaced = k - blank >= S.UNSPACED and (following is None or following & 0xC0 != 0x80) and h >> (32 - S.UNSPACED_BITS) == 0
+            if after_space or unspaced or end == len(data):
+                while end - last > S.MOST:
+                    cut = last + S.MOST
+                    while data[cut] & 0xC0 == 0x80 and cut > last + 1:
+                        cut -= 1
+                    out.append((last, cut))
+                    last = cut
+                if end - last >= S.LEAST and end < len(data) or end == len(data) > last:
+                    out.append((last, end))
+                    last = end
+        return out
+
+    owner = {}
+    for i, t in sorted((i, t or "") for i, t in rows if i is not None):
+        for a, e in chunks(t.encode()):
+            owner.setdefault(t.encode()[a:e], i)
+    result = []
+    for i, t in rows:
+        data, kept, run = (t or "").encode(), b"", []
+        for a, e in [*chunks(data), (len(data), len(data))]:
+            if i is not None and a < e and owner[data[a:e]] != i:
+                run.append((a, e))
+                continue
+            if run:
+                passage = data[run[0][0] : run[-1][1]]
+                if sum(1 if len(w) <= S.WORD else len(w) // S.PART for w in passage.split()) < least_words:
+                    kept += passage
+            kept, run = kept + data[a:e], []
+        result.append((i, None if t is None else kept.decode()))
+    return result
+
+
+def test_substring_dedup_equals_plain_version(spark, texts):
+    from tidewater.llm.substring_dedup import drop_repeated_passages, substring_dedup
+
+    rng = random.Random(9)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    other = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randrange(100)))
+    code = "".join(rng.choices("abcdefghij0123456789+/", k=900))
+    rows = [*enumerate(texts), *((200 + k, other() + chinese + other()) for k in range(3)), (300, "see " + code), (301, "x" + code + " end"), (None, texts[-1]), (302, None), (302, texts[-1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for least in (5, 25):
+        got = [(r["doc_id"], r["kept_text"]) for r in substring_dedup(docs, least_words=least).collect()]
+        assert sorted(got, key=str) == sorted(plain_substring_dedup(rows, least), key=str)
+    kept = {r["doc_id"]: r["kept_text"] for r in substring_dedup(docs).where("doc_id between 201 and 301").collect()}
+    assert all(len(kept[k]) < len(rows_k) - 300 for k, rows_k in dict(rows[len(texts) + 1 : len(texts) + 3]).items()) and len(kept[301]) < 300
+    named = docs.selectExpr("doc_id", "text", "77 as n_bytes", "'x' as kept_text", "5 as c0", "1 as foreign")
+    out = drop_repeated_passages(named)
+    assert out.columns == named.columns and {tuple(r)[2:] for r in out.collect()} == {(77, "x", 5, 1)}
+
+
 def test_boundaries_resist_shifts():
     from tidewater.llm.substring_dedup import boundaries
 
@@ -322,7 +445,7 @@ def test_embedding_links(spark):
         x[k + 1 : k + 4] = x[k] + rng.normal(size=(3, 64)) * 0.25
     odd = [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (904, [1.0, None]), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (None, [1.0] * 64)]
     rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))] + odd
-    got = {r["vec_id"]: r for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int" if False else "vec_id long, embedding array<float>")).collect()}
+    got = {r["vec_id"]: r for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1)[:, None]
     g = u @ u.T >= 0.9
@@ -333,13 +456,49 @@ def test_embedding_links(spark):
     assert all(got[k]["n_links"] == 0 for k in (900, 901, 902, 903, 904, None)) and got[906]["component_id"] == 905
 
 
+def test_embedding_links_of_equal_and_extreme_vectors(spark, monkeypatch):
+    """Doubles beyond what squares hold, copies in buckets beyond a block, ids with several vectors."""
+    from tidewater.llm import embedding_dedup
+
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    x, y = [1e300, 1e300, 0.0], [0.0, 1e-300, 1e-300]
+    rows = [(k, x) for k in range(30)] + [(k, y) for k in range(30, 35)] + [(40, x), (40, y), (40, y), (41, [float("inf"), 1.0, 1.0]), (42, [1e300, 0.9e300, 0.0])]
+    rows = [(k, v, 0, "c") for k, v in rows]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, weight int, class string").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_links(d).collect()}
+    # x: 29 others, 40 and 42; y: 4 others and 40; 40: what each of its vectors links with
+    assert got[3] == (31, 0) and got[42] == (31, 0) and got[33] == (5, 0) and got[40] == (36, 0) and got[41] == (0, 41)
+    assert embedding_dedup.embedding_links(d.limit(0)).count() == 0
+
+
+def test_embedding_recall(spark):
+    """Each twentieth vector against all, by brute force: given ones and a neighbour for each, at cosines from 0.9 on."""
+    from tidewater.llm.embedding_dedup import embedding_links
+
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").toPandas().embedding
+    x = np.stack([np.asarray(v, dtype=float) for v in given])
+    rng = np.random.default_rng(12)
+    noise = rng.normal(size=x.shape)
+    noise -= (noise * x).sum(1)[:, None] / (x * x).sum(1)[:, None] * x
+    aim = rng.uniform(0.9, 0.97, len(x))
+    near = x + noise * (np.linalg.norm(x, axis=1) / np.linalg.norm(noise, axis=1) * np.sqrt(1 / aim**2 - 1))[:, None]
+    x = np.concatenate([x, near]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    asked = np.arange(0, len(x), 20)
+    want = dict(zip(asked.tolist(), ((u[asked] @ u.T) >= 0.9).sum(1) - 1))
+    d = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_links(d).where("vec_id % 20 = 0").collect()}
+    assert set(got) == set(want) and all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.98 * sum(want.values()) > 0
+
+
 def test_estimates_are_unbiased_and_bounded():
-    from tidewater.llm.embedding_dedup import Codes
+    from tidewater.llm.embedding_dedup import Codes, coded
 
     rng = np.random.default_rng(2)
     v = rng.normal(size=(300, 64))
     v /= np.linalg.norm(v, axis=1)[:, None]
-    c = Codes(v, 0)
+    c = Codes(v, *coded(v))
     value, bound = c.estimates(np.arange(300), np.arange(300))
     error = (value - v @ v.T)[~np.eye(300, dtype=bool)]
     assert abs(error.mean()) < 0.01 and (np.abs(error) < bound[~np.eye(300, dtype=bool)]).mean() > 0.999
@@ -361,6 +520,58 @@ def test_quality(spark):
         fit(measured(d), labels.where("quality = 1"))
 
 
+def plain_statistics(text):
+    """The statistics of quality.FEATURES for one text, count by count."""
+    import math
+
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    plain = b".,;:!?'\"()-"
+    odd = lambda c: not (letter(c) or 48 <= c <= 57 or c in plain or c in b" \t\n\x0b\x0c\r")
+    logit = lambda part, of: math.log((part + 0.5) / (max(of - part, 0) + 0.5))
+    n, b, sizes = len(words), len(data), [len(w) for w in words]
+    mean = sum(sizes) / max(n, 1)
+    spread = math.sqrt(max(sum(x * x for x in sizes) / max(n, 1) - mean**2, 0))
+    upper = lambda c: 65 <= c <= 90
+    count = lambda f: sum(map(f, data))
+    of_words = lambda f: logit(sum(map(f, words)), n)
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), logit(count(odd), b), logit(count(lambda c: 48 <= c <= 57), b),
+        logit(count(lambda c: c in plain), b), logit(count(upper), b), logit(data.count(b"\n"), b), logit(len({*words}), n),
+        logit(max((words.count(w) for w in {*words}), default=0), n), logit(sum(x == y for x, y in zip(words, words[1:])), n),
+        of_words(lambda w: len(w) == 1 and odd(w[0])), of_words(lambda w: odd(w[-1])), of_words(lambda w: w[-1] in b".!?"),
+        of_words(lambda w: len(w) > 20), of_words(lambda w: upper(w[0])),
+    ]
+
+
+def test_quality_equals_plain_version(spark):
+    """Statistics, class means, shrunk covariances and scores computed once more, by determinants and inverses."""
+    from tidewater.llm.quality import TO_DIAGONAL, TO_IDENTITY, quality
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    docs = [(r["doc_id"], r["text"]) for r in rows] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "x" * 300_000), (None, "a b"), (rows[0]["doc_id"], rows[0]["text"])]
+    odd = spark.createDataFrame([(*d, 0.5, 1) for d in docs], "doc_id long, text string, score double, id int").repartition(3)
+    labels = spark.createDataFrame([*marks.items(), (10**6, None)], "doc_id long, quality int")
+    x = np.array([plain_statistics(t) for _, t in docs])
+    held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in docs]
+    density, n = [], []
+    for k in (0, 1):
+        own = x[[i in marks and marks[i] == k and not h for (i, _), h in zip(docs, held)]]
+        c = np.cov(own.T, bias=True)
+        c = (1 - TO_DIAGONAL) * c + TO_DIAGONAL * np.diag(np.diag(c))
+        c = (1 - TO_IDENTITY) * c + (TO_IDENTITY * np.trace(c) / len(c) + 1e-9) * np.eye(len(c))
+        off = x - own.mean(0)
+        density.append(-0.5 * ((off @ np.linalg.inv(c)) * off).sum(1) - 0.5 * np.log(np.linalg.det(c)))
+        n.append(len(own))
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0] + np.log(n[1] / n[0]), -500, 500)))
+    got = quality(odd, labels).collect()
+    assert len(got) == len(docs) and sorted((r["doc_id"], r["held_out"]) for r in got if r["doc_id"] is not None) == sorted((i, h) for (i, _), h in zip(docs, held) if i is not None)
+    by_id = {i: w for (i, _), w in zip(docs, want)}
+    assert all(abs(r["score"] - by_id[r["doc_id"]]) < 2e-3 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+
+
 def test_lm_scoring_equals_brute_force(spark, docs, texts, empty):
     from tidewater.llm.lm_scoring import cross_entropy_difference
 
@@ -456,6 +667,24 @@ def test_removed_passages_do_not_depend_on_neighbours(spark):
     assert results[0] == results[1]
 
 
+def test_span_hashes(monkeypatch):
+    from tidewater.llm import textarrays
+
+    rng = random.Random(11)
+    spans = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))) for _ in range(3000)] + ["x" * 50, "x" * 51, "é中"]
+
+    def hashes():
+        data = np.frombuffer(" ".join(spans).encode(), dtype=np.uint8)
+        ends = np.append(np.flatnonzero(data == 32), len(data))
+        return textarrays.span_hashes(data, np.concatenate([[0], ends[:-1] + 1]), ends).tolist()
+
+    whole = hashes()
+    assert len({*zip(spans, whole)}) == len({*spans}) == len({*whole})
+    monkeypatch.setattr(textarrays, "WINDOW", 40)
+    cut = hashes()
+    assert [c == w for c, w in zip(cut, whole)] == [len(x.encode()) <= 40 for x in spans] and len({*zip(spans, cut)}) == len({*cut})
+
+
 def test_shingle_sets_of_few_words():
     import pyarrow as pa
 

@@ -3,8 +3,11 @@
 import re
 
 import corpus_pipeline
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tests.llm.test_ops import brute_components
+from tests.llm.test_ops import brute_components, plain_substring_dedup
 
 
 def test_stages(spark, sf, tmp_path):
@@ -29,10 +32,23 @@ def test_stages(spark, sf, tmp_path):
             ids = sorted(rows)
             comp = brute_components([rows[i] for i in ids], 5, 80, 100)
             assert kept == {ids[i] for i, (_, root) in comp.items() if i == root}
-        if k in (3, 4):
-            assert kept == set(rows)
+        if k == 3:
+            assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted(plain_substring_dedup([*rows.items()], 25))
+        if k == 4:
+            size = {r["doc_id"]: r["n"] for r in docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+            library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.VOCABULARY))
+            assert size == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows.items()}
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
 def test_run(spark, sf):
+    """The rows of the stages, and no table left but the last stage's and its documents."""
+    from pathlib import Path
+
+    from tidewater.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
     assert corpus_pipeline.run(spark, sf).count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert left == {"stage-3", "pieces"}
