@@ -466,7 +466,8 @@ def _with_key(classes: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of one document, that with the smallest id, of each component, and those with a null id."""
+    """The rows of docs of one document, that with the smallest id, of each component, and those with a null id. Rows that repeat
+    an id are one document: they stay or go together."""
     gone = jaccard_components(docs, n, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id"))
     gone = gone.select(F.col(id_col).alias("__gone")).distinct()
     return without(docs, gone, docs[id_col] == F.col("__gone"))

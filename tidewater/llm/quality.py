@@ -151,7 +151,8 @@ def scores(x: np.ndarray, model: dict) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column out; a null text is scored as empty. The score sees nothing but the text."""
+    """docs with the column out, which none of its own may be named like; a null text is scored as empty. The score sees nothing
+    but the text: rows with a null or repeated id are scored like any other, and an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -172,8 +173,11 @@ def held_out(id_col: str = "doc_id"):
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted for each row of docs; learnt from the rows that are not held out. An empty
-    table of documents gives an empty result."""
+    """id, held_out, score, predicted for each row of docs; learnt from the rows that are not held out.
+
+    A null text counts as empty. A row with a null id is scored, never held out and never learnt from; rows that repeat an id
+    are scored each, and learnt from each where the id is labelled. An empty table of documents gives an empty
+    result; other columns are ignored, whatever their names."""
     rows = written(measured(docs, id_col, text_col), "document-statistics")
     if rows.isEmpty():
         return rows.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
