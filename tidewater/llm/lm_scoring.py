@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.textarrays import LOWER, mix, raw, slices, span_hashes, words
 
 #: Bytes of text in a block, while there are many blocks; bytes in a block of a small table; blocks from which on they get larger.
-BLOCK_BYTES, SMALL_BYTES, BLOCKS = 4 << 20, 1 << 16, 256
+BLOCK_BYTES, SMALL_BYTES, BLOCKS = 8 << 20, 1 << 16, 64
 #: Blocks for each part of the tables of pairs and words, once there are more than BLOCKS.
 BLOCKS_A_PART = 32
 #: Distinct words that a task holds before it passes them on.
