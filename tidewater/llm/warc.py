@@ -3,7 +3,8 @@
 Records are grouped into independent frames, so that any frame can be decompressed alone. A bundle ends with a
 seek table in a skippable frame, which gives every frame's place; the index gives for each record its bundle,
 frame and offset in the decompressed frame. Bundles are written by the executors to a shared folder, each under a
-temporary name that becomes its final one when it is whole, so that a repeated task leaves one good file."""
+temporary name that becomes its final one when it is whole. The name tells the attempt: the index names only bundles of
+attempts that ended, so those of a repeated or lost task are never read."""
 
 from __future__ import annotations
 
@@ -19,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.llm.spread import joined
 from tidewater.storage import new_path, written
 
 #: Bytes of records in a frame before compression, and of frames in a bundle, about.
@@ -72,11 +74,11 @@ def parse(data: bytes) -> dict:
 class Bundle:
     """A bundle being written."""
 
-    def __init__(self, folder: str, name: str, attempt: int):
+    def __init__(self, folder: str, name: str):
         self.fs, root = file_system(folder)
         self.fs.create_dir(root, recursive=True)
-        self.name, self.path, self.temporary = name, f"{root}/{name}", f"{root}/.{name}.{attempt}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.name, self.path, self.temporary = name, f"{root}/{name}", f"{root}/.{name}"
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)  # the name ends like one to compress
         self.frames: list[tuple[int, int]] = []
         self.held, self.held_bytes, self.size = [], 0, 0
         self.compressor = zstandard.ZstdCompressor(level=3)
@@ -131,8 +133,8 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", id_
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
     first = base.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = written(first.where("copies > 1 and first is not null").select("digest", "first"), "first-payloads")
-    rows = base.join(first, "digest", "left")
+    first = written(first.where("copies > 1 and first is not null"), "first-payloads")
+    rows = joined(base, first, ["digest"], F.xxhash64("id", "url"), how="left")
     refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,7 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", id_
             out: dict[str, list] = {k: [] for k in INDEX.names}
             for page, url, html, digest, ref in zip(*(b.column(c).to_pylist() for c in ("id", "url", "html", "digest", "refers"))):
                 if bundle is None:
-                    bundle = Bundle(folder, f"part-{context.partitionId():06d}-{made:04d}.warc.zst", context.taskAttemptId())
+                    bundle = Bundle(folder, f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{made:04d}.warc.zst")
                 data = record(page, url, html.encode(), digest, ref, date)
                 frame, offset = bundle.add(data)
                 for name, value in zip(INDEX.names, (page, n, bundle.name, frame, offset, len(data))):
@@ -185,7 +187,8 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                     out = []
             yield pa.RecordBatch.from_pylist(out, schema=RECORD)
 
-    by_place = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+    # a bundle is opened, and its seek table read, by one task; bundles end at BUNDLE bytes
+    by_place = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
     schema = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
     return by_place.select("bundle", "frame", "offset", "length").mapInArrow(run, schema)
 
