@@ -22,7 +22,7 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: What may follow an apostrophe as one pre-token with it.
 SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Bytes of text whose distinct pre-tokens are merged together; a longer single text is taken whole.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 19
 #: Bytes from which a pre-token is merged by itself, rank after rank.
 LONG = 128
 #: The rank of a pair that doesn't merge.

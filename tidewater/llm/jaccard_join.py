@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.links import components
 from tidewater.llm.spread import LISTED, joined, without
-from tidewater.llm.textarrays import raw, shingle_sets, slices
+from tidewater.llm.textarrays import raw, shingle_sets, slices, small_batches
 from tidewater.storage import written
 
 #: Heaviest shingles that are ordered by count: 16 bytes each, 8 MB in a broadcast.
@@ -38,7 +38,9 @@ HEAVY = 524_288
 #: A shingle is reported as heavy by a task that counted so many sets with it.
 HEAVY_IN_TASK = 2
 #: Shingles that are counted at once, and counts that a task carries on.
-RUN, CARRIED = 2_000_000, 1_000_000
+RUN, CARRIED = 500_000, 500_000
+#: Digests of sets that a task remembers, so as not to send or count a set again.
+SEEN = 500_000
 #: A list of more than one in HOT of all sets, and of more than HOT sets, is spread over several tasks.
 HOT = 1000
 #: Sets that come together in one task; a pair of blocks has twice as many.
@@ -103,7 +105,7 @@ def _signatures(n: int):
                 if len(s) and d not in seen:
                     seen.add(d)
                     heavy.add(s)
-            if len(seen) > RUN:
+            if len(seen) > SEEN:
                 seen.clear()
             k = len(digests)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
@@ -146,7 +148,7 @@ def _postings(n: int, num: int, den: int, sent):
                     lengths.append(len(t))
                     sizes.append(len(s))
                     keys.append(_key(d))
-            if len(seen) > RUN:
+            if len(seen) > SEEN:
                 seen.clear()
             if tokens:
                 each, all_ = np.array(lengths), np.concatenate(tokens)
@@ -419,6 +421,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     another's. Rows that repeat an id are one document. An empty table gives an empty result; other columns are
     ignored. Sets are compared as 64-bit hashes of their shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = written(base.mapInArrow(_signatures(n), "id long, digest binary, n long, token long, count long"), "signatures")
     top = made.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HEAVY)
@@ -432,6 +435,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     sent = spark.sparkContext.broadcast((tokens.view(np.uint64)[by], counts[by], hottest))
 
     postings = written(base.mapInArrow(_postings(n, num, den, sent), "token long, hot boolean, key long, size int"), "postings")
+    sent.unpersist()  # the written postings are all that follows from it
     met = written(_met(postings, num, den), "met")
     members = met.union(met.select("lead", "lead").distinct())
     large = written(met.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("lead"), "large-leads")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bytepairs
+from tidewater.llm.textarrays import small_batches
 from tidewater.storage import written
 
 LENGTH = 2048
@@ -110,6 +111,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     gives the id 1 alone. Rows that repeat an id are documents of their own. Each id of each document lies in one
     piece; offsets in a sequence have no gaps and start at 0. An empty table gives an empty result; other columns
     are ignored."""
+    small_batches(docs.sparkSession)
     kinds = docs.sparkSession.sparkContext.broadcast(bytepairs.classes())  # 1.1 MB, fixed
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.textarrays import IS_SPACE, raw, slices, span_hashes, words
+from tidewater.llm.textarrays import IS_SPACE, raw, slices, small_batches, span_hashes, words
 from tidewater.storage import written
 
 #: Weight of the diagonal and of the scaled identity in a class covariance.
@@ -98,6 +98,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), flat], names=["id", "x"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<float>")
 
@@ -153,6 +154,7 @@ def scores(x: np.ndarray, model: dict) -> np.ndarray:
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out, which none of its own may be named like; a null text is scored as empty. The score sees nothing
     but the text: rows with a null or repeated id are scored like any other, and an empty table stays empty."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.spread import joined
-from tidewater.llm.textarrays import IS_SPACE, raw, slices, span_hashes
+from tidewater.llm.textarrays import IS_SPACE, raw, slices, small_batches, span_hashes
 from tidewater.storage import written
 
 #: A place after white space ends a chunk if the top bits of the hash are clear: on average every fourth does.
@@ -169,6 +169,7 @@ NEW = ("kept_text", "n_chunks", "removed_chunks", "n_bytes", "removed_bytes", "r
 
 def _foreign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, foreign): for each document the digests of its chunks that a document with a smaller id owns."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chunks = base.mapInArrow(_digests, "id long, digest long")
     owners = chunks.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("owner < last")

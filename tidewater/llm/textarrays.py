@@ -10,9 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are worked on at once; a longer single text is taken whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -26,6 +27,17 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python in batches of BATCH_ROWS rows or fewer: both sides hold a batch, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX[0]
@@ -33,11 +45,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: Bytes that are hashed together: sums of bytes times powers below 2^31 stay below 2^64.
-WINDOW = 1 << 24
+#: Bytes that are hashed together, and so the powers that are kept; sums of bytes times powers below 2^31 stay below 2^64.
+WINDOW = 1 << 20
 #: The largest primes below 2^31; bases drawn once.
 PRIMES, BASES = (2147483647, 2147483629), (1277903537, 862413029)
-_known = [[np.zeros(0, dtype=np.uint64)] * 2 for _ in PRIMES]
+_known = [[np.zeros(0, dtype=np.uint32)] * 2 for _ in PRIMES]
 
 
 def raw(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +120,12 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the k-th base and of its inverse modulo the k-th prime."""
     if len(_known[k][0]) < n:
-        n = max(n, 2 * SLICE_BYTES)
+        n = min(max(n, SLICE_BYTES), WINDOW) + 1
         for which, b in enumerate((BASES[k], pow(BASES[k], -1, PRIMES[k]))):
             out = np.ones(1, dtype=np.uint64)
             while len(out) < n:
                 out = np.concatenate([out, out * np.uint64(pow(b, len(out), PRIMES[k])) % np.uint64(PRIMES[k])])
-            _known[k][which] = out[:n]
+            _known[k][which] = out[:n].astype(np.uint32)
     return _known[k]
 
 
