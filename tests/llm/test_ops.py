@@ -155,6 +155,43 @@ def test_jaccard_of_many_near_copies(spark, monkeypatch):
         assert got == want
 
 
+def test_jaccard_moves_few_texts_of_unlike_sets(spark, monkeypatch):
+    """Long texts of fitting sizes that share a phrase or a third of their words, and copies that all meet each other: only the
+    copies' texts move, once each. With short parts and lists of many sizes the links stay the same."""
+    from tidewater.llm import jaccard_join
+
+    moved, write = [], jaccard_join.written
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "wanted-texts":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    rng = random.Random(11)
+    phrases = [[f"p{x}-{k}" for k in range(5)] for x in range(12)]
+    texts = []
+    for k in range(120):
+        w = [f"w{rng.randrange(10**7)}" for _ in range(rng.choice((200, 234, 260, 300, 350)))]
+        for p in rng.sample(phrases, 4):
+            at = rng.randrange(len(w))
+            w[at:at] = p
+        texts.append(" ".join(w))
+    base = [f"v{k}" for k in range(200)]
+    for k in range(24):
+        texts.append(" ".join([*base[: 10 * (k % 3) // 2], f"x{k}", *base[10 * (k % 3) // 2 :]]))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = brute_components(texts, 4, 85, 100)
+    assert len({c for _, c in want.values()}) == 121
+    for part in (32, 4):
+        monkeypatch.setattr(jaccard_join, "PART", part)
+        moved.clear()
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, 4, 85, 100).collect()}
+        assert got == want
+        assert part == 4 or sum(moved) <= 40
+
+
 def test_link_sets_on_large_groups():
     from tidewater.llm.jaccard_join import link_sets
 

@@ -2,9 +2,10 @@
 
 Sets that are equal are joined as one. Shingles have one order: rare before frequent, where frequency is known
 for a bounded list of the heaviest and all others count as rare. Two sets that reach the threshold share a
-shingle in their prefixes in this order, so all sets that hold a shingle in their prefix, and are of sizes that can
-link, meet at the least of them, the lead of that list. A lead's members come together once, however many lists
-they share.
+shingle in their prefixes in this order, so sets that hold a shingle in their prefix, and are of sizes that can link, are
+a list. Short lists give pairs, of which only those go on whose places in the order and shared shingles leave room for
+the overlap that a link needs; a long list is cut by size first, and what stays long meets at its least set, its lead. A
+lead's members come together once, however many lists they share, and a pair of short lists whose sets have the same least lead only there.
 
 Among the sets of a block, in order of size, a set reads of its index lists only the positions of sets that its size allows:
 the others are skipped. Its overlaps are derived from those of a highly similar set where there is one: only the lists of
@@ -140,50 +141,84 @@ def _postings(n: int, num: int, den: int, sent):
         heavy, rank, hottest = sent.value
         seen: set[bytes] = set()
         for b in batches:
-            tokens, lengths, keys, sizes = [], [], [], []
+            tokens, lengths, keys, sizes, places = [], [], [], [], []
             for _, s in _sets(b, n):
                 if len(s) and (d := _digest(s)) not in seen:
                     seen.add(d)
                     tokens.append(t := prefix(s, num, den, heavy, rank))
                     lengths.append(len(t))
+                    places.append(np.arange(len(t), dtype=np.int32))
                     sizes.append(len(s))
                     keys.append(_key(d))
             if len(seen) > SEEN:
                 seen.clear()
             if tokens:
                 each, all_ = np.array(lengths), np.concatenate(tokens)
-                columns = [all_.view(np.int64), np.isin(all_, hottest), np.repeat(np.array(keys, dtype=np.int64), each), np.repeat(np.array(sizes, dtype=np.int32), each)]
+                columns = [all_.view(np.int64), np.isin(all_, hottest), np.repeat(np.array(keys, dtype=np.int64), each), np.repeat(np.array(sizes, dtype=np.int32), each), np.concatenate(places)]
                 for k in range(0, int(each.sum()), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=["token", "hot", "key", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 200_000]) for c in columns], names=["token", "hot", "key", "size", "place"])
 
     return run
 
 
 def _met(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, lead) of the sets that may link.
+    """(key, lead, listed) of the sets that may link; listed: with any others of that lead, not with it alone.
 
     A list in order of size falls apart where the next size is too large for the threshold; no pair across such a
-    place can link, and what stands alone goes. In parts of up to PART sets the pairs themselves are counted: all
-    that two sets share outside both prefixes lies behind the prefix that ends first, so a pair needs as many
-    shared shingles in its prefixes as its overlap must have beyond the longer rest. A pair that meets in
-    a larger part goes on uncounted: all sets of that part meet at its lead. Hot lists are counted by size before
-    they are cut, so that no task holds one."""
-    hot, postings = postings.where("hot").drop("hot"), postings.where("not hot").drop("hot")
+    place can link, and what stands alone goes. Parts of more than PART sets are cut again by _windows. In parts of up
+    to PART sets the pairs themselves are counted, as _pairs says. A pair that meets in a larger part goes on
+    uncounted: all sets of that part meet at its lead. Hot lists are counted by size before they are cut, so that no
+    task holds one."""
+    hot, postings = postings.where("hot").drop("hot", "place"), postings.where("not hot").drop("hot")
     by_size, part = Window.partitionBy("token").orderBy("size", "key"), Window.partitionBy("token", "part")
     size, before, after = F.col("size"), F.lag("size").over(by_size), F.lead("size").over(by_size)
     rows = postings.withColumns({"apart": F.coalesce(den * before < num * size, F.lit(True)), "follows": F.coalesce(den * size >= num * after, F.lit(False))})
     rows = rows.withColumn("part", F.sum(F.col("apart").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where("not apart or follows").select("token", "part", "key", "size").distinct()
+    rows = rows.where("not apart or follows").select("token", "part", "key", "size", "place").distinct()
     rows = written(rows.withColumns({"sets": F.count(F.lit(1)).over(part), "lead": F.min("key").over(part)}).where("sets > 1"), "shared-postings")
 
-    few = rows.where(F.col("sets") <= PART).groupBy("token", "part").agg(F.sort_array(F.collect_list(F.struct("key", "size"))).alias("all"))
+    short = rows.where(F.col("sets") <= PART).select("token", "part", F.lit(0).alias("window"), "key", "size", "place", F.lit(False).alias("guest"))
+    cut = written(_windows(rows.where(F.col("sets") > PART), num, den), "windows")
+    pairs = _pairs(short.unionByName(cut.where(F.col("sets") <= PART).drop("sets", "lead")), num, den)
+    long = cut.where((F.col("sets") > PART) & (F.col("key") != F.col("lead"))).select("key", "lead").union(_met_hot(hot, num, den))
+    met = long.withColumn("listed", F.lit(True)).union(pairs.withColumn("listed", F.lit(False)))
+    return met.groupBy("key", "lead").agg(F.max("listed").alias("listed"))
+
+
+def _once(met: DataFrame) -> DataFrame:
+    """met without the pairs, not of a long list, whose sets both have the same least lead: they meet there, with all others of
+    it. The row of a set and its own least lead always stays, as that lead's least one is smaller."""
+    least = met.groupBy("key").agg(F.min("lead").alias("least"))
+    rows = met.join(least, "key").join(least.toDF("lead", "above"), "lead", "left")
+    return rows.where("listed or above is null or above != least").select("key", "lead")
+
+
+def _windows(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of parts by window of size: two sets that may link are of the same class of size or of neighbouring ones, so each
+    is in the window of its class and, as a guest, in the next; guests of a window meet in the one before."""
+    window = Window.partitionBy("token", "part", "window")
+    own = F.floor(F.log(F.col("size").cast("double")) / F.lit(np.log(den / num) * 1.0001)) if num < den else F.col("size")
+    rows = rows.withColumn("class", own.cast("int")).withColumn("window", F.explode(F.array("class", F.col("class") + 1)))
+    rows = rows.select("token", "part", "window", "key", "size", "place", (F.col("window") > F.col("class")).alias("guest"))
+    rows = rows.withColumns({"sets": F.count(F.lit(1)).over(window), "lead": F.min("key").over(window), "alone": F.min("guest").over(window)})
+    return rows.where("sets > 1 and not alone").drop("alone")
+
+
+def _pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, lead) of the pairs of short lists that may link, by their overlap's upper bounds.
+
+    Before a shared shingle two sets share at most what the one has there that is less far into its order, and behind it
+    what has fewer left: pairs whose places differ too much go at once. Of the rest the shared shingles in both
+    prefixes are counted. All others that they share lie behind the last of these, in both, and behind the
+    prefix that ends first."""
+    few = lists.groupBy("token", "part", "window").agg(F.sort_array(F.collect_list(F.struct("key", "size", "place", "guest"))).alias("all"))
     pairs = few.select("all", F.posexplode("all").alias("k", "a")).select("a", F.explode(F.slice("all", F.col("k") + 2, F.lit(PART))).alias("b"))
-    pairs = pairs.groupBy("a.key", "b.key", "a.size", "b.size").agg(F.count(F.lit(1)).alias("n")).toDF("lead", "key", "m", "size", "n")
-    both = F.col("m") + F.col("size")
+    left = F.least(*[F.col(f"{x}.size") - F.col(f"{x}.place") - 1 for x in "ab"])
+    needed = lambda m, size: F.ceil((F.col(m) + F.col(size)) * num / F.lit(num + den))
+    pairs = pairs.where("not (a.guest and b.guest)").where(F.least("a.place", "b.place") + 1 + left >= needed("a.size", "b.size"))
+    pairs = pairs.groupBy("a.key", "b.key", "a.size", "b.size").agg(F.count(F.lit(1)).alias("n"), F.min(left).alias("left")).toDF("lead", "key", "m", "size", "n", "left")
     rest = F.greatest(*[F.ceil(F.col(c) * num / F.lit(den)) - 1 for c in ("m", "size")])
-    pairs = pairs.where(F.col("n") >= F.ceil(both * num / F.lit(num + den)) - rest)
-    met = rows.where((F.col("sets") > PART) & (F.col("key") != F.col("lead"))).select("key", "lead").union(pairs.select("key", "lead"))
-    return met.union(_met_hot(hot, num, den)).distinct()
+    return pairs.where(F.col("n") + F.least("left", rest) >= needed("m", "size")).select("key", "lead")
 
 
 def _met_hot(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -434,9 +469,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     hottest = np.sort(tokens[counts > max(HOT, classes.count() // HOT)].view(np.uint64))
     sent = spark.sparkContext.broadcast((tokens.view(np.uint64)[by], counts[by], hottest))
 
-    postings = written(base.mapInArrow(_postings(n, num, den, sent), "token long, hot boolean, key long, size int"), "postings")
+    postings = written(base.mapInArrow(_postings(n, num, den, sent), "token long, hot boolean, key long, size int, place int"), "postings")
     sent.unpersist()  # the written postings are all that follows from it
-    met = written(_met(postings, num, den), "met")
+    met = written(_once(written(_met(postings, num, den), "met")), "met-once")
     members = met.union(met.select("lead", "lead").distinct())
     large = written(met.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("lead"), "large-leads")
     by_key = classes.select("key", F.col("first").alias("id"))
