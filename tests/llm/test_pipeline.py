@@ -41,6 +41,27 @@ def test_stages(spark, sf, tmp_path):
     assert docs.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
 
 
+def test_near_copies_of_unlike_long_texts(spark, monkeypatch):
+    """Texts whose sizes just fit each other and that share a phrase: none but those of copies move."""
+    from tidewater.llm import jaccard_join
+
+    moved, write = [], jaccard_join.written
+
+    def spy(df, name):
+        out = write(df, name)
+        if name == "wanted-texts":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", spy)
+    phrase = [" ".join(f"p{k}-{j}" for j in range(80)) for k in range(15)]
+    texts = [" ".join([phrase[k % 15]] + [f"w{k}-{j}" for j in range(420 if k < 15 else 535)]) for k in range(30)]
+    texts += [texts[0] + " more", texts[1] + " and more"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == {*range(30)}
+    assert sum(moved) <= 8
+
+
 def test_run(spark, sf):
     """The rows of the stages, and no table left but the last stage's and its documents."""
     from pathlib import Path
