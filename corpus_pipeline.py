@@ -13,7 +13,7 @@ from tidewater.llm.jaccard_join import drop_near_copies
 from tidewater.llm.packing import pack
 from tidewater.llm.quality import THRESHOLD, fit, held_out, measured, score
 from tidewater.llm.substring_dedup import drop_repeated_passages
-from tidewater.storage import new_path, remove, scratch
+from tidewater.storage import new_path, remove, save, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -65,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return stage(spark, docs, sf_dir)
         path = new_path(spark, f"stage-{k}")
         with scratch(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            save(stage(spark, docs, sf_dir), path)
         if before is not None:
             remove(spark, before)
         docs, before = spark.read.parquet(path), path

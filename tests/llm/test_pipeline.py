@@ -73,3 +73,64 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
     assert left == {"stage-3", "pieces"}
+
+
+def test_long_lists_move_no_other_texts(spark, monkeypatch):
+    """More copies than a list holds: they go, and the texts of all other rows, null ids too, stay where they are."""
+    import random
+
+    from tidewater.llm import jaccard_join, spread
+
+    monkeypatch.setattr(spread, "LISTED", 10)
+    monkeypatch.setattr(jaccard_join, "LISTED", 10, raising=False)
+    chance = random.Random(3)
+    texts = [" ".join("".join(chr(chance.randrange(0x4E00, 0x9000)) for _ in range(50)) for _ in range(20)) for _ in range(600)]
+    rows, copies, near = [*enumerate(texts), (None, "no id"), (2000, None)], [(1000 + i, t) for i, t in enumerate(texts[:30])], [(1500 + i, t + " more") for i, t in enumerate(texts[:30])]
+    docs = spark.createDataFrame(rows + copies + near, "doc_id long, text string").repartition(4).localCheckpoint()
+    size = sum(len((t or "").encode()) for _, t in rows)
+
+    def moved():
+        return sum(x.shuffleWriteBytes() for x in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
+
+    # exact_copies groups the distinct blocks by their content first
+    for stage, kept, most in ((corpus_pipeline.exact_copies, rows + near, 1.5), (corpus_pipeline.near_copies, rows, 0.5)):
+        before = moved()
+        assert sorted(stage(spark, docs, "").collect(), key=str) == sorted(kept, key=str)
+        assert moved() - before < most * size
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    import time
+
+    from tidewater.storage import CLEANUP, settled, shared_dir, written
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "shuffle_" in x}
+    before, kept = files(), spark.range(10_000).repartition(3, "id")
+    out = written(kept.groupBy("id").count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 10_000 and spark.conf.get(CLEANUP, None) is None
+    inner = []
+    total = settled(spark, "total", lambda: inner.append(written(out, "inner")) or inner[0].groupBy().sum("count"))
+    assert total.first()[0] == 10_000
+    from pathlib import Path
+
+    left = {p.name.rsplit("-", 1)[0] for p in Path(shared_dir(spark).removeprefix("file://")).iterdir()}
+    assert "total" in left and "inner" not in left
+
+
+def test_near_copies_leave_no_postings(spark, sf):
+    """The tables of prefixes and of sets go once their links are known."""
+    from pathlib import Path
+
+    from tidewater.llm.jaccard_join import jaccard_components
+    from tidewater.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    assert jaccard_components(spark.read.parquet(f"{sf}/documents.parquet")).count() > 0
+    assert {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before} == {"signatures", "classes", "met-once", "found"}

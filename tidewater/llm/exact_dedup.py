@@ -97,4 +97,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha"))
     # not as an equality: the text is hashed only where the id is listed
     same_text = F.instr(F.sha2(normalised(text_col), 256), F.col("__sha")) == 1
-    return without(docs, gone.distinct(), docs[id_col].eqNullSafe(F.col("__gone")) & same_text)
+    return without(docs, gone.distinct(), docs[id_col].eqNullSafe(F.col("__gone")) & same_text, docs[id_col])

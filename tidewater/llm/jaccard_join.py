@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.links import components
-from tidewater.llm.spread import LISTED, joined, without
+from tidewater.llm.spread import joined, with_listed, without
 from tidewater.llm.textarrays import raw, shingle_sets, slices, small_batches
-from tidewater.storage import written
+from tidewater.storage import settled, written
 
 #: Heaviest shingles that are ordered by count: 16 bytes each, 8 MB in a broadcast.
 HEAVY = 524_288
@@ -469,9 +469,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     hottest = np.sort(tokens[counts > max(HOT, classes.count() // HOT)].view(np.uint64))
     sent = spark.sparkContext.broadcast((tokens.view(np.uint64)[by], counts[by], hottest))
 
-    postings = written(base.mapInArrow(_postings(n, num, den, sent), "token long, hot boolean, key long, size int, place int"), "postings")
-    sent.unpersist()  # the written postings are all that follows from it
-    met = written(_once(written(_met(postings, num, den), "met")), "met-once")
+    def meetings() -> DataFrame:
+        postings = written(base.mapInArrow(_postings(n, num, den, sent), "token long, hot boolean, key long, size int, place int"), "postings")
+        sent.unpersist()  # the written postings are all that follows from it
+        return _once(written(_met(postings, num, den), "met"))
+
+    met = settled(spark, "met-once", meetings)
+    found = settled(spark, "found", lambda: _linked(base, met, classes, n, num, den))
+    rows = signatures.join(classes.drop("key"), "digest", "left").join(found.withColumnRenamed("node", "first"), "first", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "first", "id").alias("component_id"))
+
+
+def _linked(base: DataFrame, met: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node, root) of the sets that link, by the first ids of their classes."""
     members = met.union(met.select("lead", "lead").distinct())
     large = written(met.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("lead"), "large-leads")
     by_key = classes.select("key", F.col("first").alias("id"))
@@ -482,17 +492,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     few = members.join(large, "lead", "left_anti").join(by_key, "key")
     placed = _texts(base, few).repartition("lead").sortWithinPartitions("lead")
     links.append(placed.select("id", "key", "lead", "text").mapInArrow(_of_texts(n, num, den), "a long, b long"))
-    found = components(functools.reduce(DataFrame.unionByName, links))
-
-    rows = signatures.join(classes.drop("key"), "digest", "left").join(found.withColumnRenamed("node", "first"), "first", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "first", "id").alias("component_id"))
+    return components(functools.reduce(DataFrame.unionByName, links))
 
 
 def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted with the texts of its ids; a short list goes to every executor, so that only wanted texts move."""
-    wanted = written(wanted, "wanted-texts")
-    small = wanted.limit(LISTED + 1).count() <= LISTED
-    return base.join(F.broadcast(wanted) if small else wanted.hint("merge"), "id")
+    """wanted with the texts of its ids; only wanted texts move."""
+    return with_listed(base, written(wanted, "wanted-texts"), "id")
 
 
 def _with_key(classes: DataFrame) -> DataFrame:
@@ -509,4 +514,4 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     an id are one document: they stay or go together."""
     gone = jaccard_components(docs, n, num, den, id_col, text_col).where(F.col(id_col) != F.col("component_id"))
     gone = gone.select(F.col(id_col).alias("__gone")).distinct()
-    return without(docs, gone, docs[id_col] == F.col("__gone"))
+    return without(docs, gone, docs[id_col] == F.col("__gone"), docs[id_col])
