@@ -66,8 +66,10 @@ def duration_effect(f: DataFrame) -> dict:
 
 
 def _pearson(name: str, r: float | None, n: int, **more) -> dict:
-    if r is None or n < 3 or not math.isfinite(r):
+    if r is None or n < 3:
         return _result(name, None, None, n, error="too few rows", **more)
+    if not math.isfinite(r):
+        return _result(name, r, None, n, r, error="not finite", **more)
     t = math.inf if abs(r) >= 1 else r * math.sqrt((n - 2) / (1 - r * r))
     p = 0.0 if math.isinf(t) else t_two_sided(t, n - 2)
     ci = None
@@ -124,6 +126,8 @@ def volatility_effects(f: DataFrame) -> dict:
     f = f.withColumn("__v", F.col(proxy) if proxy else F.abs("price_return"))
     names = [c for c in ("duration", "macd_amplitude", "price_return") if c in f.columns]
     parts = [_pearson(c, r, n) for c, (r, n) in zip(names, _corr(f, [("__v", c) for c in names]))]
+    if odd := next((x for x in parts if x.get("error") == "not finite"), None):
+        return odd | {"name": "volatility_effects", "strongest": odd["name"], "parts": parts}
     good = [x for x in parts if x["p_value"] is not None]
     if not good:
         return _result("volatility_effects", None, None, 0, error="too few rows")
