@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.series import quotient
+
 #: Parameter sets of the strategies.
 PRESETS = {
     "default": {"zigzag": {"legs": 10, "deviation": 0.05}, "find_peaks": {"prominence": 0.015, "distance": 5, "min_amplitude_pct": 0.02}, "pivot_points": {"left": 2, "right": 2, "min_amplitude_pct": 0.015}},
@@ -140,14 +142,15 @@ def zigzag_points(df: DataFrame, deviation: float | str = 0.05, legs: int = 10,
 STRATEGIES = {"pivot_points": pivot_points, "find_peaks": peak_points, "zigzag": zigzag_points}
 
 
-def linked(points: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """point_id, amplitude_to_next (percent) and duration_to_next of each point; a bar's peak is before its trough."""
+def linked(points: DataFrame, key: list[str] | None = None, ieee: bool = False) -> DataFrame:
+    """point_id, amplitude_to_next (percent) and duration_to_next of each point; a bar's peak is before its trough. The
+    amplitude from a price of zero is NULL or, if ieee, infinite or NaN."""
     key = key or ["symbol"]
     w = Window.partitionBy(*key).orderBy("bar_idx", "swing_type")
     nxt, at = F.lead("price").over(w), F.lead("bar_idx").over(w)
     return points.withColumns({
         "point_id": (F.row_number().over(w) - 1).cast("long"),
-        "amplitude_to_next": (F.try_divide(nxt, F.col("price")) - 1) * 100,
+        "amplitude_to_next": (quotient(nxt, F.col("price"), ieee) - 1) * 100,
         "duration_to_next": (at - F.col("bar_idx")).cast("long"),
     })
 
@@ -164,12 +167,12 @@ def in_zones(points: DataFrame, zones: DataFrame, bin_bars: int = 1024) -> DataF
     return hit.drop("__bin", "__n", "__p").dropDuplicates(["symbol", "zone_id", "bar_idx", "swing_type"])
 
 
-def swing_metrics(points: DataFrame, min_amplitude_pct: float | DataFrame = 0.0, key: list[str] | None = None) -> DataFrame:
+def swing_metrics(points: DataFrame, min_amplitude_pct: float | DataFrame = 0.0, key: list[str] | None = None, ieee: bool = False) -> DataFrame:
     """Rallies and drops between consecutive points of each key: counts, sizes, durations, speeds and ratios; zero
-    where there are none. Movements without duration, from price zero or too small are left out; what is too small may
-    be a table with min_amplitude_pct for each symbol or zone."""
+    where there are none. Movements without duration, from price zero (unless ieee: they are infinite, or NaN and rallies)
+    or too small are left out; what is too small may be a table with min_amplitude_pct for each symbol or zone."""
     key = key or ["symbol", "zone_id"]
-    m = linked(points, key).where(F.col("duration_to_next").isNotNull() & (F.col("duration_to_next") > 0) & F.col("amplitude_to_next").isNotNull())
+    m = linked(points, key, ieee).where(F.col("duration_to_next").isNotNull() & (F.col("duration_to_next") > 0) & F.col("amplitude_to_next").isNotNull())
     m = m.withColumns({"a": F.abs("amplitude_to_next"), "d": F.col("duration_to_next"), "__up": F.col("amplitude_to_next") > 0})
     least = F.lit(min_amplitude_pct) if isinstance(min_amplitude_pct, (int, float)) else F.col("min_amplitude_pct")
     if not isinstance(min_amplitude_pct, (int, float)):
@@ -181,7 +184,7 @@ def swing_metrics(points: DataFrame, min_amplitude_pct: float | DataFrame = 0.0,
         zero = lambda x: F.coalesce(x, F.lit(0.0))
         parts += [
             F.count(own("a")).alias(f"{name}_count"), zero(F.avg(own("a"))).alias(f"avg_{name}_pct"), zero(F.max(own("a"))).alias(f"max_{name}_pct"), zero(F.min(own("a"))).alias(f"min_{name}_pct"),
-            zero(F.stddev_pop(own("a"))).alias(f"{name}_amplitude_std"), zero(F.median(own("a"))).alias(f"{name}_amplitude_median"),
+            zero(F.when(F.count(own("a")) > 1, F.stddev_pop(own("a")))).alias(f"{name}_amplitude_std"), zero(F.median(own("a"))).alias(f"{name}_amplitude_median"),
             zero(F.avg(own("d"))).alias(f"avg_{name}_duration_bars"), F.coalesce(F.max(own("d")), F.lit(0)).alias(f"max_{name}_duration_bars"),
             zero(F.avg(own("v"))).alias(f"avg_{name}_speed_pct_per_bar"), zero(F.max(own("v"))).alias(f"max_{name}_speed_pct_per_bar"),
         ]
@@ -220,9 +223,11 @@ def aggregate_by_type(features: DataFrame, types: tuple[str, ...] = ("bull", "be
     total, square = F.sum(zero(up) + zero(down)), F.sum(zero(up * up) + zero(down * down))
     mean = F.try_divide(total, n_up + n_down)
     parts = {"rally": rally, "drop": drop, "rally_duration": up, "drop_duration": down}
+    # of one value, be it infinite, there is none
+    deviation = lambda c: F.when(F.count(c) > 1, F.stddev_pop(c)).when(F.count(c) == 1, 0.0)
     return z.groupBy("type").agg(
         F.count(F.lit(1)).alias("zones"), F.count_if(live).alias("with_swings"),
-        *[x for n, c in parts.items() for x in (F.avg(c).alias(f"avg_{n}_mean"), F.stddev_pop(c).alias(f"avg_{n}_std"), F.count(c).alias(f"avg_{n}_samples"))],
+        *[x for n, c in parts.items() for x in (F.avg(c).alias(f"avg_{n}_mean"), deviation(c).alias(f"avg_{n}_std"), F.count(c).alias(f"avg_{n}_samples"))],
         F.avg(F.when(live, F.col("rally_to_drop_ratio"))).alias("ratio_mean"),
         mean.alias("avg_duration_mean"), F.sqrt(F.greatest(F.try_divide(square, n_up + n_down) - mean * mean, F.lit(0.0))).alias("avg_duration_std"), (n_up + n_down).alias("avg_duration_samples"),
     )

@@ -34,6 +34,7 @@ class Config:
     more: tuple = ()
     clusters: int | None = None
     regression: bool = False
+    ieee: bool = False
 
     def key(self, version: str) -> str:
         return hashlib.sha256(json.dumps([version, repr(self)]).encode()).hexdigest()
@@ -120,6 +121,10 @@ class ZoneAnalysis:
     def analyze(self, clusters: int | None = None, regression: bool = False) -> ZoneAnalysis:
         return self._with(clusters=clusters, regression=regression)
 
+    def with_division(self, ieee: bool) -> ZoneAnalysis:
+        """Whether dividing by a price of zero gives infinities and NaN, as SQL's doubles do, or NULL."""
+        return self._with(ieee=ieee)
+
     def build(self) -> Result:
         c, bars = self.config, self.bars
         if c.indicator:
@@ -135,11 +140,10 @@ class ZoneAnalysis:
                 parameters = {k: v for k, v in parameters.items() if k not in ("deviation", "prominence")}
             if c.swing_scope == "global":
                 points, least = swings.with_auto_thresholds(bars, c.swing, **parameters) if c.auto else (swings.STRATEGIES[c.swing](bars, **parameters), least)
-        f = features.all_features(zoned, c.column, points, table, least, c.divergence, c.volatility, c.volume)
+        f = features.all_features(zoned, c.column, points, table, least, c.divergence, c.volatility, c.volume, c.ieee)
         if c.swing and c.swing_scope == "per_zone":
             own, least = swings.with_auto_thresholds(zoned, c.swing, key=key, **parameters) if c.auto else (swings.STRATEGIES[c.swing](zoned, key=key, **parameters), least)
-            metrics = swings.swing_metrics(own, least)
-            f = f.join(metrics, key, "left").fillna(0, [x for x in metrics.columns if x not in key])
+            f = features.with_swing_metrics(f, swings.swing_metrics(own, least, ieee=c.ieee))
         for family, name, parameters in c.more:
             own = features.strategy(family, name)(zoned, c.column, **dict(parameters))
             f = f.join(own.select(*key, *[x for x in own.columns if x not in f.columns]), key, "left")
